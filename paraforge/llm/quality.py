@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import SEPARATOR_CHARS, SEPARATORS, Workspace, sized_join, source_key, whole, words
 
-#: Words of a window whose repetition counts, fewest words of a document, largest share (%) of repeated words.
+#: Words of a window whose repetition counts (a power of two), fewest words of a document, largest share (%) of repeated words.
 WINDOW, MIN_WORDS, MAX_REPEATED_PERCENT = 8, 20, 30
 #: A line is over the limit if it is in more than MIN_DOCS documents and more than MAX_SHARE of its host's documents.
 MIN_DOCS, MAX_SHARE = 5, 0.02
@@ -40,9 +40,9 @@ def frequent_lines(docs: DataFrame, ws: Workspace, host: str = "source", text: s
     return ws.save(over.groupBy("host_key").agg(F.sort_array(F.collect_list("line")).alias("lines")), "frequent_lines")
 
 
-def _repeated_words(hashes: str) -> Column:
-    """Words in windows found twice or more, from the sorted (hash, position) pairs in column `hashes`."""
-    at = F.sort_array(
+def _repeated_windows(hashes: str) -> Column:
+    """The sorted positions of windows found twice or more, from the sorted (hash, position) pairs in column `hashes`."""
+    return F.sort_array(
         F.filter(
             F.transform(
                 F.col(hashes),
@@ -51,7 +51,6 @@ def _repeated_words(hashes: str) -> Column:
             lambda p: p.isNotNull(),
         )
     )
-    return at
 
 
 def quality_rules(docs: DataFrame, ws: Workspace, host: str = "source", text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -66,13 +65,16 @@ def quality_rules(docs: DataFrame, ws: Workspace, host: str = "source", text: st
     base = docs.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)], whole(F.col(text)).alias("__t"), source_key(F.col(host)).alias("host_key"))
     df = sized_join(base, frequent, "host_key", "left").withColumn("__w", words(F.col("__t")))
     df = df.withColumn("__l", F.filter(F.split("__t", "\n"), lambda x: x.rlike("[^ \\t-\\r]")))
-    none = F.lit(None).cast("array<bigint>")
     n = F.size("__w")
-    df = df.withColumn("__h", F.when(n > WINDOW, F.transform(F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("__w", i, WINDOW)))).otherwise(none))
+    #: Hashes of windows of 1, 2, 4 and 8 words; each is made of two of the one before.
+    df = df.withColumn("__h1", F.transform("__w", lambda x: F.xxhash64(x)))
+    for half in (1, 2, 4):
+        df = df.withColumn(f"__h{2 * half}", F.zip_with(f"__h{half}", F.slice(f"__h{half}", half + 1, n), lambda x, y: F.xxhash64(x, y)))
+    df = df.withColumn("__h", F.slice(f"__h{WINDOW}", 1, F.greatest(n - (WINDOW - 1), F.lit(0))))
     repeats = F.size(F.array_distinct("__h")) < F.size("__h")
     pairs = F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     df = df.withColumn("__s", F.when(repeats, pairs))
-    df = df.withColumn("__p", F.when(F.col("__s").isNotNull(), _repeated_words("__s")))
+    df = df.withColumn("__p", F.when(F.col("__s").isNotNull(), _repeated_windows("__s")))
     covered = F.aggregate(
         F.transform("__p", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("__p"), i + 1) - p, F.lit(WINDOW)))),
         F.lit(0).cast("long"),
@@ -88,7 +90,7 @@ def quality_rules(docs: DataFrame, ws: Workspace, host: str = "source", text: st
         *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)],
         n.cast("long").alias("n_words"),
         F.length(F.translate("__t", SEPARATOR_CHARS, "")).cast("long").alias("word_chars"),
-        (F.length("__t") - F.length(F.translate("__t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.regexp_count("__t", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.coalesce(lost, F.lit(0)).cast("long").alias("lost_words"),
