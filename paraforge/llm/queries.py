@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, sharding
+from . import bpe, media, mixing, quality, sharding, tokenstore
 from .common import Workspace, documents
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_round_trip(documents(spark, sf_dir), Workspace(spark, "op2"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir))
 
@@ -27,11 +31,17 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words")
 
 
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenstore.token_round_trip(documents(spark, sf_dir), Workspace(spark, "op10"))
+
+
 QUERIES = {
+    "op2_media": op2_media,
     "op3_bpe": op3_bpe,
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
     "op9_quality": op9_quality,
+    "op10_token_store": op10_token_store,
 }
 
 ORACLE_SQL: dict[str, str] = {}
