@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, mixing, pii, quality, sharding, tokenstore
+from . import bpe, media, mixing, neardup, pii, quality, sharding, tokenstore
 from .common import Workspace, documents
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), Workspace(spark, "op1"))
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_round_trip(documents(spark, sf_dir), Workspace(spark, "op2"))
 
@@ -41,6 +45,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_media": op2_media,
     "op3_bpe": op3_bpe,
     "op4_mixing": op4_mixing,
