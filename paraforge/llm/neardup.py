@@ -187,8 +187,8 @@ def near_duplicates(docs: DataFrame, ws: Workspace, size: int = 2, percent: int
     near copies costs about its size. Two documents at the threshold share no bucket with a probability of
     (1 - 0.8**5)**40, about 1e-7.
 
-    A null or empty text, or one without words, has n_shingles 0 and is a component of its own. Rows of equal doc_id are one
-    document. A null doc_id is linked with nothing, its component_id is null and it is kept. An empty table gives an empty one."""
+    A null or empty text, or one without words, has n_shingles 0 and is a component of its own. Repeated rows each get a row;
+    rows of one doc_id with different words are compared by their words. A null doc_id is linked with nothing, its component_id is null and it is kept. An empty table gives an empty one."""
     sketches = ws.save(sketch(docs, size, text, key), "sketches")
     some = sketches.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     first = ws.save(some.groupBy("digest").agg(F.min("doc_id").alias("node")), "first")
@@ -204,7 +204,6 @@ def near_duplicates(docs: DataFrame, ws: Workspace, size: int = 2, percent: int
     ws.drop("nodes")
     x = sketched.select(F.col("node").alias("a"), F.col("sketch").alias("xs"), F.col("n").alias("xn"))
     y = sketched.select(F.col("node").alias("b"), F.col("sketch").alias("ys"), F.col("n").alias("yn"))
-    #: Rows of one doc_id with different words are one document from the start.
     labels, links, tested, i = None, None, None, 0
     while True:
         members = buckets.withColumn("label", F.col("node")) if labels is None else buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, mixing, neardup, pii, quality, sharding, tokenstore
+from . import bpe, lmscore, media, mixing, neardup, pii, quality, sharding, tokenstore
 from .common import Workspace, documents
 
 
@@ -35,6 +35,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(documents(spark, sf_dir), Workspace(spark, "op8"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_rules(documents(spark, sf_dir), Workspace(spark, "op9"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words")
@@ -51,6 +55,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
     "op6_pii": op6_pii,
+    "op8_lm_score": op8_lm_score,
     "op9_quality": op9_quality,
     "op10_token_store": op10_token_store,
 }
