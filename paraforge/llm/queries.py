@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lmscore, media, mixing, neardup, pii, quality, sharding, tokenstore
+from . import bpe, lmscore, media, mixing, neardup, pii, quality, sharding, substrings, tokenstore
 from .common import Workspace, documents
 
 
@@ -35,6 +35,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, sf_dir), Workspace(spark, "op7"))
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(documents(spark, sf_dir), Workspace(spark, "op8"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
     "op6_pii": op6_pii,
+    "op7_substrings": op7_substrings,
     "op8_lm_score": op8_lm_score,
     "op9_quality": op9_quality,
     "op10_token_store": op10_token_store,
