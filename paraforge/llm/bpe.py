@@ -203,6 +203,12 @@ def _shared(spark, path: str | None, pattern: str | None):
     return spark.sparkContext.broadcast(read_ranks(path)), pattern, f"{path}:{pattern}"
 
 
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+    values = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+
+
 def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """docs with a column of token ids, array<int>. A null text is encoded as the empty one, which has no ids."""
     ranks, pattern, name = _shared(docs.sparkSession, path, pattern)
@@ -213,10 +219,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | No
         coder = Coder.of(ranks.value, pattern, name)
         for batch in byte_budget(batches, position):
             found = coder.encode([t.decode() for t in byte_texts(batch.column(position))])
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            values = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
-            column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, ids])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(found)], [*batch.schema.names, ids])
 
     from pyspark.sql.types import ArrayType, IntegerType, StructType
 
@@ -239,9 +242,9 @@ def decode(rows: DataFrame, ids: str = "ids", text: str = "decoded", path: str |
     return rows.mapInArrow(run, StructType([*rows.schema.fields]).add(text, BinaryType()))
 
 
-def round_trip(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, pattern: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, text: str = "text", key: str = "doc_id", keep_ids: bool = False, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """For each row: key, n_tokens, ids_sha256 (of the decimal ids joined by one space), decoded_sha256, from one pass
-    that encodes the text and decodes the ids again, without the ids leaving the worker.
+    that encodes the text and decodes the ids again; with keep_ids also the ids, array<int>.
 
     A null or empty text has no tokens and the digests of the empty string; repeated rows each get a row; an empty
     table gives an empty one. There is no shuffle, and a worker holds some MB of text at a time and a bounded table
@@ -254,14 +257,18 @@ def round_trip(docs: DataFrame, text: str = "text", key: str = "doc_id", path: s
         digits = coder.replay.texts
         for batch in byte_budget(batches, 1):
             n, first, second = [], [], []
-            for found in coder.encode([t.decode() for t in byte_texts(batch.column(1))]):
+            encoded = coder.encode([t.decode() for t in byte_texts(batch.column(1))])
+            for found in encoded:
                 ids = found.tolist()
                 n.append(len(ids))
                 first.append(hashlib.sha256(" ".join([digits[i] for i in ids]).encode()).hexdigest())
                 second.append(hashlib.sha256(coder.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(first), pa.array(second)], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(first), pa.array(second), *[_lists(encoded)] * keep_ids]
+            yield pa.RecordBatch.from_arrays(columns, [key, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids])
 
-    from pyspark.sql.types import LongType, StringType, StructType
+    from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
     schema = StructType([rows.schema[key]]).add("n_tokens", LongType()).add("ids_sha256", StringType()).add("decoded_sha256", StringType())
+    if keep_ids:
+        schema = schema.add("ids", ArrayType(IntegerType()))
     return rows.mapInArrow(run, schema)
