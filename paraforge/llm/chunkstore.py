@@ -105,17 +105,21 @@ def repeated_filter(digests: DataFrame, bits: int = FILTER_BITS) -> bytes:
 
 def halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     both = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-    return both[:, 0], both[:, 1]
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 DIGESTS = "d1 long, d2 long, n long"
 
 
+def count_names(recipes: list[bytes]) -> pa.RecordBatch:
+    """Partial counts of the digests in a batch of recipes."""
+    both = np.frombuffer(b"".join(recipes), dtype=np.dtype("V16"))
+    names, n = np.unique(both.view(np.dtype([("d1", "<i8"), ("d2", "<i8")])), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(names["d1"].copy()), pa.array(names["d2"].copy()), pa.array(n.astype(np.int64))], ["d1", "d2", "n"])
+
+
 def count_digests(chunks: list[list[bytes]]) -> pa.RecordBatch:
-    """Partial counts of the digests in a batch of payloads."""
-    d1, d2 = halves([digest(c) for own in chunks for c in own]) if any(chunks) else (np.zeros(0, np.int64),) * 2
-    both, n = np.unique(np.stack([d1, d2], axis=1), axis=0, return_counts=True) if len(d1) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(n.astype(np.int64))], ["d1", "d2", "n"])
+    return count_names([digest(c) for own in chunks for c in own])
 
 
 #: What a payload's row holds: digests of all chunks in order, their lengths, which of them are in the shared table
@@ -129,30 +133,37 @@ def pack_columns(rows: list[tuple]) -> list[pa.Array]:
     return [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), PACK_KINDS, strict=True)]
 
 
-def pack(chunks: list[bytes], mask: np.ndarray) -> tuple:
-    names = [digest(c) for c in chunks]
-    if not names:
+def recipe_of(chunks: list[bytes]) -> tuple[bytes, list[int]]:
+    return b"".join(map(digest, chunks)), [len(c) for c in chunks]
+
+
+def pack(payload: bytes, recipe: bytes, lengths: list[int], mask: np.ndarray) -> tuple:
+    if not lengths:
         return b"", [], [], [], [], b"", merkle([])
-    d1, d2 = halves(names)
-    flags = bloom_test(mask, d1)
-    shared = np.flatnonzero(flags)
-    own = b"".join([c for c, f in zip(chunks, flags, strict=True) if not f])
-    return b"".join(names), [len(c) for c in chunks], shared.tolist(), d1[shared].tolist(), d2[shared].tolist(), own, merkle(names)
+    d1, d2 = halves([recipe])
+    shared = np.flatnonzero(bloom_test(mask, d1))
+    own, at, last = [], np.concatenate([[0], np.cumsum(lengths)]), 0
+    for i in shared.tolist():
+        own.append(payload[last : at[i]])
+        last = at[i + 1]
+    own.append(payload[last:])
+    names = [recipe[i : i + DIGEST] for i in range(0, len(recipe), DIGEST)]
+    return recipe, lengths, shared.tolist(), d1[shared].tolist(), d2[shared].tolist(), b"".join(own), merkle(names)
 
 
 SHARED = "d1 long, d2 long, chunk binary"
 
 
-def shared_batch(chunks: list[list[bytes]], mask: np.ndarray) -> pa.RecordBatch:
+def shared_batch(payloads: list[bytes], recipes: list[bytes], lengths: list[list[int]], mask: np.ndarray) -> pa.RecordBatch:
     """The chunks of a batch that may be repeated, each once."""
-    once = {digest(c): c for own in chunks for c in own}
-    names = list(once)
-    if names:
-        d1, d2 = halves(names)
-        keep = np.flatnonzero(bloom_test(mask, d1))
-    else:
-        d1 = d2 = keep = np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(d1[keep]), pa.array(d2[keep]), pa.array([once[names[i]] for i in keep.tolist()], pa.binary())], ["d1", "d2", "chunk"])
+    once: dict[bytes, bytes] = {}
+    for payload, recipe, own in zip(payloads, recipes, lengths, strict=True):
+        if own:
+            at = np.concatenate([[0], np.cumsum(own)]).tolist()
+            for i in np.flatnonzero(bloom_test(mask, halves([recipe])[0])).tolist():
+                once.setdefault(recipe[i * DIGEST : (i + 1) * DIGEST], payload[at[i] : at[i + 1]])
+    d1, d2 = halves(list(once))
+    return pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), pa.array(list(once.values()), pa.binary())], ["d1", "d2", "chunk"])
 
 
 def unique_chunks(shared: DataFrame) -> DataFrame:

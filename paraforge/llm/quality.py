@@ -97,4 +97,7 @@ def quality_rules(docs: DataFrame, ws: Workspace, host: str = "source", text: st
         F.when(F.col("lines").isNull(), F.col("__t")).otherwise(F.array_join(kept_lines, "\n")).alias("kept_text"),
     )
     df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")))
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") <= F.col("n_words") * F.lit(MAX_LOST)))
+    df = df.withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") <= F.col("n_words") * F.lit(MAX_LOST)))
+    #: A generator of one row keeps later filters above it: pushed further down they would repeat every expression they rest on.
+    made = [c for c in df.columns if c not in keep]
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.inline(F.array(F.struct(*made))))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +18,15 @@ from .common import Workspace, byte_budget, byte_texts, sized_join, whole
 
 END = 1
 #: Words that a worker keeps with their ids; beyond it all go. It saves work, it decides nothing.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 800_000
 
 
 class WordTokenizer:
     """Encodes texts with a tokenizer that never joins tokens over white space, word by word, each new word once.
 
-    A text that has '<|', which may begin the string of a special token, is encoded as a whole."""
+    A text that has '<|', which may begin the string of a special token, is encoded as a whole. Other texts are put
+    in lower case (A-Z) first, as the tokenizer does. A word of plain lower-case letters, also before one comma or full stop,
+    goes to the tokenizer's model directly, because normalising and splitting leave it as it is."""
 
     _made: dict[str, WordTokenizer] = {}
 
@@ -36,6 +40,13 @@ class WordTokenizer:
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = np.dtype("<u2") if self.width == 2 else np.dtype("<u4")
         self.known: dict[bytes, bytes] = {}
+        steps = json.loads(definition)
+        kinds = [[x.get("type") for x in (steps.get(part) or {}).get(inner, [])] for part, inner in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        self.plain = kinds == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]]
+        #: The characters that stand for bytes in a byte-level model: printable ones for themselves, the others in order from 256.
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = [b for b in range(256) if b not in printable]
+        self.byte_chars = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(other)}
 
     @classmethod
     def of(cls, definition: str, name: str) -> WordTokenizer:
@@ -48,6 +59,26 @@ class WordTokenizer:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype=self.kind).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _new(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words in lower case."""
+        if not self.plain:
+            return self._ids([w.decode() for w in words])
+        tails = dict(zip((b",", b"."), self._ids([",", "."]), strict=True))
+        tokenize, code = self.tokenizer.model.tokenize, "H" if self.width == 2 else "I"
+        out: list[bytes] = [b""] * len(words)
+        rest = []
+        for i, word in enumerate(words):
+            tail = tails.get(word[-1:], b"")
+            core = (word[:-1] if tail else word).decode()
+            if core.isalpha() and core == core.lower() and max(core) < "\u0250":
+                form = core if core.isascii() else core.encode().decode("latin-1").translate(self.byte_chars)
+                out[i] = array(code, [x.id for x in tokenize(form)]).tobytes() + tail
+            else:
+                rest.append(i)
+        for i, ids in zip(rest, self._ids([words[i].decode() for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian integers of `width` bytes, with the end id after them."""
         if len(self.known) > KEPT_WORDS:
@@ -60,14 +91,14 @@ class WordTokenizer:
             if b"<|" in text:
                 found.append(self._ids([text.decode()]))
                 continue
-            words = text.split()  # of bytes: exactly the ASCII separators
+            words = (text.lower() if self.plain else text).split()  # of bytes: exactly the ASCII separators and A-Z
             ids = list(map(known.get, words))
             if None in ids:
                 lost = [w for w, x in zip(words, ids, strict=True) if x is None]
                 new.update(dict.fromkeys(lost))
                 gaps.append((n, lost))
             found.append(ids)
-        known.update(zip(new, self._ids([w.decode() for w in new]), strict=True))
+        known.update(zip(new, self._new(list(new)), strict=True))
         for n, lost in gaps:
             fill = iter(lost)
             found[n] = [known[next(fill)] if x is None else x for x in found[n]]
@@ -98,22 +129,26 @@ def write_tokens(docs: DataFrame, ws: Workspace, text: str = "text", key: str =
     def encoded(batches):
         coder = WordTokenizer.of(shared_definition.value, name)
         for batch in byte_budget(batches, 1):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coder.encode(byte_texts(batch.column(1))), pa.binary())], ["doc_id", "ids"])
+            ids = coder.encode(byte_texts(batch.column(1)))
+            chunks = store.chunked(ids, how)
+            recipes = [b"".join(map(store.digest, own)) for own in chunks]
+            lengths = pa.array([[len(c) for c in own] for own in chunks], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(recipes, pa.binary()), lengths], ["doc_id", "ids", "recipe", "lengths"])
 
-    staged = ws.save(rows.mapInArrow(encoded, "doc_id long, ids binary"), "staged")
+    staged = ws.save(rows.mapInArrow(encoded, "doc_id long, ids binary, recipe binary, lengths array<int>"), "staged", codec="snappy")
 
     def digests(batches):
-        for batch in byte_budget(batches, 0):
-            yield store.count_digests(store.chunked(byte_texts(batch.column(0)), how))
+        for batch in batches:
+            yield store.count_names(byte_texts(batch.column(0)))
 
-    mask = ws.spark.sparkContext.broadcast(store.repeated_filter(staged.select("ids").mapInArrow(digests, store.DIGESTS)))
+    mask = ws.spark.sparkContext.broadcast(store.repeated_filter(staged.select("recipe").mapInArrow(digests, store.DIGESTS)))
 
     def packed(batches):
         bits = np.frombuffer(mask.value, dtype=np.uint8)
         start, place, chain = 0, 0, b""
         for batch in byte_budget(batches, 1):
             ids = byte_texts(batch.column(1))
-            found = [store.pack(c, bits) for c in store.chunked(ids, how)]
+            found = [store.pack(*x, bits) for x in zip(ids, byte_texts(batch.column(3)), batch.column(4).to_pylist(), strict=True)]
             n = np.array([len(x) // how.width for x in ids], dtype=np.int64)
             starts = start + np.cumsum(n) - n
             start += int(n.sum())
@@ -129,11 +164,11 @@ def write_tokens(docs: DataFrame, ws: Workspace, text: str = "text", key: str =
     def shared(batches):
         bits = np.frombuffer(mask.value, dtype=np.uint8)
         for batch in byte_budget(batches, 0):
-            yield store.shared_batch(store.chunked(byte_texts(batch.column(0)), how), bits)
+            yield store.shared_batch(byte_texts(batch.column(0)), byte_texts(batch.column(1)), batch.column(2).to_pylist(), bits)
 
-    ordered = staged.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("ids")).select("doc_id", "ids", F.spark_partition_id().alias("part"))
+    ordered = staged.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("ids")).select("doc_id", "ids", F.spark_partition_id().alias("part"), "recipe", "lengths")
     schema = f"key binary, doc_id long, part int, place long, local_start long, n_tokens long, chain binary, {store.PACK}"
-    packs, chunks = store.save_store(ws, ordered.mapInArrow(packed, schema), staged.select("ids").mapInArrow(shared, store.SHARED))
+    packs, chunks = store.save_store(ws, ordered.mapInArrow(packed, schema), staged.select("ids", "recipe", "lengths").mapInArrow(shared, store.SHARED))
     ws.drop("staged")
     #: A row for each part that was written; the window runs over these.
     parts = packs.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.max_by("chain", "place").alias("root"))
