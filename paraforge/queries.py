@@ -77,16 +77,16 @@ def project_nested(spark, sf_dir):
     return df.select("o_orderkey", F.col("cust").isNull().alias("absent"), F.col("cust.order.status").alias("status"), F.lit(len(df.schema["cust"].dataType.fields)).cast("long").alias("children"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey END AS id, 2::BIGINT AS children FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey ELSE -1 END AS id, 2::BIGINT AS children FROM orders")
 def project_overlap(spark, sf_dir):
     df = round_trip(_with_customer(spark, sf_dir), "overlap", projection=[("cust", "id"), ("cust",), ("o_orderkey",)])
-    return df.select("o_orderkey", F.col("cust.id").alias("id"), F.lit(len(df.schema["cust"].dataType.fields)).cast("long").alias("children"))
+    return df.select("o_orderkey", F.coalesce("cust.id", F.lit(-1)).alias("id"), F.lit(len(df.schema["cust"].dataType.fields)).cast("long").alias("children"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey END AS id, 1::BIGINT AS children FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey ELSE -1 END AS id, 1::BIGINT AS children FROM orders")
 def project_partial_unknown(spark, sf_dir):
     df = round_trip(_with_customer(spark, sf_dir), "partial", projection=[("cust", "id"), ("cust", "nothing"), ("o_orderkey",)])
-    return df.select("o_orderkey", F.col("cust.id").alias("id"), F.lit(len(df.schema["cust"].dataType.fields)).cast("long").alias("children"))
+    return df.select("o_orderkey", F.coalesce("cust.id", F.lit(-1)).alias("id"), F.lit(len(df.schema["cust"].dataType.fields)).cast("long").alias("children"))
 
 
 @query("SELECT o_orderkey, 2::BIGINT AS n, o_custkey + o_orderkey AS total FROM orders")
