@@ -30,7 +30,10 @@ def propagate(pieces: DataFrame, quota: list[int], ws: Workspace, rounds: int =
         wants = F.coalesce(F.col("best") > F.col("score"), F.lit(False)) & F.col("best").isNotNull()
         asked = ws.save(asked.select("link", "home", "n", "shard", F.when(wants, F.col("best.shard")).alias("target"), hash_unit(F.col("link"), F.col("home"), F.lit(i)).alias("rank")), f"asked_{i}")
         moving = asked.where("target IS NOT NULL")
-        granted = accept_within(moving, rooms.withColumnRenamed("shard", "target"), "target", "rank", ["link", "home"], "n", "room", ws, f"grant_{i}")
+        #: Half of what asks to leave a shard counts as room there too; what turns out too much is dealt out again at the end.
+        leaving = {r["shard"]: r["n"] for r in moving.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+        rooms = ws.spark.createDataFrame([(s, max(0, quota[s] - load.get(s, 0) + leaving.get(s, 0) // 2)) for s in range(n_shards)], "target int, room long")
+        granted = accept_within(moving, rooms, "target", "rank", ["link", "home"], "n", "room", ws, f"grant_{i}")
         moved = granted.select("link", "home", "n", F.when(F.col("accepted"), F.col("target")).otherwise(F.col("shard")).alias("shard"), "accepted")
         still = asked.where("target IS NULL").select("link", "home", "n", "shard", F.lit(False).alias("accepted"))
         after = ws.save(still.unionByName(moved), f"pieces_{i + 1}")
