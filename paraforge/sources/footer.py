@@ -92,16 +92,20 @@ def file_facts(spark: SparkSession, path: str) -> list[FileFacts]:
     return out
 
 
-def preflight(spark: SparkSession, path: str) -> None:
-    """Rejects what the contract rejects and Spark would read, or fail on late. One file stands for a written table."""
+def preflight(spark: SparkSession, path: str) -> bool:
+    """Rejects what the contract rejects and Spark would read, or fail on late. One file stands for a written table.
+
+    True if the file has uncompressed pages with delta-encoded strings."""
     files = part_files(spark, path)
     if not files:
         raise InvalidFileError(f"{path}: no data files")
     for file in files[1:]:
         check_length(spark, file)
-    schema = _footer(spark, files[0]).getFileMetaData().getSchema()
-    for field in schema.getFields():
+    footer = _footer(spark, files[0])
+    for field in footer.getFileMetaData().getSchema().getFields():
         _check(field, field.getName(), False)
+    chunks = [c for b in footer.getBlocks() for c in b.getColumns()]
+    return any(c.getCodec().name() == "UNCOMPRESSED" and any(e.name() == "DELTA_BYTE_ARRAY" for e in c.getEncodings()) for c in chunks)
 
 
 def _annotation(field) -> str:
