@@ -65,4 +65,77 @@ QUERIES = {
     "op10_token_store": op10_token_store,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP1 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 2 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) WHEN len(ws) = 1 THEN ws ELSE [] END) AS s FROM w
+),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN edge e ON e.a = r.other)
+SELECT r.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(other) AS component_id, r.doc_id = min(other) AS kept
+FROM reach r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id, n.n
+"""
+
+_OP4 = f"""
+WITH d AS (
+  SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")})::BIGINT AS size,
+    (('0x' || substr(md5(doc_id || ':' || '{mixing.SEED}'), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
+  FROM documents
+),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+k AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS weight, 2 * source_size AS cap, sum(source_size) OVER ()::BIGINT AS everything FROM s),
+g AS (
+  SELECT *, coalesce(sum(cap) OVER o, 0)::BIGINT AS caps, coalesce(sum(weight) OVER o, 0)::BIGINT AS gone, sum(weight) OVER ()::BIGINT AS weights
+  FROM k WINDOW o AS (ORDER BY cap::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+f AS (SELECT *, 150 * everything - 100 * caps AS up, 100 * (weights - gone) AS down FROM g),
+l AS (SELECT min_by(struct_pack(gone := gone, up := up, down := down), gone) AS level FROM f WHERE weight * up <= cap * down),
+t AS (
+  SELECT source, source_size, CASE WHEN level IS NULL OR gone < level.gone THEN cap::DOUBLE ELSE (weight * level.up)::DOUBLE / level.down::DOUBLE END AS target
+  FROM f LEFT JOIN l ON true
+),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole_copies FROM t),
+q AS (SELECT *, target - whole_copies * source_size AS rest FROM p),
+r AS (
+  SELECT d.*, source_size, target, whole_copies, rest,
+    coalesce(sum(CASE WHEN size > 0 THEN size END) OVER (PARTITION BY q.source ORDER BY u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+)
+SELECT doc_id, size, source_size, target,
+  size * (whole_copies + CASE WHEN size > 0 AND rest > 0 AND before < rest AND before + size * 0.5 <= rest THEN 1 ELSE 0 END) AS taken
+FROM r
+"""
+
+_OP9 = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+windows AS (SELECT doc_id, len(ws) AS n, unnest(range(1, len(ws) - 6)) AS i, ws FROM d WHERE len(ws) >= 8),
+named AS (SELECT doc_id, i, array_to_string(ws[i : i + 7], ' ') AS s FROM windows),
+twice AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS c FROM named) WHERE c > 1),
+repeated AS (SELECT doc_id, sum(least(8, coalesce(following - i, 8))) AS n FROM twice GROUP BY 1),
+lines AS (
+  SELECT doc_id, source, t, line, lower(trim(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g'))) AS norm, len({_WORDS.format("line")}) AS w
+  FROM (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
+),
+hosts AS (SELECT source, count(DISTINCT t) AS n FROM d GROUP BY 1),
+common AS (SELECT l.source, norm FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, norm, h.n HAVING count(DISTINCT t) > {quality.MIN_DOCS} AND count(DISTINCT t) > h.n * {quality.MAX_SHARE}),
+lost AS (SELECT doc_id, sum(w) AS n FROM lines l JOIN common c ON l.source IS NOT DISTINCT FROM c.source AND l.norm = c.norm GROUP BY 1),
+same AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY 1),
+o AS (
+  SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(same.n, 0)::BIGINT AS n_dup_lines,
+    coalesce(repeated.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS lost_words
+  FROM d LEFT JOIN repeated USING (doc_id) LEFT JOIN lost USING (doc_id) LEFT JOIN same USING (doc_id)
+),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM o)
+SELECT *, NOT base_failed AND lost_words <= n_words * {quality.MAX_LOST} AS kept FROM b
+"""
+
+#: The others rest on tokenizers, media forms, byte positions, bootstrapped patterns, iterations or filters, which SQL can't
+#: express; tests hold them against brute-force versions.
+ORACLE_SQL: dict[str, str] = {"op1_near_duplicates": _OP1, "op4_mixing": _OP4, "op9_quality": _OP9}
