@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ def _payload(column: pa.Array) -> np.ndarray:
     """Bytes of strings and binaries in each row, nested ones included."""
     kind = column.type
     if pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_string(kind) or pa.types.is_large_binary(kind):
-        return np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0)).astype(np.int64)
+        return np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
     if pa.types.is_struct(kind):
         total = np.zeros(len(column), np.int64)
         for part in column.flatten():
@@ -46,8 +47,6 @@ def bounded_batches(df: DataFrame, rows: int, most_bytes: int, key: str) -> Data
     def run(batches):
         from pyspark import TaskContext
 
-        import pyarrow.compute  # noqa: F401
-
         part, number, held, size = TaskContext.get().partitionId(), 0, 0, 0
         for batch in batches:
             sizes = np.zeros(batch.num_rows, np.int64)
