@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, accept_within, hash_unit, numbered, sized_join, whole
+from .common import Workspace, accept_within, hash_unit, numbered, whole
 
 SHARDS, ROUNDS = 40, 8
 
