@@ -16,12 +16,14 @@ from .graph import components
 BANDS, BAND_ROWS = 40, 5
 REGISTERS = BANDS * BAND_ROWS
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2
-#: A pair is estimated first; below this similarity (over five standard deviations under 0.8) it is not confirmed.
-WORTH_CONFIRMING = 0.64
+#: A pair is estimated first; below this similarity (four standard deviations under 0.8) it is not confirmed.
+WORTH_CONFIRMING = 0.69
 #: Bits of the filter of documents whose shingle sets are written (8 MB to every worker, whatever the corpus).
 FILTER_BITS = 1 << 26
-#: Pivots of a bucket by round; the last number holds for all later rounds.
-PIVOTS = (1, 8, 32)
+#: About how many pivots a group has in the rounds after the first; the last number holds for all later ones.
+PIVOTS = (16, 256)
+#: About how many members of a group one task compares with the group's pivots.
+MEMBERS = 2000
 
 
 def _constants() -> tuple[np.ndarray, np.ndarray]:
@@ -177,15 +179,43 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
+def _matcher(percent: int):
+    """For a block of members and the pivots of its group: the links between them, of different components only."""
+
+    def match(members, pivots):
+        names = [t.column("node").to_numpy() for t in (members, pivots)]
+        labels = [t.column("label").to_numpy() for t in (members, pivots)]
+        sizes = [t.column("n").to_numpy().astype(np.float64) for t in (members, pivots)]
+        sketches = [np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype="<u2").reshape(-1, REGISTERS) for t in (members, pivots)]
+        sets = [[np.frombuffer(s, np.uint64) for s in t.column("shingles").to_pylist()] for t in (members, pivots)]
+        a, b = [], []
+        for i in range(len(names[1])):
+            n = sizes[1][i]
+            near = (sketches[0] == sketches[1][i]).sum(axis=1) >= WORTH_CONFIRMING * percent / 80 * REGISTERS  # with so fine a scale about the estimate
+            near &= (labels[0] != labels[1][i]) & (100 * np.minimum(sizes[0], n) >= percent * np.maximum(sizes[0], n))
+            at = np.flatnonzero(near)
+            if len(at):
+                own = [sets[0][j] for j in at.tolist()]
+                starts = np.cumsum([0, *map(len, own[:-1])])
+                both = np.add.reduceat(np.isin(np.concatenate(own), sets[1][i], kind="sort"), starts, dtype=np.int64)
+                for j in at[100 * both >= percent * (sizes[0][at] + n - both)].tolist():
+                    a.append(int(names[0][j]))
+                    b.append(int(names[1][i]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return match
+
+
 def near_duplicates(docs: DataFrame, ws: Workspace, size: int = 2, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """For each row: doc_id, n_shingles, component_id (the smallest doc_id that links reach), kept.
 
-    Word sequences are first made unique. Those in one bucket of any band are compared with a few pivots of the bucket, not with each
-    other: a pivot is tested against every member of another component, by estimate and then on full sets, and then
-    leaves the bucket. Buckets whose members are in one component need no more tests. It ends when no bucket has members in
-    two components, so every pair that shares a bucket is tested or already connected, and a large group of
-    near copies costs about its size. Two documents at the threshold share no bucket with a probability of
-    (1 - 0.8**5)**40, about 1e-7.
+    Word sequences are first made unique. Each bucket of a band has a most central document, and all documents whose buckets have
+    the same one are a group. Members are tested against the central document first, by estimate and then on full sets. Then
+    pivots from outside the group's largest component are tested against the members of other components, in
+    blocks of members, and leave the group; only links come out of a block. It ends when no group
+    has members in two components, so all pairs that share a bucket are tested or already connected, and
+    a large group of copies costs about its size. Two documents at the threshold share no bucket with a
+    probability of (1 - 0.8**5)**40, about 1e-7.
 
     A null or empty text, or one without words, has n_shingles 0 and is a component of its own. Repeated rows each get a row;
     rows of one doc_id with different words are compared by their words. A null doc_id is linked with nothing, its component_id is null and it is kept. An empty table gives an empty one."""
@@ -195,38 +225,49 @@ def near_duplicates(docs: DataFrame, ws: Workspace, size: int = 2, percent: int
     nodes = some.join(first, "digest").where("doc_id = node").select("node", "digest", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["digest"])
     nodes = ws.save(nodes, "nodes")
     bands = ws.save(_bands(nodes).distinct(), "bands")
-    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    buckets = ws.save(bands.join(shared, "bucket"), "buckets_0")
+    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sized = ws.save(bands.join(shared, "bucket"), "sized")
     ws.drop("bands")
-    active = ws.save(buckets.select("node").distinct(), "active")
+    active = ws.save(sized.select("node").distinct(), "active")
     sketched = ws.save(nodes.join(active, "node"), "sketched")
-    sets = ws.save(_sets(docs, active, size, text, key), "sets", codec="uncompressed")
-    ws.drop("nodes")
-    x = sketched.select(F.col("node").alias("a"), F.col("sketch").alias("xs"), F.col("n").alias("xn"))
-    y = sketched.select(F.col("node").alias("b"), F.col("sketch").alias("ys"), F.col("n").alias("yn"))
-    labels, links, tested, i = None, None, None, 0
+    sets = _sets(docs, active, size, text, key).dropDuplicates(["node"])
+    profiles = ws.save(sketched.join(sets, "node").select("node", "n", "sketch", "shingles"), "profiles", codec="uncompressed")
+    ws.drop("nodes", "sketched")
+    #: The central document is in the largest buckets: in a group of copies it is the text that they were made from, or close to it.
+    central = sized.groupBy("node").agg(F.sum("n").alias("score"))
+    middle = sized.join(central, "node").groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("m")).select("bucket", F.col("m.node").alias("group"))
+    groups = ws.save(sized.select("bucket", "node").join(middle, "bucket").select("group", "node").distinct(), "groups_0")
+    ws.drop("sized")
+    x = profiles.select(F.col("node").alias("a"), F.col("sketch").alias("xs"), F.col("n").alias("xn"))
+    y = profiles.select(F.col("node").alias("b"), F.col("sketch").alias("ys"), F.col("n").alias("yn"))
+    asked = groups.where("node <> group").select(F.col("node").alias("a"), F.col("group").alias("b"))
+    likely = ws.save(_likely(asked.join(x, "a").join(y, "b"), percent), "likely")
+    links = ws.save(_confirmed(likely, profiles, percent), "links_0")
+    labels, i = (components(links, ws, "components_0") if links.limit(1).count() else None), 0
     while True:
-        members = buckets.withColumn("label", F.col("node")) if labels is None else buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+        i += 1
+        members = groups.withColumn("label", F.col("node")) if labels is None else groups.join(labels, "node", "left").select("group", "node", F.coalesce("label", "node").alias("label"))
         members = ws.save(members, f"members_{i}")
-        pivots = PIVOTS[min(i, len(PIVOTS) - 1)]
-        picks = [F.min(F.struct(F.xxhash64("node", F.lit(i * 64 + j)).alias("h"), "node", "label")) for j in range(pivots)] if i else [F.min(F.struct("node", "label"))]
-        mixed = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.array_distinct(F.array(*[F.struct(p["node"].alias("node"), p["label"].alias("label")) for p in picks])).alias("pivots"))
-        mixed = ws.save(mixed.where("low <> high").select("bucket", F.explode("pivots").alias("pivot")).select("bucket", F.col("pivot.node").alias("pivot"), F.col("pivot.label").alias("pivot_label")), f"pivots_{i}")
-        if not mixed.limit(1).count():
+        sizes = members.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
+        parts = sizes.groupBy("group").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        blocks = F.ceil(F.col("n") / MEMBERS).cast("int")
+        parts = parts.select("group", F.col("main.label").alias("main"), (F.col("n") - F.col("main.n")).alias("outside"), blocks.alias("blocks"))
+        members = ws.save(members.join(parts, "group"), f"open_{i}")
+        if not members.limit(1).count():
             break
-        asked = members.join(mixed, "bucket").where("label <> pivot_label").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        if tested is not None:
-            asked = asked.join(tested, ["a", "b"], "left_anti")
-        asked = ws.save(asked, f"asked_{i}")
-        likely = ws.save(_likely(asked.join(x, "a").join(y, "b"), percent).distinct(), f"likely_{i}")
-        found = ws.save(_confirmed(likely, sets, percent), f"links_{i}")
-        links = found if links is None else links.unionByName(found)
-        tested = asked if tested is None else tested.unionByName(asked)
-        labels = components(links, ws, f"components_{i}")
-        left = members.join(mixed.select("bucket").distinct(), "bucket", "left_semi").select("bucket", "node")
-        buckets = ws.save(left.join(mixed.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti"), f"buckets_{i + 1}")
-        ws.drop(f"members_{i}", f"pivots_{i}", f"likely_{i}", f"buckets_{i}")
-        i += 1
+        #: Pivots come from outside a group's largest component: all of them, or about PIVOTS of them by a hash.
+        lot = F.pmod(F.xxhash64("node", F.lit(i)), F.lit(1 << 20)) * F.col("outside")
+        pivots = ws.save(members.where((F.col("label") != F.col("main")) & (lot < PIVOTS[min(i, len(PIVOTS)) - 1] << 20)), f"pivots_{i}")
+        own = ws.load(f"open_{i}", members.schema).join(profiles, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        against = pivots.join(ws.load("profiles", profiles.schema), "node").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        columns = ["group", "block", "node", "label", "n", "sketch", "shingles"]
+        met = own.select(*columns).groupBy("group", "block").cogroup(against.select(*columns).groupBy("group", "block"))
+        found = ws.save(met.applyInArrow(_matcher(percent), "a long, b long").distinct(), f"links_{i}")
+        if found.limit(1).count():
+            links = links.unionByName(found)
+            labels = components(links, ws, f"components_{i}")
+        groups = ws.save(members.select("group", "node").join(pivots.select("group", "node"), ["group", "node"], "left_anti"), f"groups_{i}")
+        ws.drop(f"groups_{i - 1}", f"members_{i}", f"open_{i}", f"pivots_{i}")
     known = sketches.select("doc_id", "n_shingles", "digest").join(first, "digest", "left")
     if labels is not None:
         known = known.join(labels, "node", "left").withColumn("node", F.coalesce("label", "node"))
