@@ -195,10 +195,12 @@ def byte_texts(column) -> list[bytes]:
 
 def byte_budget(batches: Iterator, column: int, most: int = 4 << 20) -> Iterator:
     """The record batches cut so that each holds about `most` bytes of a column, one row at least."""
+    import pyarrow.compute as pc
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.array([len(x) for x in byte_texts(batch.column(column))], dtype=np.int64)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         begin, total = 0, 0
         for i, n in enumerate(sizes):
             if total and total + n > most:
