@@ -20,6 +20,10 @@ SYMBOL = 32
 COMMON = LENGTH - (SYMBOL + 1) - SYMBOL
 #: Bits of the filters of repeated anchors (16 MB), of very common anchors (1 MB) and of touched documents (8 MB).
 ANCHOR_BITS, HOT_BITS, DOCUMENT_BITS = 1 << 27, 1 << 23, 1 << 26
+#: Bytes of an anchor's right and left context; each string has one of the two in full. HALF: largest offset with the right one.
+CONTEXT, HALF = 58, LENGTH - 58
+#: Texts that are cut up at a time.
+BATCH = 3 << 20
 #: From this number of occurrences on, an anchor's strings are compared by hash in Spark and not in one task.
 HOT = 20_000
 #: Bytes of pieces that are put into one suffix array.
@@ -53,7 +57,7 @@ def window_hashes(data: np.ndarray, length: int, factor: int = 0xD6E8FEB86659FD9
 
 
 def _pieces(raws: list[bytes]) -> tuple[np.ndarray, ...]:
-    """For the texts joined: the bytes, and for each anchor's run of strings: text, first string, number, anchor hash.
+    """For the texts joined: the bytes and their 24-byte windows' hashes, and for each anchor's run of strings: text, first string, number, anchor.
 
     A string's anchor is the least of its 24-byte windows by hash, the leftmost of equal ones; equal strings so have equal anchors at
     equal offsets, and strings with one anchor follow each other."""
@@ -62,7 +66,7 @@ def _pieces(raws: list[bytes]) -> tuple[np.ndarray, ...]:
     ends = np.cumsum(lengths)
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return data, none, none, none, none.astype(np.uint64)
+        return data, none.astype(np.uint64), none, none, none, none
     hashes = window_hashes(data, ANCHOR)
     least = (_mix(hashes + np.uint64(0x632BE5AB)) & ~np.uint64((1 << 32) - 1)) | np.arange(len(hashes), dtype=np.uint64)
     size = 1
@@ -80,7 +84,27 @@ def _pieces(raws: list[bytes]) -> tuple[np.ndarray, ...]:
     last_valid = ends[text[first]] - LENGTH
     after = np.concatenate([first[1:], [count]])
     number = np.minimum(after, last_valid + 1) - first
-    return data, text[first], first, number, hashes[anchor[first]]
+    return data, hashes, text[first], first, number, anchor[first]
+
+
+def context_keys(hashes: np.ndarray, first: np.ndarray, number: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each run the hashes of its anchor's right and left context, and which of the two its strings have.
+
+    A string that begins at most HALF bytes before its anchor has all of the CONTEXT bytes from the anchor on; one that begins
+    earlier has the CONTEXT bytes from HALF before the anchor on. So equal strings share a context. A context's hash is made
+    of the hashes of three anchor-long windows that cover it; `hashes` has those at every byte."""
+    last = CONTEXT - ANCHOR
+
+    def at(place: np.ndarray, salt: int) -> np.ndarray:
+        if len(hashes) <= last:
+            return np.zeros(len(place), np.uint64)
+        place = np.clip(place, 0, len(hashes) - 1 - last)
+        with np.errstate(over="ignore"):
+            x = _mix(hashes[place] + np.uint64(salt))
+            x = _mix(x * np.uint64(0xA0761D6478BD642F) + hashes[place + ANCHOR])
+            return _mix(x * np.uint64(0xA0761D6478BD642F) + hashes[place + last])
+
+    return at(anchor, 1), at(anchor - HALF, 2), anchor - (first + number - 1) <= HALF, anchor - first > HALF
 
 
 def _boundaries(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +201,28 @@ def _classes(data: np.ndarray, place: np.ndarray) -> np.ndarray:
     return classes
 
 
-def later_occurrences(pieces: list[bytes], ids: np.ndarray, places: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def joined_runs(ids: np.ndarray, places: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of which one begins where the other ends as one run."""
+    order = np.lexsort((places, ids))
+    ids, places, numbers = ids[order], places[order], numbers[order]
+    if not len(ids):
+        return ids, places, numbers
+    new = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (places[1:] != places[:-1] + numbers[:-1])]))
+    return ids[new], places[new], np.add.reduceat(numbers, new)
+
+
+def _live(pieces: list[bytes], numbers: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which pieces have a context that another one has too; at: where a piece's anchor is."""
+    begin = np.concatenate([[0], np.cumsum([len(p) for p in pieces])[:-1]]).astype(np.int64)
+    right, left, has_right, has_left = context_keys(window_hashes(np.frombuffer(b"".join(pieces), dtype=np.uint8), ANCHOR), begin, numbers, begin + at)
+    out = np.zeros(len(pieces), bool)
+    for keys, has in ((right, has_right), (left, has_left)):
+        _, back, n = np.unique(keys[has], return_inverse=True, return_counts=True)
+        out[np.flatnonzero(has)[n[back] > 1]] = True
+    return out
+
+
+def later_occurrences(pieces: list[bytes], ids: np.ndarray, places: np.ndarray, numbers: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, place, number): runs of strings that also start earlier (at a smaller id, or a smaller place of the same)."""
     order = np.lexsort((places, ids))
     firsts: dict[bytes, int] = {}
@@ -187,19 +232,15 @@ def later_occurrences(pieces: list[bytes], ids: np.ndarray, places: np.ndarray,
     copies = np.flatnonzero((first_of != np.arange(len(pieces))) & ((ids != ids[first_of]) | (places != places[first_of])))
     out = [(ids[copies], places[copies], numbers[copies])]
     distinct = np.array(sorted(firsts.values()), dtype=np.int64)
-    if len(distinct) > 1:
+    distinct = distinct[_live([pieces[i] for i in distinct.tolist()], numbers[distinct], at[distinct])] if len(distinct) > 1 else distinct[:0]
+    if len(distinct):
         piece, offset, classes = repeated_strings([pieces[i] for i in distinct.tolist()], numbers[distinct])
-        own, at = ids[distinct][piece], places[distinct][piece] + offset
-        order = np.lexsort((at, own, classes))
-        own, at, classes, piece, offset = (x[order] for x in (own, at, classes, piece, offset))
-        head = np.maximum.accumulate(np.where(np.concatenate([[True], classes[1:] != classes[:-1]]), np.arange(len(classes)), 0)) if len(classes) else np.zeros(0, np.int64)
-        later = (own != own[head]) | (at != at[head])
-        piece, offset, own, at = piece[later], offset[later], own[later], at[later]
-        order = np.lexsort((offset, piece))
-        piece, offset, own, at = (x[order] for x in (piece, offset, own, at))
-        if len(piece):
-            new = np.flatnonzero(np.concatenate([[True], (np.diff(piece) != 0) | (np.diff(offset) != 1)]))
-            out.append((own[new], at[new], np.diff(np.concatenate([new, [len(piece)]]))))
+        own, spot = ids[distinct][piece], places[distinct][piece] + offset
+        order = np.lexsort((spot, own, classes))
+        own, spot, classes = own[order], spot[order], classes[order]
+        head = np.maximum.accumulate(np.where(np.concatenate([[True], classes[1:] != classes[:-1]]), np.arange(len(classes)), 0)) if len(classes) else classes
+        later = (own != own[head]) | (spot != spot[head])
+        out.append((own[later], spot[later], np.ones(int(later.sum()), np.int64)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -218,9 +259,10 @@ def repeated_runs(rows: DataFrame, ws: Workspace) -> DataFrame:
     with the least occurrence of each hash instead, in joins that Spark can split."""
 
     def anchors(batches):
-        for batch in byte_budget(batches, 1, 8 << 20):
-            *_, hashes = _pieces(byte_texts(batch.column(1)))
-            keys, n = np.unique(hashes, return_counts=True)
+        for batch in byte_budget(batches, 1, BATCH):
+            _, hashes, _, first, number, anchor = _pieces(byte_texts(batch.column(1)))
+            right, left, has_right, has_left = context_keys(hashes, first, number, anchor)
+            keys, n = np.unique(np.concatenate([right[has_right], left[has_left]]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
 
     repeated = ws.save(rows.mapInArrow(anchors, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "anchors")
@@ -230,46 +272,59 @@ def repeated_runs(rows: DataFrame, ws: Workspace) -> DataFrame:
 
     def cut(batches):
         bits, hot_bits = np.frombuffer(mask.value, dtype=np.uint8), np.frombuffer(hot.value, dtype=np.uint8)
-        for batch in byte_budget(batches, 1, 8 << 20):
-            data, text, first, number, hashes = _pieces(byte_texts(batch.column(1)))
-            keep = bloom_test(bits, hashes)
-            text, first, number, hashes = text[keep], first[keep], number[keep], hashes[keep]
-            ids = batch.column(0).to_numpy()[text]
+        for batch in byte_budget(batches, 1, BATCH):
+            data, hashes, text, first, number, anchor = _pieces(byte_texts(batch.column(1)))
+            right, left, has_right, has_left = context_keys(hashes, first, number, anchor)
+            keep = has_right & bloom_test(bits, right) | has_left & bloom_test(bits, left)
+            hot_right, hot_left = ((has & bloom_test(hot_bits, x))[keep] for has, x in ((has_right, right), (has_left, left)))
+            text, first, number, anchor = (x[keep] for x in (text, first, number, anchor))
+            hashes = hashes[anchor]
+            #: Strings before `middle` have the left context, the others the right one; hot ones leave the piece.
+            middle = first + np.clip(anchor - HALF - first, 0, number)
+            start, stop = np.where(hot_left, middle, first), np.where(hot_right, middle, first + number)
+            parts = [(start, stop, stop > start, 0), (first, middle, hot_left & (middle > first), 1), (middle, first + number, hot_right & (first + number > middle), 1)]
+            starts, stops, texts, keys, at, kinds = (np.concatenate(x) for x in zip(*[(a[m], b[m], text[m], hashes[m], (anchor - a)[m], np.full(int(m.sum()), k)) for a, b, m, k in parts], strict=True))
+            ids = batch.column(0).to_numpy()[texts]
             lengths = np.array([len(t) for t in byte_texts(batch.column(1))], dtype=np.int64)
-            places = first - (np.cumsum(lengths) - lengths)[text]
+            places, counts = starts - (np.cumsum(lengths) - lengths)[texts], stops - starts
             raw = data.tobytes()
-            pieces = [raw[a : a + n + LENGTH - 1] for a, n in zip(first.tolist(), number.tolist(), strict=True)]
+            pieces = [raw[x : y + LENGTH - 1] for x, y in zip(starts.tolist(), stops.tolist(), strict=True)]
             #: Of equal pieces of the batch the first stays; the others are known to be repeats.
             carrier: dict[bytes, int] = {}
             first_of = np.empty(len(pieces), np.int64)
             for i in np.lexsort((places, ids)).tolist():
                 first_of[i] = carrier.setdefault(pieces[i], i)
             is_copy = first_of != np.arange(len(pieces))
-            same_place = is_copy & (ids == ids[first_of]) & (places == places[first_of])
-            is_hot = bloom_test(hot_bits, hashes) if len(hashes) else is_copy
-            kinds = np.where(is_copy, 2, np.where(is_hot, 1, 0))
-            chosen = np.flatnonzero(~same_place)
+            own = np.flatnonzero(~is_copy)
+            none = pa.nulls(0, pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(kinds[chosen].astype(np.int32)), pa.array(hashes.view(np.int64)[chosen]), pa.array(ids[chosen]), pa.array(places[chosen].astype(np.int32)),
-                    pa.array(number[chosen].astype(np.int32)), pa.array([None if is_copy[i] else pieces[i] for i in chosen.tolist()], pa.binary()),
+                    pa.array(kinds[own].astype(np.int32)), pa.array(keys.view(np.int64)[own]), pa.array(at[own].astype(np.int32)), pa.array(ids[own]),
+                    pa.array(places[own].astype(np.int32)), pa.array(counts[own].astype(np.int32)), pa.array([pieces[i] for i in own.tolist()], pa.binary()),
                 ],
-                ["kind", "key", "id", "place", "number", "piece"],
+                ["kind", "key", "at", "id", "place", "number", "piece"],
             )
+            copies = np.flatnonzero(is_copy & ((ids != ids[first_of]) | (places != places[first_of])))
+            ids, places, counts = joined_runs(ids[copies], places[copies], counts[copies])
+            zero = pa.array(np.zeros(len(ids), np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(ids), 2, np.int32)), pa.array(np.zeros(len(ids), np.int64)), zero, pa.array(ids), pa.array(places.astype(np.int32)), pa.array(counts.astype(np.int32)), pa.concat_arrays([none, pa.nulls(len(ids), pa.binary())])],
+                ["kind", "key", "at", "id", "place", "number", "piece"],
+            )
 
-    pieces = ws.save(rows.mapInArrow(cut, f"kind int, key long, {RUNS}, piece binary"), "pieces")
+    pieces = ws.save(rows.mapInArrow(cut, f"kind int, key long, at int, {RUNS}, piece binary"), "pieces")
     ws.drop("anchors")
 
     def compared(batches):
         def done(held):
             if held:
-                keys, ids, places, numbers, texts = (np.concatenate(x) if i < 4 else [t for y in x for t in y] for i, x in enumerate(zip(*held, strict=True)))
-                yield _runs(*later_occurrences(texts, ids, places.astype(np.int64), numbers.astype(np.int64)))
+                _, at, ids, places, numbers, texts = (np.concatenate(x) if i < 5 else [t for y in x for t in y] for i, x in enumerate(zip(*held, strict=True)))
+                yield _runs(*joined_runs(*later_occurrences(texts, ids, *(x.astype(np.int64) for x in (places, numbers, at)))))
 
         held, size = [], 0
         for batch in batches:
-            keys, ids, places, numbers = (batch.column(i).to_numpy() for i in range(4))
-            texts = batch.column(4).to_pylist()
+            keys, at, ids, places, numbers = (batch.column(i).to_numpy() for i in range(5))
+            texts = batch.column(5).to_pylist()
             begin = 0
             edges = np.concatenate([np.flatnonzero(np.diff(keys)) + 1, [len(keys)]]).tolist()
             if held and len(keys) and held[-1][0][-1] != keys[0] and size >= BLOCK:
@@ -277,14 +332,14 @@ def repeated_runs(rows: DataFrame, ws: Workspace) -> DataFrame:
                 held, size = [], 0
             for edge in edges:
                 size += sum(map(len, texts[begin:edge]))
-                held.append((keys[begin:edge], ids[begin:edge], places[begin:edge], numbers[begin:edge], texts[begin:edge]))
+                held.append((keys[begin:edge], at[begin:edge], ids[begin:edge], places[begin:edge], numbers[begin:edge], texts[begin:edge]))
                 begin = edge
                 if size >= BLOCK and edge < len(keys):
                     yield from done(held)
                     held, size = [], 0
         yield from done(held)
 
-    cold = pieces.where("kind = 0").select("key", "id", "place", "number", "piece")
+    cold = pieces.where("kind = 0").select("key", "at", "id", "place", "number", "piece")
     found = cold.repartition("key").sortWithinPartitions("key").mapInArrow(compared, RUNS)
     copies = pieces.where("kind = 2").select("id", "place", "number")
     return found.unionByName(copies).unionByName(_hot_runs(pieces.where("kind = 1")))
