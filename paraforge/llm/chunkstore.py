@@ -7,6 +7,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -137,18 +138,28 @@ def recipe_of(chunks: list[bytes]) -> tuple[bytes, list[int]]:
     return b"".join(map(digest, chunks)), [len(c) for c in chunks]
 
 
-def pack(payload: bytes, recipe: bytes, lengths: list[int], mask: np.ndarray) -> tuple:
-    if not lengths:
-        return b"", [], [], [], [], b"", merkle([])
-    d1, d2 = halves([recipe])
-    shared = np.flatnonzero(bloom_test(mask, d1))
-    own, at, last = [], np.concatenate([[0], np.cumsum(lengths)]), 0
-    for i in shared.tolist():
-        own.append(payload[last : at[i]])
-        last = at[i + 1]
-    own.append(payload[last:])
-    names = [recipe[i : i + DIGEST] for i in range(0, len(recipe), DIGEST)]
-    return recipe, lengths, shared.tolist(), d1[shared].tolist(), d2[shared].tolist(), b"".join(own), merkle(names)
+def _flags(recipes: list[bytes], mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The halves of all digests of a batch, whether they may be repeated, and the ends of the recipes."""
+    d1, d2 = halves(recipes)
+    return d1, d2, bloom_test(mask, d1), np.cumsum([len(r) // DIGEST for r in recipes])
+
+
+def pack(payloads: list[bytes], recipes: list[bytes], lengths: list[list[int]], mask: np.ndarray) -> list[tuple]:
+    d1, d2, flags, ends = _flags(recipes, mask)
+    out, begin = [], 0
+    for payload, recipe, own, end in zip(payloads, recipes, lengths, ends.tolist(), strict=True):
+        shared = np.flatnonzero(flags[begin:end])
+        parts, last = [payload], 0
+        if len(shared):
+            parts, at = [], [0, *accumulate(own)]
+            for i in shared.tolist():
+                parts.append(payload[last : at[i]])
+                last = at[i + 1]
+            parts.append(payload[last:])
+        names = [recipe[i : i + DIGEST] for i in range(0, len(recipe), DIGEST)]
+        out.append((recipe, own, shared.tolist(), d1[begin:end][shared].tolist(), d2[begin:end][shared].tolist(), b"".join(parts), merkle(names)))
+        begin = end
+    return out
 
 
 SHARED = "d1 long, d2 long, chunk binary"
@@ -157,11 +168,15 @@ SHARED = "d1 long, d2 long, chunk binary"
 def shared_batch(payloads: list[bytes], recipes: list[bytes], lengths: list[list[int]], mask: np.ndarray) -> pa.RecordBatch:
     """The chunks of a batch that may be repeated, each once."""
     once: dict[bytes, bytes] = {}
-    for payload, recipe, own in zip(payloads, recipes, lengths, strict=True):
-        if own:
-            at = np.concatenate([[0], np.cumsum(own)]).tolist()
-            for i in np.flatnonzero(bloom_test(mask, halves([recipe])[0])).tolist():
+    _, _, flags, ends = _flags(recipes, mask)
+    begin = 0
+    for payload, recipe, own, end in zip(payloads, recipes, lengths, ends.tolist(), strict=True):
+        shared = np.flatnonzero(flags[begin:end]).tolist()
+        if shared:
+            at = [0, *accumulate(own)]
+            for i in shared:
                 once.setdefault(recipe[i * DIGEST : (i + 1) * DIGEST], payload[at[i] : at[i + 1]])
+        begin = end
     d1, d2 = halves(list(once))
     return pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), pa.array(list(once.values()), pa.binary())], ["d1", "d2", "chunk"])
 

@@ -76,7 +76,8 @@ def write_media(docs: DataFrame, ws: Workspace, text: str = "text", key: str = "
     def packed(batches):
         bits = np.frombuffer(mask.value, dtype=np.uint8)
         for batch, texts, payloads in media(batches):
-            found = [store.pack(p, *store.recipe_of(c), bits) for p, c in zip(payloads, store.chunked(payloads, cutting), strict=True)]
+            recipes, lengths = zip(*map(store.recipe_of, store.chunked(payloads, cutting)), strict=True)
+            found = store.pack(payloads, recipes, lengths, bits)
             keys = [hashlib.blake2b(repr(i).encode() + p, digest_size=16).digest() for i, p in zip(batch.column(0).to_pylist(), payloads, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(0), pa.array([len(t) for t in texts], pa.int64()), *store.pack_columns(found)], ["key", "doc_id", "n_bytes", *store.PACK_NAMES])
 

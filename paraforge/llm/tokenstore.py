@@ -9,6 +9,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,6 +70,9 @@ class WordTokenizer:
         rest = []
         for i, word in enumerate(words):
             tail = tails.get(word[-1:], b"")
+            if tail and word[-2:-1].isalnum() and (before := self.known.get(word[:-1])):
+                out[i] = before + tail
+                continue
             core = (word[:-1] if tail else word).decode()
             if core.isalpha() and core == core.lower() and max(core) < "\u0250":
                 form = core if core.isascii() else core.encode().decode("latin-1").translate(self.byte_chars)
@@ -80,29 +84,31 @@ class WordTokenizer:
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian integers of `width` bytes, with the end id after them."""
+        """The ids of each text as little-endian integers of `width` bytes, with the end id after them.
+
+        All words of the texts are put into a dictionary first, so that a word is looked up once for many places."""
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
         known, end = self.known, np.array([END], dtype=self.kind).tobytes()
-        found: list[list[bytes]] = []
-        gaps: list[tuple[int, list[bytes]]] = []
-        new: dict[bytes, None] = {}
-        for n, text in enumerate(texts):
-            if b"<|" in text:
-                found.append(self._ids([text.decode()]))
-                continue
-            words = (text.lower() if self.plain else text).split()  # of bytes: exactly the ASCII separators and A-Z
-            ids = list(map(known.get, words))
-            if None in ids:
-                lost = [w for w, x in zip(words, ids, strict=True) if x is None]
-                new.update(dict.fromkeys(lost))
-                gaps.append((n, lost))
-            found.append(ids)
-        known.update(zip(new, self._new(list(new)), strict=True))
-        for n, lost in gaps:
-            fill = iter(lost)
-            found[n] = [known[next(fill)] if x is None else x for x in found[n]]
-        return [b"".join(x) + end for x in found]
+        whole_texts = {i: self._ids([t.decode()])[0] + end for i, t in enumerate(texts) if b"<|" in t}
+        column = pa.array([b"" if i in whole_texts else t for i, t in enumerate(texts)], pa.large_binary()).cast(pa.large_string())
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(column) if self.plain else column)  # exactly the ASCII separators and A-Z
+        owner = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+        encoded = lists.flatten().dictionary_encode()
+        codes = encoded.indices.to_numpy()
+        words = [w.encode() for w in encoded.dictionary.to_pylist()]
+        known[b""] = b""
+        new = [w for w in words if w not in known]
+        known.update(zip(new, self._new(new), strict=True))
+        ids = [known[w] for w in words]
+        sizes = np.array([len(x) // self.width for x in ids], dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes
+        table = np.frombuffer(b"".join(ids), dtype=self.kind)
+        size, start = sizes[codes], starts[codes]
+        place = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+        flat = table[place].tobytes()
+        stops = (np.cumsum(np.bincount(owner, weights=size, minlength=len(texts)).astype(np.int64)) * self.width).tolist()
+        return [whole_texts.get(i) or flat[x:y] + end for i, (x, y) in enumerate(zip([0, *stops], stops))]
 
 
 def cutting(width: int) -> store.Cutting:
@@ -135,7 +141,7 @@ def write_tokens(docs: DataFrame, ws: Workspace, text: str = "text", key: str =
             lengths = pa.array([[len(c) for c in own] for own in chunks], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(recipes, pa.binary()), lengths], ["doc_id", "ids", "recipe", "lengths"])
 
-    staged = ws.save(rows.mapInArrow(encoded, "doc_id long, ids binary, recipe binary, lengths array<int>"), "staged", codec="snappy")
+    staged = ws.save(rows.mapInArrow(encoded, "doc_id long, ids binary, recipe binary, lengths array<int>"), "staged")
 
     def digests(batches):
         for batch in batches:
@@ -148,7 +154,7 @@ def write_tokens(docs: DataFrame, ws: Workspace, text: str = "text", key: str =
         start, place, chain = 0, 0, b""
         for batch in byte_budget(batches, 1):
             ids = byte_texts(batch.column(1))
-            found = [store.pack(*x, bits) for x in zip(ids, byte_texts(batch.column(3)), batch.column(4).to_pylist(), strict=True)]
+            found = store.pack(ids, byte_texts(batch.column(3)), batch.column(4).to_pylist(), bits)
             n = np.array([len(x) // how.width for x in ids], dtype=np.int64)
             starts = start + np.cumsum(n) - n
             start += int(n.sum())
