@@ -18,8 +18,11 @@ END = b"\n"
 #: Counts are held as 1 + floor(log2(count)). A word or pair enters the filter once for each level up to its own.
 #: Pairs seen once are left out at every corpus size; probes for them back off to the word.
 MIN_PAIR = 2
-#: Bits of the filter (32 MB to every worker, whatever the corpus) in segments that are filled one after another.
-FILTER_BITS, SEGMENTS = 1 << 28, 4096
+#: The filter has one segment for each value of a key's top 12 bits. A segment is sized by the (key, level) entries it
+#: gets: with 16 bits and 4 hashes an entry, at most 22 % of its bits are set, whatever the corpus.
+SEGMENTS, BITS_PER_ENTRY, LEAST_BITS = 4096, 16, 1024
+#: Bytes of text whose keys are looked up together.
+UNIT_BYTES = 8 << 20
 HASHES = 4
 #: Weight of the pair's share against the word's own probability.
 LAMBDA = 0.6
@@ -49,30 +52,31 @@ def level(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64)
 
 
-def positions(keys: np.ndarray, at_level: np.ndarray | int, bits: int, segments: int) -> np.ndarray:
-    """The filter bits (HASHES x keys) of a key at a level; all lie in the segment that the key's top bits name."""
-    own = bits // segments
+def positions(keys: np.ndarray, at_level: np.ndarray | int, bits: int) -> np.ndarray:
+    """The bits (HASHES x keys) of a key at a level, in a segment of so many bits."""
     with np.errstate(over="ignore"):
         h = mix(keys ^ (np.asarray(at_level, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
         step = mix(h + np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-        base = (keys >> np.uint64(64 - segments.bit_length() + 1)) * np.uint64(own)
-        return np.stack([base + ((h + np.uint64(i) * step) >> np.uint64(20)) % np.uint64(own) for i in range(HASHES)])
+        return np.stack([((h + np.uint64(i) * step) >> np.uint64(20)) % np.uint64(bits) for i in range(HASHES)])
 
 
-def fill(mask: np.ndarray, keys: np.ndarray, counts: np.ndarray, bits: int, segments: int) -> None:
-    """Enters keys of one segment with their counts into that segment's bytes."""
+def segment_mask(keys: np.ndarray, counts: np.ndarray, bits: int | None = None) -> np.ndarray:
+    """The bytes of a segment that holds the keys with their counts, sized by its entries unless bits are given."""
     top = level(counts)
+    bits = -(-(bits or max(LEAST_BITS, BITS_PER_ENTRY * int(top.sum()))) // 8) * 8
+    mask = np.zeros(bits // 8, dtype=np.uint8)
     for at_level in range(1, int(top.max(initial=0)) + 1):
-        at = positions(keys[top >= at_level], at_level, bits, segments).ravel() % np.uint64(bits // segments)
+        at = positions(keys[top >= at_level], at_level, bits).ravel()
         np.bitwise_or.at(mask, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+    return mask
 
 
-def probe(mask: np.ndarray, keys: np.ndarray, segments: int) -> np.ndarray:
-    """The level of each key, 0 if it is not there: levels are probed upwards until one is missing."""
+def probe(mask: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The level of each key of a segment, 0 if it is not there: levels are probed upwards until one is missing."""
     out = np.zeros(len(keys), dtype=np.int64)
     live, at_level = np.arange(len(keys)), 1
     while len(live):
-        at = positions(keys[live], at_level, len(mask) * 8, segments)
+        at = positions(keys[live], at_level, len(mask) * 8)
         there = ((mask[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1)).all(axis=0)
         live = live[there]
         out[live] = at_level
@@ -87,23 +91,12 @@ def count_of(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 1, 0.75 * 2.0**levels, levels)
 
 
-class Model:
-    """p(w | h) = LAMBDA * c(h, w) / c(h) + (1 - LAMBDA) * (c(w) + 1) / (N + V + 1), all counts from the filter.
-
-    Where the filter has no pair or no h, the first part is left out and the second has all the weight."""
-
-    def __init__(self, mask: np.ndarray, total: int, distinct: int, segments: int = SEGMENTS):
-        self.mask, self.total, self.distinct, self.segments = mask, total, distinct, segments
-
-    def log10(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """For pairs of word hashes the log10 probabilities of the second after the first."""
-        words, back = np.unique(np.concatenate([first, second]), return_inverse=True)
-        single = count_of(probe(self.mask, mix(words), self.segments))
-        left, right = single[back[: len(first)]], single[back[len(first) :]]
-        pair = count_of(probe(self.mask, pair_key(first, second), self.segments))
-        own = (right + 1) / (self.total + self.distinct + 1)
-        share = np.minimum(pair / np.maximum(left, 1), 1.0)
-        return np.log10(np.where((pair > 0) & (left > 0), LAMBDA * share + (1 - LAMBDA) * own, own))
+def log10_share(pair: np.ndarray, left: np.ndarray, right: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    """log10 of p(w | h) = LAMBDA * c(h, w) / c(h) + (1 - LAMBDA) * (c(w) + 1) / (N + V + 1), from the counts of the
+    pair, h and w in the filter. Where it has no pair or no h, the first part is left out and the second has all the weight."""
+    own = np.minimum((right + 1) / (total + distinct + 1), 1.0)
+    share = np.minimum(pair / np.maximum(left, 1), 1.0)
+    return np.log10(np.where((pair > 0) & (left > 0), LAMBDA * share + (1 - LAMBDA) * own, own))
 
 
 def is_held_out(doc_id) -> bool:
@@ -138,89 +131,94 @@ def count_words(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def count_pairs(rows: DataFrame, segments: int) -> DataFrame:
-    """(segment, key, n): partial counts of the training texts' pairs, each text begun with an end token."""
+class Unit:
+    """The tokens of some texts and their keys: those of the words and of the pairs, each text begun with an end token."""
 
-    def run(batches):
-        for batch in byte_budget(batches, 1, 16 << 20):
-            raws = [t for i, t in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True) if not is_held_out(i)]
-            if not raws:
-                continue
-            flat, ends, words = _tokens(raws)
-            hashes = word_hash(words)[flat]
-            before = np.concatenate([hashes[-1:], hashes[:-1]])
-            before[np.concatenate([[0], ends[:-1]])] = word_hash([END])[0]
-            keys, n = np.unique(pair_key(before, hashes), return_counts=True)
-            segment = (keys >> np.uint64(64 - segments.bit_length() + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(segment), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int32))], ["segment", "key", "n"])
+    def __init__(self, raws: list[bytes]):
+        self.flat, self.ends, words = _tokens(raws)
+        self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
+        self.words = word_hash(words)
+        self.hashes = self.words[self.flat]
+        before = np.concatenate([self.hashes[-1:], self.hashes[:-1]])
+        before[self.starts] = word_hash([END])[0]
+        self.first = np.concatenate([self.flat[-1:], self.flat[:-1]])
+        #: Every text ends with END, so END is among the words.
+        self.first[self.starts] = words.index(END)
+        self.pairs, self.pair_at = np.unique(pair_key(before, self.hashes), return_inverse=True)
+        both = np.concatenate([mix(self.words), self.pairs])
+        self.order = np.argsort(both, kind="stable")
+        self.keys = both[self.order]
 
-    return rows.mapInArrow(run, "segment int, key long, n int")
+    def counts(self, training: np.ndarray) -> np.ndarray:
+        """For each key its count in the texts that are in training; those of words are negative."""
+        weight = np.repeat(training, np.diff(self.ends, prepend=0)).astype(np.float64)
+        words = np.bincount(self.flat, weight, len(self.words))
+        return np.concatenate([-words, np.bincount(self.pair_at, weight, len(self.pairs))]).astype(np.int32)[self.order]
 
+    def levels(self, of_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The levels of the words and of the pairs, from those of the keys."""
+        out = np.empty(len(self.order), dtype=np.int64)
+        out[self.order] = of_keys
+        return out[: len(self.words)], out[len(self.words) :]
 
-def build_filter(rows: DataFrame, words: DataFrame, bits: int = FILTER_BITS, segments: int = SEGMENTS) -> np.ndarray:
-    """The filter's bytes. Counts are sorted by segment and key, so a task sums them as they stream by and holds one
-    segment's bytes; the driver gets bits / 8 bytes, whatever the corpus. Segments are hashes, so common words
-    don't gather in one task."""
 
-    def of_words(batches):
-        for batch in batches:
-            keys = mix(word_hash(batch.column(0).to_pylist()))
-            segment = (keys >> np.uint64(64 - segments.bit_length() + 1)).astype(np.int32)
-            n = np.minimum(batch.column(1).to_numpy(), np.iinfo(np.int32).max).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(segment), pa.array(keys.view(np.int64)), pa.array(-n)], ["segment", "key", "n"])
+def _packed(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """A binary array with one element for the values between each edge and the next."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def pack_keys(units: DataFrame, segments: int = SEGMENTS) -> DataFrame:
+    """(unit, segment, keys, counts): the sorted keys of a unit that lie in a segment, with their training counts."""
 
-    size = bits // segments // 8
+    def run(key, table):
+        unit = Unit(byte_texts(table.column("__text")))
+        counts = unit.counts(np.array([not is_held_out(i) for i in table.column("doc_id").to_pylist()]))
+        segment = (unit.keys >> np.uint64(64 - segments.bit_length() + 1)).astype(np.int32)
+        starts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
+        edges = np.append(starts, len(segment))
+        return pa.table({"unit": pa.array(np.full(len(starts), key[0].as_py())), "segment": segment[starts], "keys": _packed(unit.keys, edges), "counts": _packed(counts, edges)})
 
-    def filled(batches):
-        def out(segment, mask):
-            return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([mask.tobytes()], pa.binary())], ["segment", "mask"])
+    return units.groupBy("unit").applyInArrow(run, "unit long, segment int, keys binary, counts binary")
 
-        current, mask = None, None
-        last = None  # the last key so far, with its segment and the sum of its counts: more may follow
+
+def look_up(packed: DataFrame, bits: int | None = None) -> DataFrame:
+    """(unit, segment, levels): for each row of pack_keys() the levels of its keys, a byte each.
+
+    A task holds one segment at a time: the keys of all units there are summed, entered and probed."""
+
+    def found(segment, rows):
+        keys = np.frombuffer(b"".join(r[1] for r in rows), dtype=np.uint64)
+        distinct, at = np.unique(keys, return_inverse=True)
+        sums = np.bincount(at, np.frombuffer(b"".join(r[2] for r in rows), dtype=np.int32)).astype(np.int64)
+        own = (sums < 0) | (sums >= MIN_PAIR)
+        mask = segment_mask(distinct[own], np.abs(sums[own]), bits)
+        levels = probe(mask, distinct).astype(np.uint8)[at]
+        edges = np.concatenate([[0], np.cumsum([len(r[1]) // 8 for r in rows])])
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(np.full(len(rows), segment, dtype=np.int32)), _packed(levels, edges)], ["unit", "segment", "levels"])
+
+    def run(batches):
+        current, held = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            segment, keys, n = (batch.column(i).to_numpy() for i in range(3))
-            starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (segment[1:] != segment[:-1])]))
-            segment, keys, sums = segment[starts], keys[starts].view(np.uint64), np.add.reduceat(n.astype(np.int64), starts)
-            if last is not None:
-                if last[:2] == (segment[0], keys[0]):
-                    sums[0] += last[2]
-                else:
-                    segment, keys, sums = (np.concatenate([[x], y]).astype(y.dtype) for x, y in zip(last, (segment, keys, sums), strict=True))
-            last = (segment[-1], keys[-1], sums[-1])
-            done = (segment[:-1], keys[:-1], sums[:-1])
-            for value in np.unique(done[0]):
-                if value != current:
-                    if mask is not None:
-                        yield out(current, mask)
-                    current, mask = value, np.zeros(size, dtype=np.uint8)
-                own = (done[0] == value) & ((done[2] < 0) | (done[2] >= MIN_PAIR))
-                fill(mask, done[1][own], np.abs(done[2][own]), bits, segments)
-        if last is not None:
-            if last[0] != current:
-                if mask is not None:
-                    yield out(current, mask)
-                current, mask = last[0], np.zeros(size, dtype=np.uint8)
-            if last[2] < 0 or last[2] >= MIN_PAIR:
-                fill(mask, np.array([last[1]], dtype=np.uint64), np.array([abs(last[2])]), bits, segments)
-            yield out(current, mask)
-
-    #: Words come with their counts negative: they are held from a count of one.
-    singles = words.select("word", "n").mapInArrow(of_words, "segment int, key long, n int")
-    parts = count_pairs(rows, segments).unionByName(singles).repartition("segment").sortWithinPartitions("segment", "key").mapInArrow(filled, "segment int, mask binary")
-    masks = np.zeros((segments, size), dtype=np.uint8)
-    for row in parts.collect():
-        masks[row["segment"]] = np.frombuffer(row["mask"], dtype=np.uint8)
-    return masks.ravel()
-
-
-def score(docs: DataFrame, ws: Workspace, text: str = "text", key: str = "doc_id", bits: int = FILTER_BITS, head_words: int = HEAD_WORDS) -> DataFrame:
+            for unit, segment, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and segment != current:
+                    yield found(current, held)
+                    held = []
+                current = segment
+                held.append((unit, keys, counts))
+        if held:
+            yield found(current, held)
+
+    return packed.repartition("segment").sortWithinPartitions("segment").mapInArrow(run, "unit long, segment int, levels binary")
+
+
+def score(docs: DataFrame, ws: Workspace, text: str = "text", key: str = "doc_id", bits: int | None = None, head_words: int = HEAD_WORDS) -> DataFrame:
     """For each row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from all rows that are not held out. base_score is exact: the counts of the commonest words, at most
     head_words, go to every worker; the remaining words of each text are joined with the table of counts.
-    Words stand under 64-bit hashes for that. score comes from the filter alone.
+    Words stand under 64-bit hashes for that. score comes from the filter alone. It is in no place as a whole: texts are
+    dealt into units by hash, the distinct keys of a unit go to the segments they lie in, and their levels come back to
+    the unit. bits, if given, fixes the bits of the whole filter instead.
 
     A null or empty text is the end token alone. A null doc_id is in training. Without training rows all counts are 0.
     Repeated rows each get a row and each count; an empty table gives an empty one."""
@@ -228,7 +226,9 @@ def score(docs: DataFrame, ws: Workspace, text: str = "text", key: str = "doc_id
     words = ws.save(count_words(rows), "words")
     facts = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("distinct")).first()
     total, distinct = facts["total"], facts["distinct"]
-    mask = build_filter(rows, words, bits)
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).first()[0]
+    units = rows.withColumn("unit", F.pmod(F.xxhash64("doc_id", "__text"), F.lit(size // UNIT_BYTES + 1)))
+    levels = look_up(pack_keys(units), None if bits is None else bits // SEGMENTS)
     #: How many words have at least 2**j occurrences decides from which count on words belong to the head.
     sizes = words.groupBy(F.floor(F.log2("n")).cast("int").alias("j")).agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("j")).collect()
     cut, held = 1 << 62, 0
@@ -247,48 +247,40 @@ def score(docs: DataFrame, ws: Workspace, text: str = "text", key: str = "doc_id
     names = head.column("hash").to_numpy().view(np.uint64)
     order = np.argsort(names)
     context = ws.spark.sparkContext
-    shared = context.broadcast((mask, names[order], head.column("n").to_numpy()[order]))
-
-    def scored(batches):
-        mask, names, numbers = shared.value
-        model = Model(mask, total, distinct)
-        end = word_hash([END])[0]
-        for batch in byte_budget(batches, 1):
-            ids = batch.column(0).to_pylist()
-            raws = byte_texts(batch.column(1))
-            flat, ends, words = _tokens(raws)
-            starts = np.concatenate([[0], ends[:-1]])
-            word_hashes = word_hash(words)
-            hashes = word_hashes[flat]
-            before = np.concatenate([hashes[-1:], hashes[:-1]])
-            before[starts] = end
-            pairs, back = np.unique(pair_key(before, hashes), return_inverse=True)
-            example = np.zeros(len(pairs), dtype=np.int64)
-            example[back] = np.arange(len(hashes))
-            logs = model.log10(before[example], hashes[example])[back]
-            at = np.minimum(np.searchsorted(names, word_hashes), max(len(names) - 1, 0))
-            in_head = names[at] == word_hashes if len(names) else np.zeros(len(words), bool)
-            known = np.where(in_head, numbers[at], 0) if len(names) else np.zeros(len(words), np.int64)
-            base = np.log10((known + 1) / (total + 1 * (distinct + 1)))
-            inside = in_head[flat]
-            tails, sums, scores, seen = [], [], [], []
-            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                own = inside[a:b]
-                sums.append(math.fsum(base[flat[a:b]][own]))
-                seen.append(int(own.sum()))
-                scores.append(math.fsum(logs[a:b]))
-                rest, n = np.unique(hashes[a:b][~own].view(np.int64), return_counts=True)
-                tails.append([{"hash": h, "m": m} for h, m in zip(rest.tolist(), n.tolist())])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array([is_held_out(i) for i in ids]), pa.array(ends - starts), pa.array(seen, pa.int64()),
-                    pa.array(sums), pa.array(scores), pa.array(tails, pa.list_(pa.struct([("hash", pa.int64()), ("m", pa.int64())]))),
-                ],
-                ["doc_id", "held_out", "n_tokens", "seen", "sum", "score", "tail"],
-            )
+    shared = context.broadcast((names[order], head.column("n").to_numpy()[order]))
+
+    def scored(texts, found):
+        names, numbers = shared.value
+        unit = Unit(byte_texts(texts.column("__text")))
+        found = found.sort_by("segment")
+        of_keys = np.frombuffer(b"".join(found.column("levels").to_pylist()), dtype=np.uint8)
+        if len(of_keys) != len(unit.keys):
+            raise ValueError(f"{len(of_keys)} levels came back for {len(unit.keys)} keys")
+        single, pair = map(count_of, unit.levels(of_keys))
+        logs = log10_share(pair[unit.pair_at], single[unit.first], single[unit.flat], total, distinct)
+        at = np.minimum(np.searchsorted(names, unit.words), max(len(names) - 1, 0))
+        in_head = names[at] == unit.words if len(names) else np.zeros(len(unit.words), bool)
+        known = np.where(in_head, numbers[at], 0) if len(names) else np.zeros(len(unit.words), np.int64)
+        base = np.log10((known + 1) / (total + 1 * (distinct + 1)))
+        inside = in_head[unit.flat]
+        tails, sums, scores, seen = [], [], [], []
+        for a, b in zip(unit.starts.tolist(), unit.ends.tolist(), strict=True):
+            own = inside[a:b]
+            sums.append(math.fsum(base[unit.flat[a:b]][own]))
+            seen.append(int(own.sum()))
+            scores.append(math.fsum(logs[a:b]))
+            rest, n = np.unique(unit.hashes[a:b][~own].view(np.int64), return_counts=True)
+            tails.append([{"hash": h, "m": m} for h, m in zip(rest.tolist(), n.tolist())])
+        ids = texts.column("doc_id")
+        return pa.table(
+            {
+                "doc_id": ids, "held_out": pa.array([is_held_out(i) for i in ids.to_pylist()]), "n_tokens": pa.array(unit.ends - unit.starts), "seen": pa.array(seen, pa.int64()),
+                "sum": pa.array(sums), "score": pa.array(scores), "tail": pa.array(tails, pa.list_(pa.struct([("hash", pa.int64()), ("m", pa.int64())]))),
+            }
+        )
 
     schema = "doc_id long, held_out boolean, n_tokens long, seen long, sum double, score double, tail array<struct<hash:long,m:long>>"
-    out = rows.mapInArrow(scored, schema)
+    out = units.groupBy("unit").cogroup(levels.groupBy("unit")).applyInArrow(scored, schema)
     if cut <= 1:  # every word is in the head: what is left has a count of 0
         unseen = math.log10(1 / (total + distinct + 1))
         rest = F.col("n_tokens") - F.col("seen")

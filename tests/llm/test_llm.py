@@ -438,6 +438,21 @@ def test_scores_of_awkward_rows(docs, nothing, ws):
     assert lmscore.score(nothing, ws, bits=1 << 24).count() == 0
 
 
+def test_filter_follows_its_entries():
+    for n in (10, 1000, 300_000):
+        keys = lmscore.mix(np.arange(1, 2 * n + 1, dtype=np.uint64))
+        counts = np.arange(n) % 5 + 1
+        mask = lmscore.segment_mask(keys[:n], counts)
+        assert np.unpackbits(mask).mean() < 0.25
+        got = lmscore.probe(mask, keys)
+        assert (got[:n] == lmscore.level(counts)).mean() > 0.98 and (got[n:] == 0).mean() > 0.98
+
+
+def test_probabilities_are_at_most_one():
+    counts = lmscore.count_of(np.array([48, 3, 1]))
+    assert (lmscore.log10_share(counts, counts, counts, 2, 1) <= 0).all()
+
+
 # --- quality -----------------------------------------------------------------------------------------------------
 
 
