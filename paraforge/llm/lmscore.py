@@ -16,7 +16,7 @@ FOLDS, HELD_OUT = 7, 2
 #: The end of a text, counted as a token; no word can have a separator in it.
 END = b"\n"
 #: Counts are held as 1 + floor(log2(count)). A word or pair enters the filter once for each level up to its own.
-#: Pairs seen once are left out at every corpus size; probes for them back off to the word.
+#: Least count of a pair that enters unless the caller names another; op8_lm_score enters all. Probes for others back off to the word.
 MIN_PAIR = 2
 #: The filter has one segment for each value of a key's top 12 bits. A segment is sized by the (key, level) entries it
 #: gets: with 16 bits and 4 hashes an entry, at most 22 % of its bits are set, whatever the corpus.
@@ -181,7 +181,7 @@ def pack_keys(units: DataFrame, segments: int = SEGMENTS) -> DataFrame:
     return units.groupBy("unit").applyInArrow(run, "unit long, segment int, keys binary, counts binary")
 
 
-def look_up(packed: DataFrame, bits: int | None = None) -> DataFrame:
+def look_up(packed: DataFrame, bits: int | None = None, min_pair: int = MIN_PAIR) -> DataFrame:
     """(unit, segment, levels): for each row of pack_keys() the levels of its keys, a byte each.
 
     A task holds one segment at a time: the keys of all units there are summed, entered and probed."""
@@ -190,7 +190,7 @@ def look_up(packed: DataFrame, bits: int | None = None) -> DataFrame:
         keys = np.frombuffer(b"".join(r[1] for r in rows), dtype=np.uint64)
         distinct, at = np.unique(keys, return_inverse=True)
         sums = np.bincount(at, np.frombuffer(b"".join(r[2] for r in rows), dtype=np.int32)).astype(np.int64)
-        own = (sums < 0) | (sums >= MIN_PAIR)
+        own = (sums < 0) | (sums >= min_pair)
         mask = segment_mask(distinct[own], np.abs(sums[own]), bits)
         levels = probe(mask, distinct).astype(np.uint8)[at]
         edges = np.concatenate([[0], np.cumsum([len(r[1]) // 8 for r in rows])])
@@ -211,14 +211,15 @@ def look_up(packed: DataFrame, bits: int | None = None) -> DataFrame:
     return packed.repartition("segment").sortWithinPartitions("segment").mapInArrow(run, "unit long, segment int, levels binary")
 
 
-def score(docs: DataFrame, ws: Workspace, text: str = "text", key: str = "doc_id", bits: int | None = None, head_words: int = HEAD_WORDS) -> DataFrame:
+def score(docs: DataFrame, ws: Workspace, text: str = "text", key: str = "doc_id", bits: int | None = None, head_words: int = HEAD_WORDS, min_pair: int = MIN_PAIR) -> DataFrame:
     """For each row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from all rows that are not held out. base_score is exact: the counts of the commonest words, at most
     head_words, go to every worker; the remaining words of each text are joined with the table of counts.
     Words stand under 64-bit hashes for that. score comes from the filter alone. It is in no place as a whole: texts are
     dealt into units by hash, the distinct keys of a unit go to the segments they lie in, and their levels come back to
-    the unit. bits, if given, fixes the bits of the whole filter instead.
+    the unit. bits, if given, fixes the bits of the whole filter instead. Pairs enter from a
+    training count of min_pair, where 1 enters all.
 
     A null or empty text is the end token alone. A null doc_id is in training. Without training rows all counts are 0.
     Repeated rows each get a row and each count; an empty table gives an empty one."""
@@ -228,7 +229,7 @@ def score(docs: DataFrame, ws: Workspace, text: str = "text", key: str = "doc_id
     total, distinct = facts["total"], facts["distinct"]
     size = rows.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).first()[0]
     units = rows.withColumn("unit", F.pmod(F.xxhash64("doc_id", "__text"), F.lit(size // UNIT_BYTES + 1)))
-    levels = look_up(pack_keys(units), None if bits is None else bits // SEGMENTS)
+    levels = look_up(pack_keys(units), None if bits is None else bits // SEGMENTS, min_pair)
     #: How many words have at least 2**j occurrences decides from which count on words belong to the head.
     sizes = words.groupBy(F.floor(F.log2("n")).cast("int").alias("j")).agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("j")).collect()
     cut, held = 1 << 62, 0

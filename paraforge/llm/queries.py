@@ -40,7 +40,7 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lmscore.score(documents(spark, sf_dir), Workspace(spark, "op8"))
+    return lmscore.score(documents(spark, sf_dir), Workspace(spark, "op8"), min_pair=1)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

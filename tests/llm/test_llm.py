@@ -438,6 +438,17 @@ def test_scores_of_awkward_rows(docs, nothing, ws):
     assert lmscore.score(nothing, ws, bits=1 << 24).count() == 0
 
 
+def test_query_enters_pairs_seen_once(spark, tmp_path):
+    texts = {i: f"left{i} right{i}" for i in range(40)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x for x in queries.QUERIES["op8_lm_score"](spark, str(tmp_path)).collect()}
+    learned = [i for i in texts if zlib.crc32(str(i).encode()) % 7 != 2]
+    total, distinct, ends = 3 * len(learned), 2 * len(learned) + 1, 0.75 * 2 ** (1 + int(math.log2(len(learned))))
+    own = 2 / (total + distinct + 1)
+    expected = math.log10(0.6 / ends + 0.4 * own) + math.log10(0.6 + 0.4 * own) + math.log10(0.6 + 0.4 * (ends + 1) / (total + distinct + 1))
+    assert all(math.isclose(got[i]["score"], expected, rel_tol=1e-6) for i in learned)
+
+
 def test_filter_follows_its_entries():
     for n in (10, 1000, 300_000):
         keys = lmscore.mix(np.arange(1, 2 * n + 1, dtype=np.uint64))
