@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JError
@@ -11,6 +12,8 @@ from pyspark.sql import SparkSession
 from ..errors import InvalidFileError, UnsupportedNestedEncodingError, UnsupportedTypeError
 
 MAX_FOOTER = 64 << 20
+#: Footers that preflight reads at a time.
+FOOTERS_AT_ONCE = 8
 
 
 @dataclass(frozen=True)
@@ -93,17 +96,28 @@ def file_facts(spark: SparkSession, path: str) -> list[FileFacts]:
 
 
 def preflight(spark: SparkSession, path: str) -> bool:
-    """Rejects what the contract rejects and Spark would read, or fail on late. One file stands for a written table.
+    """Rejects what the contract rejects and Spark would read, or fail on late. Every footer is read, some at a time.
 
-    True if the file has uncompressed pages with delta-encoded strings."""
+    True if any file has uncompressed pages with delta-encoded strings."""
     files = part_files(spark, path)
     if not files:
         raise InvalidFileError(f"{path}: no data files")
-    for file in files[1:]:
-        check_length(spark, file)
-    footer = _footer(spark, files[0])
+    with ThreadPoolExecutor(FOOTERS_AT_ONCE) as pool:
+        waiting = [pool.submit(_verdict, spark, file) for file in files]
+        try:
+            return any([w.result() for w in waiting])
+        except BaseException:
+            pool.shutdown(wait=False, cancel_futures=True)
+            raise
+
+
+def _verdict(spark: SparkSession, file: str) -> bool:
+    footer = _footer(spark, file)
     for field in footer.getFileMetaData().getSchema().getFields():
         _check(field, field.getName(), False)
+    #: The footer's text names all encodings: most files need no look at each chunk.
+    if "DELTA_BYTE_ARRAY" not in footer.toString():
+        return False
     chunks = [c for b in footer.getBlocks() for c in b.getColumns()]
     return any(c.getCodec().name() == "UNCOMPRESSED" and any(e.name() == "DELTA_BYTE_ARRAY" for e in c.getEncodings()) for c in chunks)
 

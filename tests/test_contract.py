@@ -158,6 +158,29 @@ def test_truncated_and_bad_footer(spark, tmp_path):
         read(spark, path)
 
 
+def test_every_footer_is_checked(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from paraforge.sources.footer import preflight
+
+    texts = [f"prefix {i // 3} {i}" for i in range(2000)]
+    table = pa.table({"s": texts})
+    for part, encoding in ((0, "PLAIN"), (1, "DELTA_BYTE_ARRAY")):
+        pq.write_table(table, tmp_path / f"part-{part}.parquet", compression="none", use_dictionary=False, column_encoding={"s": encoding}, data_page_version="2.0")
+    before = spark.conf.get("spark.sql.parquet.enableVectorizedReader")
+    try:
+        assert preflight(spark, str(tmp_path))
+        assert sorted(r["s"] for r in read(spark, str(tmp_path)).collect()) == sorted(2 * texts)
+    finally:
+        spark.conf.set("spark.sql.parquet.enableVectorizedReader", before)
+    (tmp_path / "part-1.parquet").unlink()
+    assert not preflight(spark, str(tmp_path))
+    pq.write_table(pa.table({"s": pa.array([0], pa.timestamp("us"))}), tmp_path / "part-2.parquet", use_deprecated_int96_timestamps=True)
+    with pytest.raises(E.UnsupportedTypeError):
+        preflight(spark, str(tmp_path))
+
+
 def test_flipped_bit_fails_and_poisons(spark, tmp_path):
     def flip(data):
         data[len(data) // 3] ^= 0x80
