@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 SEPARATORS = "[ \\t-\\r]+"
 SEPARATOR_CHARS = " \t\n\x0b\x0c\r"
 
-#: Most rows of a side that is broadcast; a larger side is joined by a shuffle.
-BROADCAST_ROWS = 100_000
+#: Most rows and bytes of a side that is broadcast; a larger side is joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,16 +49,22 @@ def hash_unit(*parts: Column) -> Column:
 class Workspace:
     """Work tables in the folder that the cluster names in spark.checkpoint.dir, which all executors share.
 
-    Where that is unset, as in tests, a folder of this process is used. Writing a table cuts the lineage and
-    survives a lost executor."""
+    Where that is unset, a local master, as in tests, gets a folder of this process; any other is refused, because its executors
+    could not see such a folder. Writing a table cuts the lineage and survives a lost executor. What a query has not dropped
+    itself goes when the driver's JVM ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            base = tempfile.mkdtemp(prefix="paraforge-")
-            base = Path(base).as_uri()
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            base = Path(tempfile.mkdtemp(prefix="paraforge-")).as_uri()
         self.root = f"{base.rstrip('/')}/paraforge-{name}-{uuid.uuid4().hex[:12]}"
+        root = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(root)
+        fs.deleteOnExit(root)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -76,13 +83,31 @@ class Workspace:
             target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def sized_join(left: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a side that is broadcast only if it has at most max_rows rows; else both sides are shuffled.
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: those of strings and binaries, of other nested values as JSON, and eight for any other."""
+    total = F.lit(0)
+    for field in df.schema.fields:
+        c, kind = F.col(f"`{field.name}`"), field.dataType.typeName()
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind in ("array", "map", "struct"):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            total = total + F.lit(8)
+    return total
+
+
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether all rows may be broadcast. Counts no further than one row beyond the limit."""
+    seen = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("bytes")).first()
+    return seen["n"] <= max_rows and seen["bytes"] <= max_bytes
+
+
+def sized_join(left: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Join with a side that is broadcast only if its rows and bytes are counted to be few; else both sides are shuffled.
 
     small must be cheap to count (a work table or a driver-built frame)."""
-    if small.limit(max_rows + 1).count() <= max_rows:
-        return left.join(F.broadcast(small), on, how)
-    return left.join(small, on, how)
+    return left.join(F.broadcast(small) if is_small(small, max_rows, max_bytes) else small, on, how)
 
 
 # --- order within a key without one task for the key -------------------------------------------------------------
@@ -133,43 +158,57 @@ def numbered(rows: DataFrame, key: str, rank: str, tie: list[str], number: str,
 # --- Bloom filters of a fixed size -------------------------------------------------------------------------------
 
 
+#: Bits of a segment of a filter. A key's top bits name its segment, in which all its positions lie.
+SEGMENT_BITS = 1 << 15
+
+
 def bloom_positions(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Three bit positions for each 64-bit key; bits is a power of two."""
+    """Three bit positions (3 x keys) for each 64-bit key, all in one segment; bits is a power of two."""
+    inside = min(bits, SEGMENT_BITS)
     with np.errstate(over="ignore"):
         x = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         x ^= x >> np.uint64(32)
-        y = (x * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
-        return np.stack([(x + np.uint64(i) * y) >> np.uint64(64 - bits.bit_length() + 1) for i in range(3)])
+        segment = (x >> np.uint64(40)) & np.uint64(bits // inside - 1)
+        y = (x ^ np.uint64(0x94D049BB133111EB)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        y ^= y >> np.uint64(29)
+        return np.stack([segment * np.uint64(inside) + ((y >> np.uint64(16 * i)) & np.uint64(inside - 1)) for i in range(3)])
 
 
 def bloom_build(keys: DataFrame, column: str, bits: int) -> bytes:
     """A Bloom filter of the column's 64-bit keys as bits / 8 bytes, whatever their number.
 
-    It has no false negatives, so what it lets through is never too little; with more keys it only lets through more.
-    Each task makes the 64-bit words that its keys touch; words are joined by bit_or."""
-    segment_bits = 1 << 15
+    It has no false negatives, so what it lets through is never too little; with more keys it only lets through more. Keys are
+    dealt by their segment, a task fills the segments it gets one after the other, and each comes to the driver once. So what is
+    sent is the keys once and the filter once, however many tasks there are."""
+    inside = min(bits, SEGMENT_BITS)
 
-    def local(batches):
-        import pyarrow as pa
+    def dealt(batches):
+        for batch in batches:
+            found = batch.column(0).to_numpy(zero_copy_only=False)
+            at = bloom_positions(np.unique(found), bits)
+            yield pa.RecordBatch.from_arrays([pa.array((at[0] // np.uint64(inside)).astype(np.int32)), *[pa.array((x % np.uint64(inside)).astype(np.int32)) for x in at]], ["segment", "a", "b", "c"])
 
-        mask = np.zeros(bits // 8, dtype=np.uint8)
+    def filled(batches):
+        current, mask = None, None
         for batch in batches:
-            at = bloom_positions(batch.column(0).to_numpy(zero_copy_only=False), bits).ravel()
-            np.bitwise_or.at(mask, (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
-        rows = mask.reshape(-1, segment_bits // 8)
-        used = np.flatnonzero(rows.any(axis=1))
-        if len(used):
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([rows[i].tobytes() for i in used], pa.binary())], ["segment", "mask"])
-
-    def merged(key, table):
-        import pyarrow as pa
-
-        masks = [np.frombuffer(x, dtype=np.uint8) for x in table.column("mask").to_pylist()]
-        return pa.table({"segment": [key[0].as_py()], "mask": [np.bitwise_or.reduce(masks).tobytes()]}, schema=pa.schema([("segment", pa.int64()), ("mask", pa.binary())]))
-
-    parts = keys.select(F.col(column).cast("long").alias("k")).mapInArrow(local, "segment long, mask binary")
-    out = np.zeros(bits // 8, dtype=np.uint8).reshape(-1, segment_bits // 8)
-    for row in parts.groupBy("segment").applyInArrow(merged, "segment long, mask binary").collect():
+            segments = batch.column(0).to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(segments)) + 1, [len(segments)]])
+            at = np.stack([batch.column(i).to_numpy() for i in (1, 2, 3)])
+            for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if begin == end:
+                    continue
+                if segments[begin] != current:
+                    if current is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([mask.tobytes()], pa.binary())], ["segment", "mask"])
+                    current, mask = int(segments[begin]), np.zeros(inside // 8, dtype=np.uint8)
+                own = at[:, begin:end].ravel()
+                np.bitwise_or.at(mask, own >> 3, np.uint8(1) << (own & 7).astype(np.uint8))
+        if current is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([mask.tobytes()], pa.binary())], ["segment", "mask"])
+
+    parts = keys.select(F.col(column).cast("long").alias("k")).where("k IS NOT NULL").mapInArrow(dealt, "segment int, a int, b int, c int")
+    out = np.zeros(bits // 8, dtype=np.uint8).reshape(-1, inside // 8)
+    for row in parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(filled, "segment int, mask binary").collect():
         out[row[0]] = np.frombuffer(row[1], dtype=np.uint8)
     return out.tobytes()
 
@@ -186,8 +225,6 @@ def bloom_test(mask: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def byte_texts(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column, null as the empty text."""
-    import pyarrow as pa
-
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
