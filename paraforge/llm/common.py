@@ -40,6 +40,16 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
 
 
+def free_names(taken: list[str], made: list[str]) -> dict[str, str]:
+    """A name for each made column: its own, or one with `made_` in front where the rows have a column of that name already."""
+    lower, out = {c.lower() for c in taken}, {}
+    for name in made:
+        out[name] = name
+        while out[name].lower() in lower:
+            out[name] = f"made_{out[name]}"
+    return out
+
+
 def hash_unit(*parts: Column) -> Column:
     """A number in (0, 1) that depends on the parts only, the same in Spark and in DuckDB: 48 bits of an MD5."""
     digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
@@ -142,6 +152,25 @@ def accept_within(items: DataFrame, quotas: DataFrame, key: str, rank: str, tie:
     return rest.unionByName(at).drop("__n", "__slice", "__edge_slice", "__edge_before", quota)
 
 
+def cut_within(items: DataFrame, quotas: DataFrame, key: str, rank: str, tie: list[str], amount: str, quota: str, ws: Workspace, name: str) -> DataFrame:
+    """(key, edge, start, m): for each key the place in the order of (rank, tie) where the sum of amounts reaches the quota.
+
+    edge is a struct of rank and tie; the amounts before it sum up to start, and m equal items stand there. A key whose sum stays
+    below its quota has no row. As in accept_within a key is dealt into about sqrt(its rows) slices of rank, of which
+    one is ordered; equal items are counted before they get there, so a third of all rows may be one item."""
+    stats = ws.save(items.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).join(quotas.select(key, quota), key), f"{name}_stats")
+    sliced = sized_join(items, stats, key).withColumn("__slice", F.floor(F.col(rank) * F.ceil(F.sqrt("__n"))).cast("long"))
+    sums = sliced.groupBy(key, "__slice").agg(F.sum(amount).alias("__sum"), F.first(quota).alias("__quota"))
+    before = F.coalesce(F.sum("__sum").over(W.partitionBy(key).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    edges = sums.withColumn("__before", before).where((F.col("__before") < F.col("__quota")) & (F.col("__before") + F.col("__sum") >= F.col("__quota")))
+    edges = ws.save(edges.groupBy(key).agg(F.min(F.struct("__slice", "__before")).alias("__edge")).select(key, "__edge.*"), f"{name}_edges")
+    inside = sized_join(sliced, edges, [key, "__slice"]).groupBy(key, rank, *tie, amount, quota, "__before").agg(F.count(F.lit(1)).alias("m"))
+    own = F.col(amount) * F.col("m")
+    start = F.col("__before") + F.coalesce(F.sum(own).over(W.partitionBy(key).orderBy(rank, *tie).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    reached = inside.withColumn("start", start).where(F.col("start") + own >= F.col(quota))
+    return ws.save(reached.groupBy(key).agg(F.min(F.struct(F.struct(rank, *tie).alias("edge"), "start", "m")).alias("__cut")).select(key, "__cut.*"), f"{name}_cut")
+
+
 def numbered(rows: DataFrame, key: str, rank: str, tie: list[str], number: str, ws: Workspace, name: str) -> DataFrame:
     """rows with a gapless number from 0 within each key, in the order of (rank, tie).
 

@@ -85,10 +85,10 @@ FROM reach r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id, n.n
 _OP4 = f"""
 WITH d AS (
   SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")})::BIGINT AS size,
-    (('0x' || substr(md5(doc_id || ':' || '{mixing.SEED}'), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
+    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) || ':' || '{mixing.SEED}'), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
   FROM documents
 ),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*)::DOUBLE AS docs FROM d GROUP BY 1),
 k AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS weight, 2 * source_size AS cap, sum(source_size) OVER ()::BIGINT AS everything FROM s),
 g AS (
   SELECT *, coalesce(sum(cap) OVER o, 0)::BIGINT AS caps, coalesce(sum(weight) OVER o, 0)::BIGINT AS gone, sum(weight) OVER ()::BIGINT AS weights
@@ -97,15 +97,25 @@ g AS (
 f AS (SELECT *, 150 * everything - 100 * caps AS up, 100 * (weights - gone) AS down FROM g),
 l AS (SELECT min_by(struct_pack(gone := gone, up := up, down := down), gone) AS level FROM f WHERE weight * up <= cap * down),
 t AS (
-  SELECT source, source_size, CASE WHEN level IS NULL OR gone < level.gone THEN cap::DOUBLE ELSE (weight * level.up)::DOUBLE / level.down::DOUBLE END AS target
+  SELECT source, source_size, docs, CASE WHEN level IS NULL OR gone < level.gone THEN cap::DOUBLE ELSE (weight * level.up)::DOUBLE / level.down::DOUBLE END AS target
   FROM f LEFT JOIN l ON true
 ),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole_copies FROM t),
 q AS (SELECT *, target - whole_copies * source_size AS rest FROM p),
-r AS (
+e AS (
   SELECT d.*, source_size, target, whole_copies, rest,
-    coalesce(sum(CASE WHEN size > 0 THEN size END) OVER (PARTITION BY q.source ORDER BY u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+    least(100 + coalesce(CASE WHEN source_size > 0 THEN floor(100.0::DOUBLE * size / (source_size::DOUBLE / docs)) END, 0), {mixing.MOST_WEIGHT})::BIGINT AS w
   FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+),
+y AS (
+  SELECT *,
+    least(greatest(coalesce(CASE WHEN source_size > 0 THEN rest * w / (sum(w * size) OVER (PARTITION BY source))::DOUBLE END, 0), 1e-9::DOUBLE), 1 - 1e-9::DOUBLE) AS own,
+    least(greatest(coalesce(CASE WHEN source_size > 0 THEN rest / source_size END, 0), 1e-9::DOUBLE), 1 - 1e-9::DOUBLE) AS even
+  FROM e
+),
+z AS (SELECT *, (u / (1 - u)) / ((own / (1 - own)) / (even / (1 - even))) AS z FROM y),
+r AS (
+  SELECT *, coalesce(sum(CASE WHEN size > 0 THEN size END) OVER (PARTITION BY source ORDER BY z / (1 + z), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM z
 )
 SELECT doc_id, size, source_size, target,
   size * (whole_copies + CASE WHEN size > 0 AND rest > 0 AND before < rest AND before + size * 0.5 <= rest THEN 1 ELSE 0 END) AS taken

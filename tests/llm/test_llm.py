@@ -87,6 +87,41 @@ def test_near_duplicates_of_awkward_rows(docs, nothing, ws):
     assert neardup.near_duplicates(nothing, ws).count() == 0
 
 
+def test_one_hot_group(spark, ws, monkeypatch):
+    """Near copies of one text, of which many are too far from each other, template pages that share buckets but never link, and rows of one doc_id with different words: nothing is lost, however small blocks and pivots are."""
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(neardup, "PIVOT_BYTES", 30_000)
+    r = random.Random(21)
+    base, page = [f"b{i}" for i in range(60)], [f"p{i}" for i in range(60)]
+    texts = {}
+    for i in range(260):
+        words_of = list(base)
+        for _ in range(r.randint(0, 6)):
+            words_of[r.randrange(60)] = f"x{r.randrange(10**6)}"
+        texts[i] = " ".join(words_of)
+    for i in range(260, 360):
+        words_of = list(page)
+        for j in range(4):
+            words_of[5 + 13 * j] = f"y{r.randrange(10**6)}"
+        texts[i] = " ".join(words_of)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(df, ws).collect()}
+    assert got == exact_components(texts, 2, 80)[1]
+    twice = spark.createDataFrame([(5, "a b c d e f g h i j k l"), (5, "m n o p q r s t u v w x"), (9, "m n o p q r s t u v w x y"), (3, "a b c d e f g h i j k l z")], "doc_id long, text string")
+    assert {(x["doc_id"], x["component_id"]) for x in neardup.near_duplicates(twice, ws).collect()} == {(3, 3), (5, 3), (9, 3)}
+
+
+def test_estimates_reach_a_similarity():
+    r = np.random.default_rng(5)
+    x = r.integers(0, 40, (300, neardup.REGISTERS)).astype("<u2")
+    y = np.where(r.random(x.shape) < r.random((300, 1)), x, r.integers(0, 40, x.shape)).astype("<u2")
+    n, m = r.integers(50, 100, 300).astype(float), r.integers(50, 100, 300).astype(float)
+    got = neardup.reaches(x, y, n, m, 0.62)
+    likeliest = neardup.estimate(x, y, n, m)
+    assert (got == (likeliest >= 0.62))[abs(likeliest - 0.62) > 0.006].all() and 20 < got.sum() < 280
+    assert neardup.reaches(x, y, n, m, 0.0).all()
+
+
 def test_sketches_estimate_and_merge():
     random_sets = np.random.default_rng(3)
     constants = neardup._constants()
@@ -245,9 +280,32 @@ def test_mixing(spark, ws):
     assert all(abs(taken[s] - expected[s]) <= 60 for s in sizes)
     again = {x["doc_id"]: x["copies"] for x in table(mixing.mix(df.repartition(7), ws))}
     assert again == {x["doc_id"]: x["copies"] for x in got}
-    unequal = mixing.mix(df, ws, weight=F.when(F.col("doc_id") % 2 == 0, F.lit(0.2)).otherwise(F.lit(1.0)))
-    share = {x["odd"]: x["m"] for x in unequal.where("source = 'b'").groupBy((F.col("doc_id") % 2).alias("odd")).agg(F.avg("copies").alias("m")).collect()}
-    assert share[1] > share[0] or share == {0: 2.0, 1: 2.0}
+
+
+def test_longer_documents_are_likelier(spark, ws):
+    """Inclusion probabilities differ within a source as the method says: shares of short and long documents are near rest * w / sum(w * size)."""
+    rows = [(i, " ".join(["w"] * (10 if i % 2 else 70)), "a" if i < 4000 else "b") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = table(mixing.mix(df, ws).where("source = 'b'").groupBy("size").agg(F.avg("copies").alias("share"), F.max("target").alias("target"), F.max("source_size").alias("all"), F.count(F.lit(1)).alias("n")))
+    rest = got[0]["target"] - got[0]["target"] // got[0]["all"] * got[0]["all"]
+    weight = {10: 125, 70: 275}
+    total = sum(x["n"] * x["size"] * weight[x["size"]] for x in got)
+    for x in got:
+        assert abs(x["share"] - x["target"] // x["all"] - rest * weight[x["size"]] / total) < 0.05
+    given = mixing.mix(df, ws, weight=F.when(F.col("doc_id") % 4 < 2, F.lit(1)).otherwise(F.lit(5)))
+    shares = {x["k"]: x["share"] for x in table(given.where("source = 'b'").groupBy((F.col("doc_id") % 4 < 2).alias("k")).agg(F.avg("copies").alias("share")))}
+    assert shares[False] > shares[True] + 0.1
+
+
+def test_repeated_rows_and_null_ids_meet_the_target(spark, ws):
+    """A source that is one row a thousand times, one whose rows have no ids, and one of ties: each comes within a document of its target."""
+    rows = [(7, "one two three", "a")] * 1000 + [(None, f"w{i % 300} x y z", "b") for i in range(900)] + [(i, "a b", "c") for i in range(800)]
+    got = table(mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5), ws))
+    assert len(got) == len(rows)
+    for s in "abc":
+        own = [x for x in got if x["source"] == s]
+        assert abs(sum(x["size"] * x["copies"] for x in own) - own[0]["target"]) <= 4
+        assert {x["copies"] for x in own} <= {0, 1, 2}
 
 
 def test_mixing_of_awkward_rows(docs, nothing, ws):
