@@ -16,14 +16,15 @@ from .graph import components
 BANDS, BAND_ROWS = 40, 5
 REGISTERS = BANDS * BAND_ROWS
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2
-#: A pair is estimated first; below this similarity (four standard deviations under 0.8) it is not confirmed.
-WORTH_CONFIRMING = 0.69
+#: A pair whose likeliest similarity is below this is not confirmed: 6.3 standard deviations under 0.8, so that a pair at the
+#: threshold is lost once in 10**10. near_duplicates(worth_confirming=0) confirms every pair that shares a bucket.
+WORTH_CONFIRMING = 0.62
 #: Bits of the filter of documents whose shingle sets are written (8 MB to every worker, whatever the corpus).
 FILTER_BITS = 1 << 26
-#: About how many pivots a group has in the rounds after the first; the last number holds for all later ones.
-PIVOTS = (16, 256)
-#: About how many members of a group one task compares with the group's pivots.
-MEMBERS = 2000
+#: About how many pivots a group has in its first round, and about how many bytes of sketches and sets it has in all others.
+FIRST_PIVOTS, PIVOT_BYTES = 16, 4 << 20
+#: About how many bytes of sketches and sets of a group's members one task compares with the group's pivots.
+BLOCK_BYTES = 256 << 10
 
 
 def _constants() -> tuple[np.ndarray, np.ndarray]:
@@ -90,6 +91,26 @@ def estimate(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return np.take_along_axis(grid, likelihood.argmax(axis=1)[:, None], axis=1)[:, 0]
 
 
+def reaches(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
+    """Whether the likeliest similarity of each pair of sketches is `least` or more.
+
+    The likelihood of estimate() has one peak, so that is where it does not fall at `least`."""
+    up, down = (x > y).sum(axis=1), (x < y).sum(axis=1)
+    equal = x.shape[1] - up - down
+    u, v = n / (n + m), m / (n + m)
+    if least <= 0:
+        return np.ones(len(u), bool)
+    scale = (BASE - 1) / BASE
+    p = lambda z: -np.log1p(-np.clip(z, 0, 1) * scale) / np.log(BASE)
+    slope = lambda z: scale / (1 - np.clip(z, 0, 1) * scale) / np.log(BASE)
+    above, below = p(u - v * least), p(v - u * least)
+    rise, fall = -v * slope(u - v * least), -u * slope(v - u * least)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = lambda k, d, q: np.where(k > 0, k * d / np.maximum(q, 1e-12), 0.0)
+        climbs = gain(up, rise, above) + gain(down, fall, below) + gain(equal, -(rise + fall), 1 - above - below) >= 0
+    return climbs & (least <= np.minimum(u / v, v / u))
+
+
 def band_keys(sketches: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band of each sketch."""
     rows = sketches.reshape(len(sketches), BANDS, BAND_ROWS).astype(np.uint64)
@@ -101,6 +122,11 @@ def band_keys(sketches: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def word_digest(words: list[bytes]) -> bytes | None:
+    """What stands for a word sequence; none without words."""
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None
+
+
 def sketch(docs: DataFrame, size: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, digest, sketch): digest stands for the word sequence; both are null without words."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), whole(F.col(text)).alias("__text"))
@@ -113,7 +139,7 @@ def sketch(docs: DataFrame, size: int, text: str = "text", key: str = "doc_id")
                 words = raw.lower().split()  # of bytes: lowers A-Z and splits at the ASCII separators only
                 shingles = shingle_set(words, size, hashes)
                 n.append(len(shingles))
-                digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None)
+                digests.append(word_digest(words))
                 sketches.append(registers(shingles, constants).tobytes() if words else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "digest", "sketch"])
 
@@ -131,8 +157,8 @@ def _bands(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "sketch").mapInArrow(run, "bucket long, node long")
 
 
-def _likely(pairs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs with both sketches and sizes those whose sizes allow a link and whose estimate is near one."""
+def _likely(pairs: DataFrame, percent: int, least: float) -> DataFrame:
+    """Of pairs with both sketches and sizes those whose sizes allow a link and whose likeliest similarity is `least` or more."""
 
     def run(batches):
         for batch in batches:
@@ -140,14 +166,14 @@ def _likely(pairs: DataFrame, percent: int) -> DataFrame:
                 part = batch.slice(begin, 2000)
                 x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), dtype="<u2").reshape(-1, REGISTERS) for c in ("xs", "ys"))
                 n, m = (part.column(c).to_numpy().astype(np.float64) for c in ("xn", "yn"))
-                keep = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (estimate(x, y, n, m) >= WORTH_CONFIRMING * percent / 80)
+                keep = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & reaches(x, y, n, m, least)
                 yield part.select(["a", "b"]).filter(pa.array(keep))
 
     return pairs.select("a", "b", "xs", "ys", "xn", "yn").mapInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, size: int, text: str, key: str) -> DataFrame:
-    """(node, shingles): the sorted set of each node, and of a few other documents that the filter lets through."""
+    """(node, digest, shingles): the sorted set of each node, and of a few other documents that the filter lets through."""
     mask = docs.sparkSession.sparkContext.broadcast(bloom_build(nodes, "node", FILTER_BITS))
     rows = docs.select(F.col(key).cast("long").alias("node"), whole(F.col(text)).alias("__text")).where("node IS NOT NULL")
 
@@ -156,10 +182,12 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int, text: str, key: str) ->
         for batch in byte_budget(batches, 1):
             wanted = np.flatnonzero(bloom_test(bits, batch.column(0).to_numpy()))
             part = batch.take(pa.array(wanted))
-            sets = [shingle_set(raw.lower().split(), size, hashes).tobytes() for raw in byte_texts(part.column(1))]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
+            texts = [raw.lower().split() for raw in byte_texts(part.column(1))]
+            digests = [word_digest(words) for words in texts]
+            sets = [shingle_set(words, size, hashes).tobytes() for words in texts]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["node", "digest", "shingles"])
 
-    return rows.mapInArrow(run, "node long, shingles binary")
+    return rows.mapInArrow(run, "node long, digest binary, shingles binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -179,46 +207,55 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def _matcher(percent: int):
-    """For a block of members and the pivots of its group: the links between them, of different components only."""
+def _matcher(percent: int, least: float):
+    """For a block of members and the pivots of its group: pairs of labels that a confirmed link joins, as a forest.
+
+    Members that the block has joined to a pivot already are not compared with it."""
 
     def match(members, pivots):
-        names = [t.column("node").to_numpy() for t in (members, pivots)]
-        labels = [t.column("label").to_numpy() for t in (members, pivots)]
+        names = {x: i for i, x in enumerate(sorted({*members.column("label").to_pylist(), *pivots.column("label").to_pylist()}))}
+        back = list(names)
+        own, other = (np.array([names[x] for x in t.column("label").to_pylist()], dtype=np.int64) for t in (members, pivots))
         sizes = [t.column("n").to_numpy().astype(np.float64) for t in (members, pivots)]
         sketches = [np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype="<u2").reshape(-1, REGISTERS) for t in (members, pivots)]
         sets = [[np.frombuffer(s, np.uint64) for s in t.column("shingles").to_pylist()] for t in (members, pivots)]
         a, b = [], []
-        for i in range(len(names[1])):
+        for i in range(len(other)):
             n = sizes[1][i]
-            near = (sketches[0] == sketches[1][i]).sum(axis=1) >= WORTH_CONFIRMING * percent / 80 * REGISTERS  # with so fine a scale about the estimate
-            near &= (labels[0] != labels[1][i]) & (100 * np.minimum(sizes[0], n) >= percent * np.maximum(sizes[0], n))
-            at = np.flatnonzero(near)
+            at = np.flatnonzero((own != other[i]) & (100 * np.minimum(sizes[0], n) >= percent * np.maximum(sizes[0], n)))
             if len(at):
-                own = [sets[0][j] for j in at.tolist()]
-                starts = np.cumsum([0, *map(len, own[:-1])])
-                both = np.add.reduceat(np.isin(np.concatenate(own), sets[1][i], kind="sort"), starts, dtype=np.int64)
-                for j in at[100 * both >= percent * (sizes[0][at] + n - both)].tolist():
-                    a.append(int(names[0][j]))
-                    b.append(int(names[1][i]))
+                at = at[reaches(sketches[0][at], sketches[1][i], sizes[0][at], np.full(len(at), n), least)]
+            if not len(at):
+                continue
+            met = [sets[0][j] for j in at.tolist()]
+            starts = np.cumsum([0, *map(len, met[:-1])])
+            both = np.add.reduceat(np.isin(np.concatenate(met), sets[1][i], kind="sort"), starts, dtype=np.int64)
+            for label in np.unique(own[at[100 * both >= percent * (sizes[0][at] + n - both)]]).tolist():
+                mine = int(other[i])
+                a.append(back[label])
+                b.append(back[mine])
+                own[own == label] = mine
+                other[other == label] = mine
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return match
 
 
-def near_duplicates(docs: DataFrame, ws: Workspace, size: int = 2, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, ws: Workspace, size: int = 2, percent: int = 80, text: str = "text", key: str = "doc_id", worth_confirming: float = WORTH_CONFIRMING) -> DataFrame:
     """For each row: doc_id, n_shingles, component_id (the smallest doc_id that links reach), kept.
 
     Word sequences are first made unique. Each bucket of a band has a most central document, and all documents whose buckets have
-    the same one are a group. Members are tested against the central document first, by estimate and then on full sets. Then
-    pivots from outside the group's largest component are tested against the members of other components, in
-    blocks of members, and leave the group; only links come out of a block. It ends when no group
-    has members in two components, so all pairs that share a bucket are tested or already connected, and
-    a large group of copies costs about its size. Two documents at the threshold share no bucket with a
-    probability of (1 - 0.8**5)**40, about 1e-7.
+    the same one are a group. Each document is tested against the one most central document of its groups first, by estimate and
+    then on full sets, which is one pair a document at most. Then pivots from outside a group's largest component are tested
+    against the members of other components, in blocks of members of bounded bytes, and leave the group; a block gives back
+    which components have met, as a forest. It ends when no group has members in two components, so all pairs that share a bucket
+    are tested or already connected, and a large group of copies costs about its size. A group whose members share buckets without being
+    near-duplicates costs a comparison of sketches for each pair, dealt over its blocks. Two documents at the threshold share no bucket
+    with a probability of (1 - 0.8**5)**40, about 1e-7, and are below worth_confirming with one of about 1e-10.
 
     A null or empty text, or one without words, has n_shingles 0 and is a component of its own. Repeated rows each get a row;
     rows of one doc_id with different words are compared by their words. A null doc_id is linked with nothing, its component_id is null and it is kept. An empty table gives an empty one."""
+    least = worth_confirming * percent / 80
     sketches = ws.save(sketch(docs, size, text, key), "sketches")
     some = sketches.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     first = ws.save(some.groupBy("digest").agg(F.min("doc_id").alias("node")), "first")
@@ -230,46 +267,53 @@ def near_duplicates(docs: DataFrame, ws: Workspace, size: int = 2, percent: int
     ws.drop("bands")
     active = ws.save(sized.select("node").distinct(), "active")
     sketched = ws.save(nodes.join(active, "node"), "sketched")
-    sets = _sets(docs, active, size, text, key).dropDuplicates(["node"])
-    profiles = ws.save(sketched.join(sets, "node").select("node", "n", "sketch", "shingles"), "profiles", codec="uncompressed")
+    sets = _sets(docs, active, size, text, key).dropDuplicates(["node", "digest"])
+    profiles = ws.save(sketched.join(sets, ["node", "digest"]).select("node", "n", "sketch", "shingles"), "profiles", codec="uncompressed")
     ws.drop("nodes", "sketched")
     #: The central document is in the largest buckets: in a group of copies it is the text that they were made from, or close to it.
     central = sized.groupBy("node").agg(F.sum("n").alias("score"))
-    middle = sized.join(central, "node").groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("m")).select("bucket", F.col("m.node").alias("group"))
-    groups = ws.save(sized.select("bucket", "node").join(middle, "bucket").select("group", "node").distinct(), "groups_0")
+    middle = sized.join(central, "node").groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("m"))
+    groups = sized.select("bucket", "node").join(middle, "bucket").select(F.col("m.node").alias("group"), "node", F.col("m.score").alias("score")).distinct()
+    groups = ws.save(groups, "groups_0")
     ws.drop("sized")
     x = profiles.select(F.col("node").alias("a"), F.col("sketch").alias("xs"), F.col("n").alias("xn"))
     y = profiles.select(F.col("node").alias("b"), F.col("sketch").alias("ys"), F.col("n").alias("yn"))
-    asked = groups.where("node <> group").select(F.col("node").alias("a"), F.col("group").alias("b"))
-    likely = ws.save(_likely(asked.join(x, "a").join(y, "b"), percent), "likely")
-    links = ws.save(_confirmed(likely, profiles, percent), "links_0")
-    labels, i = (components(links, ws, "components_0") if links.limit(1).count() else None), 0
+    asked = groups.where("node <> group").groupBy("node").agg(F.max(F.struct("score", "group")).alias("best")).select(F.col("node").alias("a"), F.col("best.group").alias("b"))
+    likely = ws.save(_likely(asked.join(x, "a").join(y, "b"), percent, least), "likely")
+    met = ws.save(_confirmed(likely, profiles, percent), "met_0")
+    labels = ws.save(_joined(active.select("node", F.col("node").alias("label")), met, ws, "components_0"), "labels_0")
+    i = 0
     while True:
         i += 1
-        members = groups.withColumn("label", F.col("node")) if labels is None else groups.join(labels, "node", "left").select("group", "node", F.coalesce("label", "node").alias("label"))
-        members = ws.save(members, f"members_{i}")
-        sizes = members.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
-        parts = sizes.groupBy("group").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        blocks = F.ceil(F.col("n") / MEMBERS).cast("int")
-        parts = parts.select("group", F.col("main.label").alias("main"), (F.col("n") - F.col("main.n")).alias("outside"), blocks.alias("blocks"))
+        members = ws.save(groups.join(labels, "node").select("group", "node", "label"), f"members_{i}")
+        weighed = members.join(profiles.select("node", (8 * F.col("n") + 2 * REGISTERS).alias("bytes")), "node")
+        sizes = weighed.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+        parts = sizes.groupBy("group").agg(F.max(F.struct("n", "label", "bytes")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        #: Pivots come from outside a group's largest component: all of them, or about as many of them, by a hash, as the bounds say.
+        outside, apart = F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")
+        most = F.lit(FIRST_PIVOTS) if i == 1 else F.greatest(F.lit(1.0), outside * F.lit(float(PIVOT_BYTES)) / apart)
+        parts = parts.select("group", F.col("main.label").alias("main"), F.least(F.lit(1.0), most / outside).alias("share"), F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
         members = ws.save(members.join(parts, "group"), f"open_{i}")
         if not members.limit(1).count():
             break
-        #: Pivots come from outside a group's largest component: all of them, or about PIVOTS of them by a hash.
-        lot = F.pmod(F.xxhash64("node", F.lit(i)), F.lit(1 << 20)) * F.col("outside")
-        pivots = ws.save(members.where((F.col("label") != F.col("main")) & (lot < PIVOTS[min(i, len(PIVOTS)) - 1] << 20)), f"pivots_{i}")
+        lot = F.pmod(F.xxhash64("node", F.lit(i)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        pivots = ws.save(members.where((F.col("label") != F.col("main")) & (lot < F.col("share"))), f"pivots_{i}")
         own = ws.load(f"open_{i}", members.schema).join(profiles, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         against = pivots.join(ws.load("profiles", profiles.schema), "node").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        columns = ["group", "block", "node", "label", "n", "sketch", "shingles"]
-        met = own.select(*columns).groupBy("group", "block").cogroup(against.select(*columns).groupBy("group", "block"))
-        found = ws.save(met.applyInArrow(_matcher(percent), "a long, b long").distinct(), f"links_{i}")
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            labels = components(links, ws, f"components_{i}")
+        columns = ["group", "block", "label", "n", "sketch", "shingles"]
+        compared = own.select(*columns).groupBy("group", "block").cogroup(against.select(*columns).groupBy("group", "block"))
+        met = ws.save(compared.applyInArrow(_matcher(percent, least), "a long, b long").distinct(), f"met_{i}")
+        labels = ws.save(_joined(labels, met, ws, f"components_{i}"), f"labels_{i}")
         groups = ws.save(members.select("group", "node").join(pivots.select("group", "node"), ["group", "node"], "left_anti"), f"groups_{i}")
-        ws.drop(f"groups_{i - 1}", f"members_{i}", f"open_{i}", f"pivots_{i}")
-    known = sketches.select("doc_id", "n_shingles", "digest").join(first, "digest", "left")
-    if labels is not None:
-        known = known.join(labels, "node", "left").withColumn("node", F.coalesce("label", "node"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id"))
+        ws.drop(f"groups_{i - 1}", f"labels_{i - 1}", f"members_{i}", f"open_{i}", f"pivots_{i}")
+    known = sketches.select("doc_id", "n_shingles", "digest").join(first, "digest", "left").join(labels, "node", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "node", "doc_id"))
     return known.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def _joined(labels: DataFrame, met: DataFrame, ws: Workspace, name: str) -> DataFrame:
+    """labels (node, label) after the labels of each pair (a, b) in `met` have become one, the smallest."""
+    if not met.limit(1).count():
+        return labels
+    renamed = components(met, ws, name).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return labels.join(renamed, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
