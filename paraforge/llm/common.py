@@ -25,6 +25,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def column(name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def whole(text: Column) -> Column:
     """The text, a null one as the empty one."""
     return F.coalesce(text, F.lit(""))

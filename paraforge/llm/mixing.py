@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Workspace, cut_within, free_names, hash_unit, numbered, sized_join, source_key, whole, words
+from .common import Workspace, column, cut_within, free_names, hash_unit, numbered, sized_join, source_key, whole, words
 
 #: Weights of the sources in order, repeating; the mix's share (%) of all sizes; most times a source or document is taken.
 WEIGHTS, MIX_PERCENT, MOST = (3, 1, 2), 150, 2
@@ -54,7 +54,7 @@ def mix(docs: DataFrame, ws: Workspace, text: str = "text", source: str = "sourc
     is). An empty table gives an empty one. Columns of docs keep their values."""
     names = docs.columns
     made = free_names(names, MADE)
-    kept = [F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(names)]
+    kept = [column(c).alias(f"__k{i}") for i, c in enumerate(names)]
     own = [
         source_key(F.col(source)).alias("__source"),
         F.size(words(F.col(text))).cast("long").alias("__size"),

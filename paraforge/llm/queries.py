@@ -132,8 +132,7 @@ lines AS (
   SELECT doc_id, source, t, line, lower(trim(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g'))) AS norm, len({_WORDS.format("line")}) AS w
   FROM (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
 ),
-hosts AS (SELECT source, count(DISTINCT t) AS n FROM d GROUP BY 1),
-common AS (SELECT l.source, norm FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, norm, h.n HAVING count(DISTINCT t) > {quality.MIN_DOCS} AND count(DISTINCT t) > h.n * {quality.MAX_SHARE}),
+common AS (SELECT source, norm FROM lines GROUP BY source, norm HAVING count(DISTINCT doc_id) > {quality.MAX_DOCS}),
 lost AS (SELECT doc_id, sum(w) AS n FROM lines l JOIN common c ON l.source IS NOT DISTINCT FROM c.source AND l.norm = c.norm GROUP BY 1),
 same AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY 1),
 o AS (

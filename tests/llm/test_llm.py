@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paraforge.llm import bpe, chunkstore, lmscore, media, mixing, neardup, pii, quality, queries, sharding, substrings, tokenstore
+from paraforge.llm import bpe, chunkstore, common, lmscore, media, mixing, neardup, pii, quality, queries, sharding, substrings, tokenstore
 from paraforge.llm.common import accept_within, bloom_build, bloom_test, documents
 from paraforge.llm.graph import components
 from paraforge.llm.suffixes import suffix_array
@@ -553,10 +553,32 @@ def test_frequent_lines(spark, ws):
     rows += [(50, f"{boiler}\n  ALL rights  are reserved by the owners of this site who wrote every page that you may see on it today or later", "h")]
     rows += [(60 + i, "one text with its own line, copied many times over, as whole documents often are, so no line of it is common here", "h") for i in range(30)]
     rows += [(99, f"{boiler} at another host, where no other document has such a line at all, so it must stay as it is", "g")]
-    got = {x["doc_id"]: x for x in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), ws).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {x["doc_id"]: x for x in quality.quality_rules(df, ws, with_text=True).collect()}
     assert not got[50]["kept"] and not got[50]["base_failed"]
     assert got[0]["kept"] and boiler not in got[0]["kept_text"] and got[0]["lost_words"] == len(words(boiler)) + len(words(footer))
-    assert all(got[60 + i]["kept"] for i in range(30)) and got[99]["kept"]
+    assert not any(got[60 + i]["kept"] for i in range(30)) and got[99]["kept"]
+    texts = {x["doc_id"]: x for x in quality.quality_rules(df, ws, distinct_texts=True).collect()}
+    assert all(texts[60 + i]["kept"] for i in range(30)) and texts[0]["lost_words"] == got[0]["lost_words"]
+
+
+@pytest.mark.parametrize("rows_at_once", [100_000, 0])
+def test_line_limits_match_brute_force(spark, ws, rows_at_once, monkeypatch):
+    """Documents, not rows or texts, are counted; a repeated row is one document; both ways of joining agree."""
+    monkeypatch.setattr(quality, "sized_join", lambda a, b, on, how="inner": common.sized_join(a, b, on, how, rows_at_once))
+    r = random.Random(16)
+    pool = [" ".join(r.choice("abcdefgh") * r.randint(1, 4) for _ in range(r.randint(1, 6))) for _ in range(25)]
+    rows = [(i, "\n".join(r.choice(pool) if r.random() < 0.6 else f"own {i} {j}" for j in range(r.randint(0, 8))), r.choice(["p", "q", None])) for i in range(120)]
+    rows += [rows[3]] * 30 + [(None, "null ids are told apart\nby text", "p")] * 12
+    have = collections.defaultdict(set)
+    line = lambda x: " ".join(words(x)).lower()
+    for i, t, s in rows:
+        for x in t.split("\n"):
+            if words(x):
+                have[s, line(x)].add(i if i is not None else t)
+    expected = collections.Counter((i, s, sum(len(words(x)) for x in t.split("\n") if words(x) and len(have[s, line(x)]) > quality.MAX_DOCS)) for i, t, s in rows)
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4), ws, keep=["doc_id", "source"]).collect()
+    assert collections.Counter((x["doc_id"], x["source"], x["lost_words"]) for x in got) == expected
 
 
 # --- shared parts, queries, pipeline -----------------------------------------------------------------------------
