@@ -15,16 +15,15 @@ from .suffixes import suffix_array
 #: Length of the strings, of the anchors in them, and anchors in a string.
 LENGTH, ANCHOR = 100, 24
 SPREAD = LENGTH - ANCHOR + 1
-#: Longest symbol; bytes of whole symbols that two equal strings share at least after their first boundary.
+#: Longest symbol but for those that have no boundary inside.
 SYMBOL = 32
-COMMON = LENGTH - (SYMBOL + 1) - SYMBOL
 #: Bits of the filters of repeated anchors (16 MB), of very common anchors (1 MB) and of touched documents (8 MB).
 ANCHOR_BITS, HOT_BITS, DOCUMENT_BITS = 1 << 27, 1 << 23, 1 << 26
 #: Bytes of an anchor's right and left context; each string has one of the two in full. HALF: largest offset with the right one.
 CONTEXT, HALF = 58, LENGTH - 58
 #: Texts that are cut up at a time.
 BATCH = 3 << 20
-#: From this number of occurrences on, an anchor's strings are compared by hash in Spark and not in one task.
+#: From this number of occurrences on, an anchor's strings are grouped by their bytes in Spark and not in one task.
 HOT = 20_000
 #: Bytes of pieces that are put into one suffix array.
 BLOCK = 4 << 20
@@ -127,78 +126,106 @@ def _boundaries(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.nda
     return natural, natural | forced
 
 
+def _shared_bytes(codes: np.ndarray, left: np.ndarray, right: np.ndarray, most: int) -> np.ndarray:
+    """How many bytes from left[i] and from right[i] on are equal, counted up to `most`; codes are 0 at the pieces' ends."""
+    out, live = np.full(len(left), most, np.int64), np.arange(len(left))
+    for step in range(most):
+        a = codes[left[live] + step]
+        same = (a == codes[right[live] + step]) & (a > 0)
+        out[live[~same]] = step
+        live = live[same]
+    return out
+
+
 def repeated_strings(pieces: list[bytes], numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(piece, offset, class) of strings that may occur in several places; each piece holds numbers[i] strings.
+    """(piece, offset, class) of all strings; piece i holds the numbers[i] strings that begin at its first bytes. Equal strings have equal classes.
 
-    The pieces are read as symbols, the suffix array of the symbols is built, and suffixes that share COMMON bytes with a
-    neighbour mark their strings. Among these, equal strings have equal classes."""
-    begin = np.concatenate([[0], np.cumsum([len(p) for p in pieces])[:-1]]).astype(np.int64)
+    The pieces are read as symbols, words or so, and the suffix array of the symbols is built. A symbol is ranked by its bytes and
+    the two after it, on which its end depends, so that suffixes that begin at boundaries of one kind stand in the order of their
+    bytes. A string belongs to the first boundary in it, and is the bytes before that and those from it on. Neighbours in the
+    array that share as many bytes as the string has from there on are of one class; in the same way, neighbours among the symbols ordered
+    from their ends tell which strings are equal before the boundary."""
+    numbers = np.asarray(numbers, dtype=np.int64)
+    lengths = np.array([len(p) for p in pieces], dtype=np.int64)
+    begin = np.cumsum(lengths) - lengths
     joined = b"".join(pieces)
     data = np.frombuffer(joined, dtype=np.uint8)
     n = len(data)
     natural, boundary = _boundaries(data, begin)
     starts = np.flatnonzero(boundary)
-    piece_of = np.repeat(np.arange(len(pieces)), np.diff(np.concatenate([begin, [n]])))
-    owner = piece_of[starts]
-    piece_end = np.concatenate([begin[1:], [n]])
-    ends = np.minimum(np.concatenate([starts[1:], [n]]), piece_end[owner])
+    owner = np.searchsorted(begin, starts, "right") - 1
+    piece_end = begin + lengths
+    ends = np.minimum(np.append(starts[1:], n), piece_end[owner])
     names: dict[bytes, int] = {}
-    raw = [names.setdefault(joined[a:b], len(names)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    raw = np.array([names.setdefault(joined[a:b], len(names)) for a, b in zip(starts.tolist(), np.minimum(ends + 2, piece_end[owner]).tolist(), strict=True)], dtype=np.int64)
     #: Ranks of the symbols from 1; 0 stands after each piece.
     rank = np.empty(len(names), np.int64)
     rank[[i for _, i in sorted(names.items())]] = np.arange(1, len(names) + 1)
-    symbols = rank[np.array(raw, dtype=np.int64)] if len(raw) else np.zeros(0, np.int64)
     shift = np.arange(len(starts)) + owner
     string = np.zeros(len(starts) + len(pieces), np.int64)
-    string[shift] = symbols
-    width = np.zeros(len(string), np.int64)
-    width[shift] = ends - starts
+    string[shift] = rank[raw] if len(raw) else 0
     at = np.full(len(string), -1, np.int64)
     at[shift] = starts
-    array = suffix_array(string)
-    #: Neighbours in the array that share at least COMMON bytes of whole symbols.
-    left, right = array[:-1].copy(), array[1:].copy()
-    shared, index = np.zeros(len(left), np.int64), np.arange(len(left))
-    linked = np.zeros(len(left), bool)
-    while len(index):
-        same = (left < len(string)) & (right < len(string))
-        a, b = np.minimum(left, len(string) - 1), np.minimum(right, len(string) - 1)
-        same &= (string[a] == string[b]) & (string[a] > 0)
-        shared = np.where(same, shared + width[a], shared)
-        full = same & (shared >= COMMON)
-        linked[index[full]] = True
-        live = same & ~full
-        left, right, shared, index = left[live] + 1, right[live] + 1, shared[live], index[live]
-    member = np.zeros(len(string), bool)
-    member[array[:-1][linked]] = True
-    member[array[1:][linked]] = True
-    marked = np.zeros(n + SYMBOL + 2, bool)
-    marked[at[member & (at >= 0)]] = True
-    #: A string belongs to the first natural boundary in its 32 bytes after the first, else to the byte after these.
+    array = at[suffix_array(string)]
+    #: The boundary that each string belongs to: the first natural one in the 32 bytes after its first, else the byte after these.
     following = np.minimum.accumulate(np.where(natural, np.arange(n), n + LENGTH)[::-1])[::-1]
-    numbers = np.asarray(numbers, dtype=np.int64)
     piece = np.repeat(np.arange(len(pieces)), numbers)
     offset = np.arange(len(piece)) - np.repeat(np.cumsum(numbers) - numbers, numbers)
     place = begin[piece] + offset
     follow = following[place + 1]
     own = np.where(follow <= place + SYMBOL, follow, place + SYMBOL + 1)
-    keep = marked[own]
-    piece, offset, place = piece[keep], offset[keep], place[keep]
-    return piece, offset, _classes(data, place)
-
-
-def _classes(data: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Equal numbers for equal strings: by hash, confirmed byte by byte against the class's first."""
-    if not len(place):
-        return place
-    _, example, classes = np.unique(window_hashes(data, LENGTH)[place], return_index=True, return_inverse=True)
-    span = np.arange(LENGTH)
-    for begin in range(0, len(place), 20_000):
-        part = slice(begin, begin + 20_000)
-        if not (data[place[part, None] + span] == data[place[example[classes[part]]][:, None] + span]).all():
-            names: dict[bytes, int] = {}
-            return np.array([names.setdefault(data[p : p + LENGTH].tobytes(), len(names)) for p in place.tolist()])
-    return classes
+    before = own - place
+    codes = np.zeros(n + len(pieces) + LENGTH + 1, np.int16)
+    moved = np.arange(n) + np.repeat(np.arange(len(pieces)), lengths)  # with a stop after each piece
+    codes[moved] = data.astype(np.int16) + 1
+    used = np.zeros(n + 1, bool)
+    used[own] = True
+    array = array[(array >= 0) & used[array]]
+    #: For each boundary its place in the array and, by how many bytes are shared, its class there.
+    right = np.zeros(len(place), np.int64)
+    for kind in (True, False):
+        inside = array[natural[array] == kind]
+        if not len(inside):
+            continue
+        shared = _shared_bytes(codes, moved[inside[:-1]], moved[inside[1:]], LENGTH)
+        where = np.zeros(n + 1, np.int64)
+        where[inside] = np.arange(len(inside))
+        mine = natural[own] == kind
+        for d in np.unique(before[mine]).tolist():
+            these = np.flatnonzero(mine & (before == d))
+            right[these] = np.concatenate([[0], np.cumsum(shared < LENGTH - d)])[where[own[these]]] * 2 + kind
+    left = _left_classes(data, begin, place, own, before)
+    _, classes = np.unique((before * (int(right.max(initial=0)) + 1) + right) * (int(left.max(initial=0)) + 1) + left, return_inverse=True)
+    return piece, offset, classes
+
+
+def _left_classes(data: np.ndarray, begin: np.ndarray, place: np.ndarray, own: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Numbers that are equal for strings with equal bytes before their boundary, among strings with as many of them."""
+    out = np.zeros(len(place), np.int64)
+    short = np.flatnonzero(before <= SYMBOL)
+    #: The bytes before each boundary, read backwards, in order; neighbours that share d bytes are equal to strings with d of them.
+    places, back = np.unique(own[short], return_inverse=True)
+    table = np.zeros((len(places), SYMBOL), np.uint8)
+    first = begin[np.searchsorted(begin, places - 1, "right") - 1]
+    for k in range(SYMBOL):
+        there = places - 1 - k >= first
+        table[there, k] = data[places[there] - 1 - k]
+    order = np.lexsort(table.view(">u8").T[::-1])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    table = table[order]
+    differs = table[1:] != table[:-1]
+    shared = np.where(differs.any(axis=1), differs.argmax(axis=1), SYMBOL)
+    at = rank[back.ravel()]
+    for d in np.unique(before[short]).tolist():
+        these = before[short] == d
+        out[short[these]] = np.concatenate([[0], np.cumsum(shared < d)])[at[these]]
+    #: Without a natural boundary in reach the bytes themselves are the name.
+    more: dict[bytes, int] = {}
+    long = np.flatnonzero(before > SYMBOL)
+    raw = data.tobytes() if len(long) else b""
+    out[long] = [more.setdefault(raw[a:b], len(more)) for a, b in zip(place[long].tolist(), own[long].tolist(), strict=True)]
+    return out
 
 
 def joined_runs(ids: np.ndarray, places: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -255,8 +282,8 @@ def repeated_runs(rows: DataFrame, ws: Workspace) -> DataFrame:
     """(id, place, number) for rows (id, __text): runs of 100-byte strings of each document that also start earlier.
 
     Anchors are counted first; strings of anchors that occur once are not looked at again. The rest are sent to tasks by their anchor as short pieces of
-    text, equal pieces of a batch once. A task reads its pieces block by block. Strings of very common anchors are compared by 128-bit hashes
-    with the least occurrence of each hash instead, in joins that Spark can split."""
+    text, equal pieces of a batch once. A task builds the suffix array of its pieces block by block and reads the strings' classes from it. Strings of very
+    common anchors are grouped by their bytes instead, in an aggregation and a join that Spark can split, and meet in no single task."""
 
     def anchors(batches):
         for batch in byte_budget(batches, 1, BATCH):
@@ -346,22 +373,22 @@ def repeated_runs(rows: DataFrame, ws: Workspace) -> DataFrame:
 
 
 def _hot_runs(pieces: DataFrame) -> DataFrame:
+    """Runs of the strings of very common anchors: each string, byte for byte, against its least occurrence."""
+
     def exploded(batches):
         for batch in batches:
             for begin in range(0, batch.num_rows, 1000):
                 part = batch.slice(begin, 1000)
                 texts = part.column(3).to_pylist()
                 numbers = part.column(2).to_numpy().astype(np.int64)
-                data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-                starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]])
                 row = np.repeat(np.arange(len(texts)), numbers)
                 offset = np.arange(len(row)) - np.repeat(np.cumsum(numbers) - numbers, numbers)
-                one, two = (window_hashes(data, LENGTH, f)[starts[row] + offset].view(np.int64) for f in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(part.column(0).to_numpy()[row]), pa.array((part.column(1).to_numpy()[row] + offset).astype(np.int32))], ["h1", "h2", "id", "place"])
+                strings = [texts[i][k : k + LENGTH] for i, k in zip(row.tolist(), offset.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(strings, pa.binary()), pa.array(part.column(0).to_numpy()[row]), pa.array((part.column(1).to_numpy()[row] + offset).astype(np.int32))], ["string", "id", "place"])
 
-    strings = pieces.select("id", "place", "number", "piece").mapInArrow(exploded, "h1 long, h2 long, id long, place int")
-    least = strings.groupBy("h1", "h2").agg(F.min(F.struct("id", "place")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = strings.join(least, ["h1", "h2"]).where(F.struct("id", "place") > F.col("least"))
+    strings = pieces.select("id", "place", "number", "piece").mapInArrow(exploded, "string binary, id long, place int")
+    least = strings.groupBy("string").agg(F.min(F.struct("id", "place")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("string", "least")
+    later = strings.join(least, "string").where(F.struct("id", "place") > F.col("least"))
     return later.select("id", "place", F.lit(1).cast("int").alias("number"))
 
 
