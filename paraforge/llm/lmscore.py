@@ -15,18 +15,21 @@ from .common import Workspace, byte_budget, byte_texts, whole
 FOLDS, HELD_OUT = 7, 2
 #: The end of a text, counted as a token; no word can have a separator in it.
 END = b"\n"
-#: Counts are held as 1 + floor(log2(count)). A word or pair enters the filter once for each level up to its own.
-#: Least count of a pair that enters unless the caller names another; op8_lm_score enters all. Probes for others back off to the word.
-MIN_PAIR = 2
-#: The filter has one segment for each value of a key's top 12 bits. A segment is sized by the (key, level) entries it
-#: gets: with 16 bits and 4 hashes an entry, at most 22 % of its bits are set, whatever the corpus.
-SEGMENTS, BITS_PER_ENTRY, LEAST_BITS = 4096, 16, 1024
+#: Counts are held as levels: each count up to EXACT has its own, beyond it there are OCTAVE levels for each doubling. A word or
+#: pair enters the filter once for each level up to its own.
+EXACT, OCTAVE = 8, 4
+#: The least count of each level, from level 0 (none) on.
+LEAST = np.array([*range(EXACT + 1), *[math.ceil(EXACT * 2 ** (i / OCTAVE)) for i in range(1, 45 * OCTAVE)]], dtype=np.int64)
+#: A segment of the filter has the keys of some values of their top bits: 4,096 segments, or more so that one has about so
+#: many bytes of text at most. It is sized by the (key, level) entries it gets: with 16 bits and 4 hashes an entry, at most 22 %
+#: of its bits are set, whatever the corpus, so a level that is missing is taken for there once in 400 probes.
+SEGMENTS, SEGMENT_BYTES, BITS_PER_ENTRY, LEAST_BITS = 4096, 8 << 20, 16, 1024
 #: Bytes of text whose keys are looked up together.
 UNIT_BYTES = 8 << 20
 HASHES = 4
 #: Weight of the pair's share against the word's own probability.
 LAMBDA = 0.6
-#: Words whose exact counts are sent to every worker for the base score: at most this number, 24 MB.
+#: Words whose exact counts are sent to every worker for the base score: at most this number, 48 MB.
 HEAD_WORDS = 1 << 21
 
 
@@ -36,6 +39,13 @@ def word_hash(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
+def second_hash(words: list[bytes]) -> np.ndarray:
+    """64 bits more of a word, for the exact counts."""
+    import xxhash
+
+    return np.fromiter((xxhash.xxh3_64_intdigest(w, 1) for w in words), dtype=np.uint64, count=len(words))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -49,7 +59,12 @@ def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def level(counts: np.ndarray) -> np.ndarray:
-    return 1 + np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64)
+    return np.searchsorted(LEAST, counts, "right") - 1
+
+
+def segments_for(size: int) -> int:
+    """The number of segments, a power of two, for so many bytes of text."""
+    return max(SEGMENTS, 1 << max(0, size // SEGMENT_BYTES).bit_length())
 
 
 def positions(keys: np.ndarray, at_level: np.ndarray | int, bits: int) -> np.ndarray:
@@ -81,22 +96,19 @@ def probe(mask: np.ndarray, keys: np.ndarray) -> np.ndarray:
         live = live[there]
         out[live] = at_level
         at_level += 1
-        if at_level > 48:
+        if at_level == len(LEAST):
             break
     return out
 
 
-def count_of(levels: np.ndarray) -> np.ndarray:
-    """The count that a level stands for: the middle of its range, 0 for none."""
-    return np.where(levels > 1, 0.75 * 2.0**levels, levels)
-
-
 def log10_share(pair: np.ndarray, left: np.ndarray, right: np.ndarray, total: int, distinct: int) -> np.ndarray:
-    """log10 of p(w | h) = LAMBDA * c(h, w) / c(h) + (1 - LAMBDA) * (c(w) + 1) / (N + V + 1), from the counts of the
-    pair, h and w in the filter. Where it has no pair or no h, the first part is left out and the second has all the weight."""
-    own = np.minimum((right + 1) / (total + distinct + 1), 1.0)
-    share = np.minimum(pair / np.maximum(left, 1), 1.0)
-    return np.log10(np.where((pair > 0) & (left > 0), LAMBDA * share + (1 - LAMBDA) * own, own))
+    """log10 of p(w | h) = LAMBDA * c(h, w) / c(h) + (1 - LAMBDA) * (c(w) + 1) / (N + V + 1), from the levels of the pair, h and w.
+
+    A pair and w have the least count of their level and h has the largest of its own, so that for each h the probabilities of all words,
+    with one word for all that training has not, sum up to 1 at most, but for the filter's false levels. Where the filter has no h, the second part has all the weight."""
+    own = np.minimum((LEAST[right] + 1) / (total + distinct + 1), 1.0)
+    share = np.minimum(LEAST[pair] / np.maximum(LEAST[np.minimum(left + 1, len(LEAST) - 1)] - 1, 1), 1.0)
+    return np.log10(np.where(left > 0, LAMBDA * share + (1 - LAMBDA) * own, own))
 
 
 def is_held_out(doc_id) -> bool:
@@ -137,7 +149,7 @@ class Unit:
     def __init__(self, raws: list[bytes]):
         self.flat, self.ends, words = _tokens(raws)
         self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
-        self.words = word_hash(words)
+        self.words, self.second = word_hash(words), second_hash(words)
         self.hashes = self.words[self.flat]
         before = np.concatenate([self.hashes[-1:], self.hashes[:-1]])
         before[self.starts] = word_hash([END])[0]
@@ -181,7 +193,7 @@ def pack_keys(units: DataFrame, segments: int = SEGMENTS) -> DataFrame:
     return units.groupBy("unit").applyInArrow(run, "unit long, segment int, keys binary, counts binary")
 
 
-def look_up(packed: DataFrame, bits: int | None = None, min_pair: int = MIN_PAIR) -> DataFrame:
+def look_up(packed: DataFrame, bits: int | None = None) -> DataFrame:
     """(unit, segment, levels): for each row of pack_keys() the levels of its keys, a byte each.
 
     A task holds one segment at a time: the keys of all units there are summed, entered and probed."""
@@ -190,7 +202,7 @@ def look_up(packed: DataFrame, bits: int | None = None, min_pair: int = MIN_PAIR
         keys = np.frombuffer(b"".join(r[1] for r in rows), dtype=np.uint64)
         distinct, at = np.unique(keys, return_inverse=True)
         sums = np.bincount(at, np.frombuffer(b"".join(r[2] for r in rows), dtype=np.int32)).astype(np.int64)
-        own = (sums < 0) | (sums >= min_pair)
+        own = sums != 0
         mask = segment_mask(distinct[own], np.abs(sums[own]), bits)
         levels = probe(mask, distinct).astype(np.uint8)[at]
         edges = np.concatenate([[0], np.cumsum([len(r[1]) // 8 for r in rows])])
@@ -211,15 +223,14 @@ def look_up(packed: DataFrame, bits: int | None = None, min_pair: int = MIN_PAIR
     return packed.repartition("segment").sortWithinPartitions("segment").mapInArrow(run, "unit long, segment int, levels binary")
 
 
-def score(docs: DataFrame, ws: Workspace, text: str = "text", key: str = "doc_id", bits: int | None = None, head_words: int = HEAD_WORDS, min_pair: int = MIN_PAIR) -> DataFrame:
+def score(docs: DataFrame, ws: Workspace, text: str = "text", key: str = "doc_id", bits: int | None = None, head_words: int = HEAD_WORDS) -> DataFrame:
     """For each row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from all rows that are not held out. base_score is exact: the counts of the commonest words, at most
     head_words, go to every worker; the remaining words of each text are joined with the table of counts.
-    Words stand under 64-bit hashes for that. score comes from the filter alone. It is in no place as a whole: texts are
+    Words stand under 128-bit hashes for that. score comes from the filter alone. It is in no place as a whole: texts are
     dealt into units by hash, the distinct keys of a unit go to the segments they lie in, and their levels come back to
-    the unit. bits, if given, fixes the bits of the whole filter instead. Pairs enter from a
-    training count of min_pair, where 1 enters all.
+    the unit. bits, if given, fixes the bits of the whole filter instead.
 
     A null or empty text is the end token alone. A null doc_id is in training. Without training rows all counts are 0.
     Repeated rows each get a row and each count; an empty table gives an empty one."""
@@ -229,7 +240,8 @@ def score(docs: DataFrame, ws: Workspace, text: str = "text", key: str = "doc_id
     total, distinct = facts["total"], facts["distinct"]
     size = rows.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).first()[0]
     units = rows.withColumn("unit", F.pmod(F.xxhash64("doc_id", "__text"), F.lit(size // UNIT_BYTES + 1)))
-    levels = look_up(pack_keys(units), None if bits is None else bits // SEGMENTS, min_pair)
+    segments = segments_for(size)
+    levels = look_up(pack_keys(units, segments), None if bits is None else bits // segments)
     #: How many words have at least 2**j occurrences decides from which count on words belong to the head.
     sizes = words.groupBy(F.floor(F.log2("n")).cast("int").alias("j")).agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("j")).collect()
     cut, held = 1 << 62, 0
@@ -241,26 +253,28 @@ def score(docs: DataFrame, ws: Workspace, text: str = "text", key: str = "doc_id
 
     def hashed(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(word_hash(batch.column(0).to_pylist()).view(np.int64)), batch.column(1)], ["hash", "n"])
+            found = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(word_hash(found).view(np.int64)), pa.array(second_hash(found).view(np.int64)), batch.column(1)], ["hash", "second", "n"])
 
-    counts = words.mapInArrow(hashed, "hash long, n long")
+    counts = words.mapInArrow(hashed, "hash long, second long, n long")
     head = counts.where(F.col("n") >= cut).toArrow()
     names = head.column("hash").to_numpy().view(np.uint64)
     order = np.argsort(names)
+    alone = len(np.unique(names)) == len(names)
     context = ws.spark.sparkContext
-    shared = context.broadcast((names[order], head.column("n").to_numpy()[order]))
+    shared = context.broadcast((names[order], head.column("second").to_numpy().view(np.uint64)[order], head.column("n").to_numpy()[order]))
 
     def scored(texts, found):
-        names, numbers = shared.value
+        names, seconds, numbers = shared.value
         unit = Unit(byte_texts(texts.column("__text")))
         found = found.sort_by("segment")
         of_keys = np.frombuffer(b"".join(found.column("levels").to_pylist()), dtype=np.uint8)
         if len(of_keys) != len(unit.keys):
             raise ValueError(f"{len(of_keys)} levels came back for {len(unit.keys)} keys")
-        single, pair = map(count_of, unit.levels(of_keys))
+        single, pair = unit.levels(of_keys)
         logs = log10_share(pair[unit.pair_at], single[unit.first], single[unit.flat], total, distinct)
         at = np.minimum(np.searchsorted(names, unit.words), max(len(names) - 1, 0))
-        in_head = names[at] == unit.words if len(names) else np.zeros(len(unit.words), bool)
+        in_head = (names[at] == unit.words) & (seconds[at] == unit.second) if len(names) else np.zeros(len(unit.words), bool)
         known = np.where(in_head, numbers[at], 0) if len(names) else np.zeros(len(unit.words), np.int64)
         base = np.log10((known + 1) / (total + 1 * (distinct + 1)))
         inside = in_head[unit.flat]
@@ -270,25 +284,25 @@ def score(docs: DataFrame, ws: Workspace, text: str = "text", key: str = "doc_id
             sums.append(math.fsum(base[unit.flat[a:b]][own]))
             seen.append(int(own.sum()))
             scores.append(math.fsum(logs[a:b]))
-            rest, n = np.unique(unit.hashes[a:b][~own].view(np.int64), return_counts=True)
-            tails.append([{"hash": h, "m": m} for h, m in zip(rest.tolist(), n.tolist())])
+            rest, n = np.unique(unit.flat[a:b][~own], return_counts=True)
+            tails.append([{"hash": h, "second": i, "m": m} for h, i, m in zip(unit.words[rest].view(np.int64).tolist(), unit.second[rest].view(np.int64).tolist(), n.tolist())])
         ids = texts.column("doc_id")
         return pa.table(
             {
                 "doc_id": ids, "held_out": pa.array([is_held_out(i) for i in ids.to_pylist()]), "n_tokens": pa.array(unit.ends - unit.starts), "seen": pa.array(seen, pa.int64()),
-                "sum": pa.array(sums), "score": pa.array(scores), "tail": pa.array(tails, pa.list_(pa.struct([("hash", pa.int64()), ("m", pa.int64())]))),
+                "sum": pa.array(sums), "score": pa.array(scores), "tail": pa.array(tails, pa.list_(pa.struct([("hash", pa.int64()), ("second", pa.int64()), ("m", pa.int64())]))),
             }
         )
 
-    schema = "doc_id long, held_out boolean, n_tokens long, seen long, sum double, score double, tail array<struct<hash:long,m:long>>"
+    schema = "doc_id long, held_out boolean, n_tokens long, seen long, sum double, score double, tail array<struct<hash:long,second:long,m:long>>"
     out = units.groupBy("unit").cogroup(levels.groupBy("unit")).applyInArrow(scored, schema)
-    if cut <= 1:  # every word is in the head: what is left has a count of 0
+    if cut <= 1 and alone:  # every word is in the head: what is left has a count of 0
         unseen = math.log10(1 / (total + distinct + 1))
         rest = F.col("n_tokens") - F.col("seen")
         return out.select("doc_id", "held_out", "n_tokens", F.col("seen").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("sum") + rest * F.lit(unseen)).alias("base_score"), "score")
     out = ws.save(out.withColumn("row", F.monotonically_increasing_id()), "scored")
-    tail = out.select("row", F.explode("tail").alias("t")).select("row", "t.hash", "t.m")
-    rare = tail.join(counts.where(F.col("n") < cut), "hash", "left")
+    tail = out.select("row", F.explode("tail").alias("t")).select("row", "t.hash", "t.second", "t.m")
+    rare = tail.join(counts, ["hash", "second"], "left")
     term = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(total + distinct + 1)))
     added = rare.groupBy("row").agg(F.sum(F.col("m") * term).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("m")).otherwise(F.lit(0))).alias("more_seen"))
     done = out.join(added, "row", "left")

@@ -487,6 +487,14 @@ def test_repeats_of_awkward_rows(docs, nothing, ws):
 # --- language model ----------------------------------------------------------------------------------------------
 
 
+def held_range(n):
+    """The least and the largest count that the model takes for n: itself up to 8, else its quarter of an octave."""
+    if n <= 8:
+        return n, n
+    steps = [math.ceil(8 * 2 ** (i / 4)) for i in range(120)]
+    return max(x for x in steps if x <= n), min(x for x in steps if x > n) - 1
+
+
 @pytest.mark.parametrize("head", [1 << 21, 8])
 def test_scores(spark, ws, head):
     r = random.Random(13)
@@ -502,18 +510,14 @@ def test_scores(spark, ws, head):
             two.update(zip(["\n", *t], t))
     total, distinct = sum(one.values()), len(one)
 
-    def level(n):
-        return 0 if n < 1 else 1 if n < 2 else 0.75 * 2 ** (1 + int(math.log2(n)))
-
     for i, t in tokens.items():
         x = got[i]
         assert (x["held_out"], x["n_tokens"], x["n_known"], x["train_tokens"]) == (held[i], len(t), sum(one[w] > 0 for w in t), total)
         assert math.isclose(x["base_score"], sum(math.log10((one[w] + 1) / (total + distinct + 1)) for w in t), rel_tol=1e-9)
         score = 0.0
         for h, w in zip(["\n", *t], t):
-            own = (level(one[w]) + 1) / (total + distinct + 1)
-            pair = level(two[h, w]) if two[h, w] >= 2 else 0
-            score += math.log10(0.6 * min(1, pair / max(1, level(one[h]))) + 0.4 * own if pair and one[h] else own)
+            own = (held_range(one[w])[0] + 1) / (total + distinct + 1)
+            score += math.log10(0.6 * held_range(two[h, w])[0] / held_range(one[h])[1] + 0.4 * own if one[h] else own)
         assert math.isclose(x["score"], score, rel_tol=1e-6)
 
 
@@ -527,9 +531,9 @@ def test_query_enters_pairs_seen_once(spark, tmp_path):
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {x["doc_id"]: x for x in queries.QUERIES["op8_lm_score"](spark, str(tmp_path)).collect()}
     learned = [i for i in texts if zlib.crc32(str(i).encode()) % 7 != 2]
-    total, distinct, ends = 3 * len(learned), 2 * len(learned) + 1, 0.75 * 2 ** (1 + int(math.log2(len(learned))))
+    total, distinct, ends = 3 * len(learned), 2 * len(learned) + 1, held_range(len(learned))
     own = 2 / (total + distinct + 1)
-    expected = math.log10(0.6 / ends + 0.4 * own) + math.log10(0.6 + 0.4 * own) + math.log10(0.6 + 0.4 * (ends + 1) / (total + distinct + 1))
+    expected = math.log10(0.6 / ends[1] + 0.4 * own) + math.log10(0.6 + 0.4 * own) + math.log10(0.6 + 0.4 * (ends[0] + 1) / (total + distinct + 1))
     assert all(math.isclose(got[i]["score"], expected, rel_tol=1e-6) for i in learned)
 
 
@@ -543,9 +547,22 @@ def test_filter_follows_its_entries():
         assert (got[:n] == lmscore.level(counts)).mean() > 0.98 and (got[n:] == 0).mean() > 0.98
 
 
-def test_probabilities_are_at_most_one():
-    counts = lmscore.count_of(np.array([48, 3, 1]))
-    assert (lmscore.log10_share(counts, counts, counts, 2, 1) <= 0).all()
+def test_probabilities_sum_to_at_most_one():
+    """For every history, with one word for all that training has not; and to nearly one, so that little is given away."""
+    r = np.random.default_rng(3)
+    counts = (r.zipf(1.4, (60, 60)) - 1).astype(np.int64)
+    counts[counts > 10**6] = 10**6
+    one = counts.sum(axis=0)
+    total, distinct = int(one.sum()), int((one > 0).sum())
+    left = counts.sum(axis=1)
+    for h in range(60):
+        words_of = np.append(one[one > 0], 0)
+        pair = np.append(counts[h][one > 0], 0)
+        p = 10 ** lmscore.log10_share(lmscore.level(pair), np.full(len(pair), lmscore.level(left[h : h + 1])[0]), lmscore.level(words_of), total, distinct)
+        assert 0.6 < p.sum() <= 1 + 1e-12
+    edge = np.array([0, 1, 8, 9, 10, 11, 12, 1 << 40, 1 << 47])
+    levels = lmscore.level(edge)
+    assert (lmscore.LEAST[levels] <= edge).all() and (edge < lmscore.LEAST[levels + 1]).all() and (np.diff(lmscore.LEAST) > 0).all()
 
 
 # --- quality -----------------------------------------------------------------------------------------------------
