@@ -98,6 +98,28 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+class MerkleTree:
+    """The root of merkle() for leaves that come one by one, from a node for each bit of their number."""
+
+    def __init__(self):
+        self.nodes: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        size, node = 1, hashlib.sha256(b"\0" + leaf).digest()
+        while self.nodes and self.nodes[-1][0] == size:
+            node = hashlib.sha256(b"\1" + self.nodes.pop()[1] + node).digest()
+            size *= 2
+        self.nodes.append((size, node))
+
+    def root(self) -> bytes:
+        if not self.nodes:
+            return merkle([])
+        out = self.nodes[-1][1]
+        for _, node in reversed(self.nodes[:-1]):
+            out = hashlib.sha256(b"\1" + node + out).digest()
+        return out
+
+
 def repeated_filter(digests: DataFrame, bits: int = FILTER_BITS) -> bytes:
     """A filter of the chunks that occur more than once, from (d1, d2, n): the halves of a digest and a partial count."""
     repeated = digests.groupBy("d1", "d2").agg(F.sum("n").alias("n")).where("n > 1")
@@ -213,7 +235,7 @@ def with_fetched(packs: DataFrame, chunks: DataFrame, key: str = "key") -> DataF
     wanted = apart.select(key, F.explode(F.arrays_zip("shared", "d1", "d2")).alias("w")).select(key, F.col("w.shared").alias("i"), "w.d1", "w.d2").distinct()
     got = wanted.join(chunks, ["d1", "d2"]).groupBy(key).agg(F.collect_list(F.struct("i", "chunk")).alias("fetched"))
     alone = packs.where(F.size("shared") == 0).withColumn("fetched", F.lit(None).cast("array<struct<i:int,chunk:binary>>"))
-    return apart.join(got, key).select(*packs.columns, "fetched").unionByName(alone.select(*packs.columns, "fetched"))
+    return apart.join(got, key, "left").select(*packs.columns, "fetched").unionByName(alone.select(*packs.columns, "fetched"))
 
 
 def read_back(packs: DataFrame, chunks: DataFrame, use: Callable, schema, columns: list[str], key: str = "key") -> DataFrame:

@@ -26,7 +26,7 @@ BATCH = 3 << 20
 #: From this number of occurrences on, an anchor's strings are grouped by their bytes in Spark and not in one task.
 HOT = 20_000
 #: Bytes of pieces that are put into one suffix array.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 NO_ID = -(1 << 63)
 
 
@@ -138,7 +138,8 @@ def _shared_bytes(codes: np.ndarray, left: np.ndarray, right: np.ndarray, most:
 
 
 def repeated_strings(pieces: list[bytes], numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(piece, offset, class) of all strings; piece i holds the numbers[i] strings that begin at its first bytes. Equal strings have equal classes.
+    """(piece, offset, class) of all strings that occur in several places, and of some others; piece i holds the numbers[i] strings
+    that begin at its first bytes. Equal strings have equal classes, others have others.
 
     The pieces are read as symbols, words or so, and the suffix array of the symbols is built. A symbol is ranked by its bytes and
     the two after it, on which its end depends, so that suffixes that begin at boundaries of one kind stand in the order of their
@@ -167,36 +168,42 @@ def repeated_strings(pieces: list[bytes], numbers: np.ndarray) -> tuple[np.ndarr
     at = np.full(len(string), -1, np.int64)
     at[shift] = starts
     array = at[suffix_array(string)]
-    #: The boundary that each string belongs to: the first natural one in the 32 bytes after its first, else the byte after these.
-    following = np.minimum.accumulate(np.where(natural, np.arange(n), n + LENGTH)[::-1])[::-1]
-    piece = np.repeat(np.arange(len(pieces)), numbers)
-    offset = np.arange(len(piece)) - np.repeat(np.cumsum(numbers) - numbers, numbers)
-    place = begin[piece] + offset
-    follow = following[place + 1]
-    own = np.where(follow <= place + SYMBOL, follow, place + SYMBOL + 1)
-    before = own - place
+    del rank, raw, string, shift, at, names
     codes = np.zeros(n + len(pieces) + LENGTH + 1, np.int16)
     moved = np.arange(n) + np.repeat(np.arange(len(pieces)), lengths)  # with a stop after each piece
     codes[moved] = data.astype(np.int16) + 1
-    used = np.zeros(n + 1, bool)
-    used[own] = True
-    array = array[(array >= 0) & used[array]]
-    #: For each boundary its place in the array and, by how many bytes are shared, its class there.
-    right = np.zeros(len(place), np.int64)
+    array = array[array >= 0]
+    #: For each boundary its place among those of its kind in the array, and the most bytes that it shares with a neighbour there.
+    orders = {}
+    where, most = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int8)
     for kind in (True, False):
         inside = array[natural[array] == kind]
-        if not len(inside):
-            continue
-        shared = _shared_bytes(codes, moved[inside[:-1]], moved[inside[1:]], LENGTH)
-        where = np.zeros(n + 1, np.int64)
+        shared = _shared_bytes(codes, moved[inside[:-1]], moved[inside[1:]], LENGTH).astype(np.int8)
         where[inside] = np.arange(len(inside))
+        most[inside[:-1]] = shared
+        most[inside[1:]] = np.maximum(most[inside[1:]], shared)
+        orders[kind] = shared
+    del codes, moved, array
+    #: The boundary that each string belongs to: the first natural one in the 32 bytes after its first, else the byte after these.
+    following = np.minimum.accumulate(np.where(natural, np.arange(n, dtype=np.int32), n + LENGTH)[::-1])[::-1]
+    strings = np.zeros(n + 1, np.int8)
+    strings[begin] += 1
+    strings[begin + numbers] -= 1
+    place = np.flatnonzero(np.cumsum(strings[:n], dtype=np.int8)).astype(np.int32)
+    own = np.minimum(following[place + 1], place + (SYMBOL + 1))
+    near = most[own] >= LENGTH - (own - place)  # the others share too little with any other suffix
+    place, own = place[near], own[near]
+    before = own - place
+    right = np.zeros(len(place), np.int64)
+    for kind, shared in orders.items():
         mine = natural[own] == kind
         for d in np.unique(before[mine]).tolist():
             these = np.flatnonzero(mine & (before == d))
             right[these] = np.concatenate([[0], np.cumsum(shared < LENGTH - d)])[where[own[these]]] * 2 + kind
     left = _left_classes(data, begin, place, own, before)
     _, classes = np.unique((before * (int(right.max(initial=0)) + 1) + right) * (int(left.max(initial=0)) + 1) + left, return_inverse=True)
-    return piece, offset, classes
+    piece = np.searchsorted(begin, place, "right") - 1
+    return piece, place - begin[piece], classes
 
 
 def _left_classes(data: np.ndarray, begin: np.ndarray, place: np.ndarray, own: np.ndarray, before: np.ndarray) -> np.ndarray:

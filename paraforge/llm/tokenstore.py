@@ -20,12 +20,26 @@ from .common import Workspace, byte_budget, byte_texts, sized_join, whole
 END = 1
 #: Words that a worker keeps with their ids; beyond it all go. It saves work, it decides nothing.
 KEPT_WORDS = 800_000
+#: The steps of the tokenizer whose words can be encoded one by one. Any other tokenizer gets whole texts.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+}
 
 
 class WordTokenizer:
-    """Encodes texts with a tokenizer that never joins tokens over white space, word by word, each new word once.
+    """Encodes texts with a tokenizer. One whose steps are WORDWISE never joins tokens over white space: it encodes word by word,
+    each new word once. Any other encodes whole texts.
 
-    A text that has '<|', which may begin the string of a special token, is encoded as a whole. Other texts are put
+    A text that has a character that begins the string of an added token is encoded as a whole. Other texts are put
     in lower case (A-Z) first, as the tokenizer does. A word of plain lower-case letters, also before one comma or full stop,
     goes to the tokenizer's model directly, because normalising and splitting leave it as it is."""
 
@@ -42,8 +56,9 @@ class WordTokenizer:
         self.kind = np.dtype("<u2") if self.width == 2 else np.dtype("<u4")
         self.known: dict[bytes, bytes] = {}
         steps = json.loads(definition)
-        kinds = [[x.get("type") for x in (steps.get(part) or {}).get(inner, [])] for part, inner in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
-        self.plain = kinds == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]]
+        self.plain = all(steps.get(k) == v for k, v in WORDWISE.items()) and steps["model"].get("type") == "BPE" and not steps["model"].get("dropout")
+        #: What an added token begins with; a text that has one is not cut into words.
+        self.openings = tuple({x["content"][:2].encode() for x in steps.get("added_tokens") or ()})
         #: The characters that stand for bytes in a byte-level model: printable ones for themselves, the others in order from 256.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in printable]
@@ -62,8 +77,6 @@ class WordTokenizer:
 
     def _new(self, words: list[bytes]) -> list[bytes]:
         """The ids of words in lower case."""
-        if not self.plain:
-            return self._ids([w.decode() for w in words])
         tails = dict(zip((b",", b"."), self._ids([",", "."]), strict=True))
         tokenize, code = self.tokenizer.model.tokenize, "H" if self.width == 2 else "I"
         out: list[bytes] = [b""] * len(words)
@@ -90,9 +103,11 @@ class WordTokenizer:
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
         known, end = self.known, np.array([END], dtype=self.kind).tobytes()
-        whole_texts = {i: self._ids([t.decode()])[0] + end for i, t in enumerate(texts) if b"<|" in t}
+        if not self.plain:
+            return [x + end for x in self._ids([t.decode() for t in texts])]
+        whole_texts = {i: self._ids([t.decode()])[0] + end for i, t in enumerate(texts) if any(x in t for x in self.openings)}
         column = pa.array([b"" if i in whole_texts else t for i, t in enumerate(texts)], pa.large_binary()).cast(pa.large_string())
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(column) if self.plain else column)  # exactly the ASCII separators and A-Z
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(column))  # exactly the ASCII separators and A-Z
         owner = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
         encoded = lists.flatten().dictionary_encode()
         codes = encoded.indices.to_numpy()
@@ -119,8 +134,9 @@ def write_tokens(docs: DataFrame, ws: Workspace, text: str = "text", key: str =
     """Encodes every text once and writes its ids to a store in ascending order of the key.
 
     Gives three tables: packs (a row for each document, with its place in its part), chunks, and the manifest (a row for each
-    part: its ids before, and the hash chain over its documents' Merkle roots). Texts are encoded once, into a staging table that
-    is dropped at the end; ids, not texts, are dealt into ranges of the key."""
+    part: its documents, its ids and those before, the bytes of an id, and the Merkle root over its documents, each with its key, its number of
+    ids and the root of its recipe). Texts are encoded once, into a staging table that is dropped at the end; ids, not texts,
+    are dealt into ranges of the key, of a hash of the ids and of a row number, so that neither null nor repeated keys meet in one task."""
     if path is None:
         import public_tokenizers
 
@@ -141,7 +157,7 @@ def write_tokens(docs: DataFrame, ws: Workspace, text: str = "text", key: str =
             lengths = pa.array([[len(c) for c in own] for own in chunks], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(recipes, pa.binary()), lengths], ["doc_id", "ids", "recipe", "lengths"])
 
-    staged = ws.save(rows.mapInArrow(encoded, "doc_id long, ids binary, recipe binary, lengths array<int>"), "staged")
+    staged = ws.save(rows.mapInArrow(encoded, "doc_id long, ids binary, recipe binary, lengths array<int>").withColumn("row", F.monotonically_increasing_id()), "staged")
 
     def digests(batches):
         for batch in batches:
@@ -151,51 +167,91 @@ def write_tokens(docs: DataFrame, ws: Workspace, text: str = "text", key: str =
 
     def packed(batches):
         bits = np.frombuffer(mask.value, dtype=np.uint8)
-        start, place, chain = 0, 0, b""
+        start, place, part, tree = 0, 0, None, store.MerkleTree()
+        names = ["key", "doc_id", "part", "place", "local_start", "n_tokens", "tree", *store.PACK_NAMES]
         for batch in byte_budget(batches, 1):
             ids = byte_texts(batch.column(1))
             found = store.pack(ids, byte_texts(batch.column(3)), batch.column(4).to_pylist(), bits)
             n = np.array([len(x) // how.width for x in ids], dtype=np.int64)
             starts = start + np.cumsum(n) - n
             start += int(n.sum())
-            chains = []
-            for row in found:
-                chain = hashlib.sha256(chain + row[-1]).digest()
-                chains.append(chain)
-            keys = [hashlib.blake2b(repr(i).encode() + x, digest_size=16).digest() for i, x in zip(batch.column(0).to_pylist(), ids, strict=True)]
-            own = [pa.array(keys, pa.binary()), batch.column(0), batch.column(2), pa.array(np.arange(place, place + len(ids))), pa.array(starts), pa.array(n), pa.array(chains, pa.binary())]
+            part = batch.column(2)[0].as_py()
+            docs = batch.column(0).to_pylist()
+            for i, m, row in zip(docs, n.tolist(), found, strict=True):
+                tree.add(leaf(i, m, row[-1]))
+            keys = [hashlib.blake2b(repr(i).encode() + x, digest_size=16).digest() for i, x in zip(docs, ids, strict=True)]
+            own = [pa.array(keys, pa.binary()), batch.column(0), batch.column(2), pa.array(np.arange(place, place + len(ids))), pa.array(starts), pa.array(n), pa.nulls(len(ids), pa.binary())]
             place += len(ids)
-            yield pa.RecordBatch.from_arrays([*own, *store.pack_columns(found)], ["key", "doc_id", "part", "place", "local_start", "n_tokens", "chain", *store.PACK_NAMES])
+            yield pa.RecordBatch.from_arrays([*own, *store.pack_columns(found)], names)
+        if place:  # the part's row of the manifest: the number of its documents and ids, and its root
+            last = [pa.array([x], kind) for x, kind in ((b"", pa.binary()), (None, pa.int64()), (part, pa.int32()), (place, pa.int64()), (start, pa.int64()), (0, pa.int64()), (tree.root(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*last, *[pa.nulls(1, kind) for kind in store.PACK_KINDS]], names)
 
     def shared(batches):
         bits = np.frombuffer(mask.value, dtype=np.uint8)
         for batch in byte_budget(batches, 0):
             yield store.shared_batch(byte_texts(batch.column(0)), byte_texts(batch.column(1)), batch.column(2).to_pylist(), bits)
 
-    ordered = staged.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("ids")).select("doc_id", "ids", F.spark_partition_id().alias("part"), "recipe", "lengths")
-    schema = f"key binary, doc_id long, part int, place long, local_start long, n_tokens long, chain binary, {store.PACK}"
-    packs, chunks = store.save_store(ws, ordered.mapInArrow(packed, schema), staged.select("ids", "recipe", "lengths").mapInArrow(shared, store.SHARED))
+    rank = ["doc_id", F.xxhash64("ids"), "row"]
+    ordered = staged.repartitionByRange(*rank).sortWithinPartitions(*rank).select("doc_id", "ids", F.spark_partition_id().alias("part"), "recipe", "lengths")
+    schema = f"key binary, doc_id long, part int, place long, local_start long, n_tokens long, tree binary, {store.PACK}"
+    written, chunks = store.save_store(ws, ordered.mapInArrow(packed, schema), staged.select("ids", "recipe", "lengths").mapInArrow(shared, store.SHARED))
     ws.drop("staged")
     #: A row for each part that was written; the window runs over these.
-    parts = packs.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.max_by("chain", "place").alias("root"))
+    parts = written.where("tree IS NOT NULL").select("part", F.col("place").alias("docs"), F.col("local_start").alias("n"), F.col("tree").alias("root"))
     before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    manifest = ws.save(parts.select("part", before.alias("before"), "n", "root"), "manifest")
-    return packs, chunks, manifest
+    manifest = ws.save(parts.select("part", before.alias("before"), "docs", "n", "root", F.lit(how.width).alias("width")), "manifest")
+    return written.where("tree IS NULL").drop("tree"), chunks, manifest
+
+
+def leaf(key: int | None, n: int, root: bytes) -> bytes:
+    """What a part's tree has of a document."""
+    return f"{key}:{n}:".encode() + root
 
 
-def read_tokens(packs: DataFrame, chunks: DataFrame, manifest: DataFrame, width: int = 2) -> DataFrame:
+def check_parts(packs: DataFrame, manifest: DataFrame) -> None:
+    """Recomputes the Merkle root of every part from its documents in order; ValueError names a part that isn't as the manifest says.
+
+    Only keys, counts and roots are moved; a part's rows stream through one task, which holds a few nodes of the tree."""
+
+    def roots(batches):
+        part, docs, n, tree = None, 0, 0, store.MerkleTree()
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([docs], pa.int64()), pa.array([n], pa.int64()), pa.array([tree.root()], pa.binary())], ["part", "docs", "n", "root"])
+        for batch in batches:
+            for at, key, tokens, root in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+                if at != part and part is not None:
+                    yield row()
+                    docs, n, tree = 0, 0, store.MerkleTree()
+                part, docs, n = at, docs + 1, n + tokens
+                tree.add(leaf(key, tokens, root))
+        if part is not None:
+            yield row()
+
+    own = packs.select("part", "place", "doc_id", "n_tokens", "root").repartition("part").sortWithinPartitions("part", "place").mapInArrow(roots, "part int, docs long, n long, root binary")
+    both = manifest.select("part", F.struct("docs", "n", "root").alias("x")).join(own.select("part", F.struct("docs", "n", "root").alias("y")), "part", "full_outer")
+    bad = both.where(~F.col("x").eqNullSafe(F.col("y"))).select("part").limit(1).collect()
+    if bad:
+        raise ValueError(f"part {bad[0][0]} is not what the manifest says")
+
+
+def read_tokens(packs: DataFrame, chunks: DataFrame, manifest: DataFrame) -> DataFrame:
     """What the store holds: doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers).
 
-    Every chunk is checked against its digest and every recipe against its Merkle root."""
+    Every part is checked against its Merkle root before anything is read, every recipe against the root in it, and every chunk
+    against its digest. The bytes of an id are those that the manifest says."""
+    check_parts(packs, manifest)
+    first = manifest.select("width").first()
+    kind = np.dtype("<u2") if first is None or first["width"] == 2 else np.dtype("<u4")
     placed = sized_join(packs, manifest.select("part", "before"), "part").withColumn("start", F.col("before") + F.col("local_start"))
-    kind = np.dtype("<u2") if width == 2 else np.dtype("<u4")
 
     def use(columns, payloads):
         ids = [np.frombuffer(p, dtype=kind) for p in payloads]
+        if columns[2].to_pylist() != [len(x) for x in ids]:
+            raise ValueError("a document has another number of ids than its row says")
         sums = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
-        return pa.RecordBatch.from_arrays([*columns, pa.array([len(x) for x in ids], pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        return pa.RecordBatch.from_arrays([*columns, pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return store.read_back(placed, chunks, use, "doc_id long, start long, n_tokens long, ids_crc32 long", ["doc_id", "start"])
+    return store.read_back(placed, chunks, use, "doc_id long, start long, n_tokens long, ids_crc32 long", ["doc_id", "start", "n_tokens"])
 
 
 def manifest_root(manifest: DataFrame) -> str:
