@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Workspace, bloom_build, bloom_test, byte_budget, byte_texts, sized_join, whole
+from .common import Workspace, bloom_build, bloom_test, byte_budget, byte_texts, column, free_names, sized_join, whole
 
 #: The kinds in order, and what stands for each in a redacted text.
 KINDS = ("email", "ip", "card", "phone")
@@ -56,6 +56,9 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, KINDS[k]) for a, b, k in sorted(found, key=lambda x: (x[0], x[2], x[1]))]
 
 
+#: The columns that find() adds.
+MADE = [*[f"n_{k}" for k in KINDS], "base_sha256", "spans", "text_key", "discovered"]
+
 #: What may be an identifier that no base pattern takes, by kind. Only contexts decide whether it is one.
 _SHAPES = {
     "email": re.compile(r"[A-Za-z0-9._%+-]{2,64} ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{2,63}(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?[A-Za-z0-9-]{2,63}){1,4}"),
@@ -63,7 +66,10 @@ _SHAPES = {
     "card": re.compile(r"(?<![0-9A-Za-z+.-])[0-9]{4}(?:[ -]?[0-9]{2,6}){2,4}(?![0-9A-Za-z-])"),
     "phone": re.compile(r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,4}\) ?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9A-Za-z-])"),
 }
-_TRIM = ".,;:!?\"'()[]{}<>*#|=&%$-"
+#: A context's words are runs of word characters, at most so long, and so many other characters stand between them and the span at most.
+LONGEST = 64
+_LEFT = re.compile(rf"(?<!\w)(?:(\w{{1,{LONGEST}}})\W{{1,{LONGEST}}})?(?<!\w)(\w{{1,{LONGEST}}})\W{{0,{LONGEST}}}\Z")
+_WORDS = re.compile(r"\w+").findall
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -82,15 +88,31 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
 
 
 def contexts(text: str, start: int) -> list[str]:
-    """The lexical patterns that a span's left side makes: its last word, and its last two words."""
-    left = [w for w in (x.strip(_TRIM).lower() for x in text[max(0, start - 80) : start].split()[-3:]) if w][-2:]
-    return ([f"1 {left[-1]}"] if left else []) + ([f"2 {left[0]} {left[1]}"] if len(left) == 2 else [])
+    """The lexical patterns that a span's left side makes: the word before it, and the two words before it. All are whole words."""
+    window = text[max(0, start - 4 * LONGEST - 1) : start]
+    if window[-1:].isalnum() or window[-1:] == "_":
+        return []  # the span begins inside a word
+    m = _LEFT.search(window)
+    if m is None:
+        return []
+    one, two = m[2].lower(), m[1]
+    return [f"1 {one}"] + ([f"2 {two.lower()} {one}"] if two else [])
 
 
 def hashed(pattern: str) -> int:
     return int.from_bytes(hashlib.blake2b(pattern.encode(), digest_size=8).digest(), "little", signed=True)
 
 
+def with_hashes(patterns: DataFrame) -> DataFrame:
+    """(pattern, pattern_hash): one call for each pattern of the graph, not for each row of the corpus."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashed(p) for p in batch.column(0).to_pylist()], pa.int64())], ["pattern", "pattern_hash"])
+
+    return patterns.select("pattern").mapInArrow(run, "pattern string, pattern_hash long")
+
+
 def instance(text: str) -> str:
     return "".join(c for c in text.lower() if c.isalnum())
 
@@ -99,9 +121,10 @@ OCCURRENCE = "array<struct<start:int,end:int,kind:string,instance:string,pattern
 
 
 def scan(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """For each row: keep, key (of the text), the base spans, the counts, and base and candidate occurrences with contexts."""
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], whole(F.col(text)).alias("__text"))
+    """For each row: keep, as __k0, __k1 ..., the text's key, the base spans, the counts, and base and candidate occurrences with contexts."""
+    rows = docs.select(*[column(c).alias(f"__k{i}") for i, c in enumerate(keep)], whole(column(text)).alias("__text"))
     n = len(keep)
+    names = [f"__k{i}" for i in range(n)]
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))]))
 
     def run(batches):
@@ -120,10 +143,10 @@ def scan(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
                     own.append(sum(x[2] == k for x in base))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:n], pa.array(digests, pa.string()), pa.array(spans, pa.string()), *[pa.array(c, pa.int64()) for c in counts], pa.array(seeds, kind), pa.array(maybe, kind)],
-                [*keep, "text_key", "base", *[f"n_{k}" for k in KINDS], "seeds", "maybe"],
+                [*names, "text_key", "base", *[f"n_{k}" for k in KINDS], "seeds", "maybe"],
             )
 
-    schema = StructType([rows.schema[c] for c in keep])
+    schema = StructType([rows.schema[c] for c in names])
     for name in ("text_key string", "base string", *[f"n_{k} long" for k in KINDS], f"seeds {OCCURRENCE}", f"maybe {OCCURRENCE}"):
         schema = StructType([*schema.fields, *StructType.fromDDL(name).fields])
     return rows.mapInArrow(run, schema)
@@ -131,12 +154,12 @@ def scan(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 #: Bits of the filter of seeded patterns (2 MB to every worker, whatever the corpus).
 FILTER_BITS = 1 << 24
-#: Different seed instances that a pattern needs, the confidence from which patterns and instances count, rounds.
-MIN_SEEDS, CONFIDENT, ROUNDS = 3, 0.8, 3
+#: Different confident instances that a pattern needs, and the confidence from which an instance is one.
+MIN_SEEDS, CONFIDENT = 3, 0.8
 
 
 def pattern_totals(docs: DataFrame, text: str, seeded: DataFrame) -> DataFrame:
-    """(pattern, total): how often each seeded pattern's words stand in the corpus before anything at all.
+    """(pattern, total): how often each pattern's words stand in the corpus, before anything at all.
 
     Words are matched to a filter of the seeded patterns first, counted for each batch, and joined exactly at the end."""
     hashes = seeded.select("pattern", F.col("pattern_hash"))
@@ -150,23 +173,16 @@ def pattern_totals(docs: DataFrame, text: str, seeded: DataFrame) -> DataFrame:
         for batch in byte_budget(batches, 0):
             one: Counter = Counter()
             two: Counter = Counter()
-            one_raw: Counter = Counter()
-            two_raw: Counter = Counter()
             for raw in byte_texts(batch.column(0)):
-                words = raw.decode().lower().split()
-                one_raw.update(words)
-                two_raw.update(zip(words, words[1:]))
-            bare = {w: w.strip(_TRIM) for w in one_raw}
-            for w, n in one_raw.items():
-                one[bare[w]] += n
+                words = _WORDS(raw.decode().lower())
+                one.update(words)
+                two.update(zip(words, words[1:]))
             singles = [(f"1 {w}", n) for w, n in one.items()]
             known = np.array([hashed(p) for p, _ in singles], dtype=np.int64)
             kept = [singles[i] for i in np.flatnonzero(bloom_test(bits, known))] if len(known) else []
+            #: A pattern of two words is there only with that of its last word.
             last = {p[2:] for p, _ in kept}
-            for (a, b), n in two_raw.items():
-                if bare[b] in last:
-                    two[bare[a], bare[b]] += n
-            pairs = [(f"2 {a} {b}", n) for (a, b), n in two.items()]
+            pairs = [(f"2 {a} {b}", n) for (a, b), n in two.items() if b in last]
             known = np.array([hashed(p) for p, _ in pairs], dtype=np.int64)
             kept += [pairs[i] for i in np.flatnonzero(bloom_test(bits, known))] if len(known) else []
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["pattern", "n"])
@@ -175,33 +191,37 @@ def pattern_totals(docs: DataFrame, text: str, seeded: DataFrame) -> DataFrame:
     return counts.join(hashes.select("pattern"), "pattern")
 
 
-def bootstrap(docs: DataFrame, found: DataFrame, text: str, ws: Workspace, min_seeds: int = MIN_SEEDS, confident: float = CONFIDENT, rounds: int = ROUNDS) -> DataFrame:
+def bootstrap(docs: DataFrame, found: DataFrame, text: str, ws: Workspace, min_seeds: int = MIN_SEEDS, confident: float = CONFIDENT) -> DataFrame:
     """(kind, instance): identifiers that no base pattern takes and that confident contexts single out.
 
     Edges link patterns (a kind and its left words) to instances, with counts. A seed's confidence is 1. In each round a
     pattern's confidence is the confidence-weighted share of its occurrences in the whole corpus that hold an instance of
-    its kind; it needs min_seeds different instances of confidence. An instance's confidence is 1 minus the product of its patterns' doubts.
+    its kind; it needs min_seeds different instances of confidence, be they seeds or discovered ones. An instance's confidence
+    is 1 minus the product of its patterns' doubts. Discovered instances so admit new patterns, whose instances
+    admit others, until a round changes neither the patterns nor the instances of confidence. Both only ever grow.
     Patterns that common words make have low shares and find nothing."""
     occurrence = lambda column, seed: found.select(F.explode(column).alias("o")).select("o.kind", "o.instance", F.explode("o.patterns").alias("pattern"), F.lit(seed).alias("seed"))
     edges = occurrence("seeds", True).unionByName(occurrence("maybe", False)).groupBy("kind", "pattern", "instance", "seed").agg(F.count(F.lit(1)).alias("n"))
     edges = ws.save(edges, "edges")
-    seeded = edges.where("seed").groupBy("kind", "pattern").agg(F.countDistinct("instance").alias("m")).where(F.col("m") >= min_seeds)
-    #: Of these only patterns that also precede a candidate can find something.
-    seeded = seeded.join(edges.where("NOT seed").select("kind", "pattern").distinct(), ["kind", "pattern"], "left_semi")
-    seeded = ws.save(seeded.select("kind", "pattern"), "seeded")
-    edges = ws.save(edges.join(seeded, ["kind", "pattern"], "left_semi"), "live_edges")
-    hash_udf = F.udf(hashed, "long")  # one call for each seeded pattern, not for each row of the corpus
-    totals = ws.save(pattern_totals(docs, text, seeded.select("pattern").distinct().withColumn("pattern_hash", hash_udf("pattern"))), "totals")
-    scores = edges.select("kind", "instance", F.col("seed").cast("double").alias("score")).distinct()
-    scores = scores.groupBy("kind", "instance").agg(F.max("score").alias("score"))
-    for i in range(rounds):
+    #: What no round can admit goes: patterns with too few instances of any confidence, and those that precede no candidate and so lead nowhere.
+    able = edges.groupBy("kind", "pattern").agg(F.countDistinct("instance").alias("m"), F.min("seed").alias("seeds_only")).where((F.col("m") >= min_seeds) & ~F.col("seeds_only"))
+    able = ws.save(able.select("kind", "pattern"), "able")
+    edges = ws.save(edges.join(able, ["kind", "pattern"], "left_semi"), "live_edges")
+    totals = ws.save(pattern_totals(docs, text, with_hashes(able.select("pattern").distinct())), "totals")
+    known = edges.where("seed").select("kind", "instance", F.lit(1.0).alias("score")).distinct()
+    scores, before, i = known, None, 0
+    while True:
         weighed = edges.join(scores, ["kind", "instance"])
-        patterns = weighed.groupBy("kind", "pattern").agg(F.sum(F.col("n") * F.col("score")).alias("held"), F.count(F.when(F.col("score") >= confident, 1)).alias("m"))
+        patterns = weighed.groupBy("kind", "pattern").agg(F.sum(F.col("n") * F.col("score")).alias("held"), F.countDistinct(F.when(F.col("score") >= confident, F.col("instance"))).alias("m"))
         patterns = patterns.where(F.col("m") >= min_seeds).join(totals, "pattern").withColumn("confidence", F.least(F.col("held") / F.greatest(F.col("total"), F.col("held")), F.lit(0.999999)))
-        patterns = ws.save(patterns.where("confidence > 0.05"), f"patterns_{i}")
+        patterns = ws.save(patterns, f"patterns_{i}")
         doubt = edges.where("NOT seed").join(patterns.select("kind", "pattern", "confidence"), ["kind", "pattern"]).groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
-        known = edges.where("seed").select("kind", "instance", F.lit(1.0).alias("score")).distinct()
         scores = ws.save(known.unionByName(doubt).groupBy("kind", "instance").agg(F.max("score").alias("score")), f"scores_{i}")
+        after = (patterns.count(), scores.where(F.col("score") >= confident).count())
+        ws.drop(f"patterns_{i}", f"scores_{i - 1}")
+        if after == before:
+            break
+        before, i = after, i + 1
     unseen = edges.where("NOT seed").select("kind", "instance").distinct()
     return ws.save(scores.where(F.col("score") >= confident).select("kind", "instance").join(unseen, ["kind", "instance"], "left_semi"), "discovered")
 
@@ -215,12 +235,14 @@ def discovered(docs: DataFrame, found: DataFrame, text: str, ws: Workspace, **se
 
 
 def find(docs: DataFrame, ws: Workspace, text: str = "text", keep: list[str] | None = None, **settings) -> DataFrame:
-    """For each row: keep, n_email, n_ip, n_card, n_phone, base_sha256, spans, text_key, discovered.
+    """For each row: keep, n_email, n_ip, n_card, n_phone, base_sha256, spans, text_key, discovered; where keep has a column of such a
+    name, the made one is called made_<name>.
 
     spans holds the base spans and the discovered ones as kind:start:end by start, then kind, then end; discovered ones
     never overlap base ones. A null or empty text has none. Repeated rows each get a row; an empty table gives an empty
     one. Spans are found in the row; only occurrences of identifiers are ever shuffled."""
-    keep = keep or ["doc_id"]
+    keep = keep if keep is not None else ["doc_id"]
+    made = free_names(keep, MADE)
     found = ws.save(scan(docs, text, keep), "found")
     extra = discovered(docs, found, text, ws, **settings)
     rows = sized_join(found, extra, "text_key", "left")
@@ -228,8 +250,8 @@ def find(docs: DataFrame, ws: Workspace, text: str = "text", keep: list[str] | N
     line = lambda o: F.struct(o["start"].alias("start"), rank(o["kind"]).alias("rank"), o["end"].alias("end"), o["kind"].alias("kind"))
     everything = F.sort_array(F.concat(F.transform("seeds", line), F.transform("discovered", line)))
     written = F.array_join(F.transform(everything, lambda o: F.concat_ws(":", o["kind"], o["start"].cast("string"), o["end"].cast("string"))), ",")
-    spans = F.when(F.col("discovered").isNull(), F.col("base")).otherwise(written)
-    return rows.select(*[F.col(f"`{c}`") for c in keep], *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"), "text_key", "discovered")
+    own = {"base_sha256": F.sha2("base", 256), "spans": F.when(F.col("discovered").isNull(), F.col("base")).otherwise(written)}
+    return rows.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], *[own.get(c, F.col(c)).alias(made[c]) for c in MADE])
 
 
 def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -244,13 +266,14 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def redact(docs: DataFrame, ws: Workspace, text: str = "text", **settings) -> DataFrame:
-    """docs with every base and discovered span of the text masked; a null text stays null.
+    """docs with every base and discovered span of the text masked; a null text stays null and an empty one empty; equal texts are
+    masked alike, so repeated rows and ties stay what they are; an empty table gives an empty one; other columns keep their values.
 
     Base spans are found again in the row; only texts with discovered spans are looked up, by the digest of the text."""
     names = docs.columns
     found = ws.save(scan(docs, text, []).where("size(seeds) > 0 OR size(maybe) > 0").select("text_key", "seeds", "maybe"), "found")
     extra = discovered(docs, found, text, ws, **settings)
-    inner = docs.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(names)])
+    inner = docs.select(*[column(c).alias(f"__k{i}") for i, c in enumerate(names)])
     at = names.index(text)
     keyed = inner.withColumn("text_key", F.sha2(whole(F.col(f"__k{at}")), 256))
     keyed = sized_join(keyed, extra.withColumnRenamed("discovered", "__discovered"), "text_key", "left").select(*inner.columns, "__discovered")

@@ -425,6 +425,63 @@ def test_contexts_discover_identifiers(spark, ws):
     assert masked[100] == "Please dial hotline [PHONE] for help." and "[PHONE]" in masked[3]
 
 
+def brute_bootstrap(rows):
+    """The discovered (kind, instance), by the rule, over dictionaries."""
+    edges, totals = collections.Counter(), collections.Counter()
+    for _, text in rows:
+        base = pii.base_spans(text)
+        for seed, spans in ((True, base), (False, pii.candidates(text, base))):
+            for start, end, kind in spans:
+                left = re.findall(r"\w+", text[:start].lower())
+                name = re.sub(r"[\W_]+", "", text[start:end].lower())
+                for pattern in ([f"1 {left[-1]}"] if left else []) + ([f"2 {left[-2]} {left[-1]}"] if len(left) > 1 else []):
+                    edges[kind, pattern, name, seed] += 1
+        w = re.findall(r"\w+", text.lower())
+        totals.update(f"1 {x}" for x in w)
+        totals.update(f"2 {x} {y}" for x, y in zip(w, w[1:]))
+    score = {(k, i): 1.0 for k, _, i, seed in edges if seed}
+    while True:
+        held, sure = collections.Counter(), collections.defaultdict(set)
+        for (k, p, i, _), n in edges.items():
+            held[k, p] += n * score.get((k, i), 0.0)
+            if score.get((k, i), 0.0) >= 0.8:
+                sure[k, p].add(i)
+        confidence = {x: min(held[x] / max(totals[x[1]], held[x]), 0.999999) for x in sure if len(sure[x]) >= 3}
+        doubt = collections.defaultdict(lambda: 1.0)
+        for k, p, i, seed in edges:
+            if not seed and (k, p) in confidence:
+                doubt[k, i] *= 1 - confidence[k, p]
+        new = {(k, i): 1.0 for k, _, i, seed in edges if seed}
+        for x, d in doubt.items():
+            new[x] = max(new.get(x, 0.0), 1 - d)
+        if {x for x in new if new[x] >= 0.8} == {x for x in score if score[x] >= 0.8}:
+            return {(k, i) for k, _, i, seed in edges if not seed and new.get((k, i), 0) >= 0.8}
+        score = new
+
+
+def test_discovered_identifiers_lead_to_others(spark, ws):
+    """Two hops: seeds admit 'hotline', its other numbers admit 'switchboard', whose other numbers admit 'reception', which no seed ever follows."""
+    rows = [(i, f"Please dial hotline +1 (415) 555-{1000 + i} now, number {i}.") for i in range(12)]
+    rows += [(100 + i, f"Please dial hotline 555 {1000 + i} for help {i}.") for i in range(4)]
+    rows += [(200 + i, f"Ask the switchboard 555 {1000 + i} at night {i}.") for i in range(4)]
+    rows += [(300 + i, f"Ask the switchboard 555 {2000 + i} at night {i}.") for i in range(1)]
+    rows += [(400 + i, f"Or try reception 555 {2000 + i} by day {i}, or try reception 555 {1000 + i}.") for i in range(4)]
+    rows += [(500, "A batch of 12 05 2024 and of 555 7777 was made."), (501, "x" * 300 + " 555 1234567, ---- " + "-" * 90 + "555 9999")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = ws.save(pii.scan(df, "text", []), "scanned")
+    got = {(r["kind"], r["instance"]) for r in pii.bootstrap(df, found, "text", ws).collect()}
+    assert got == brute_bootstrap(rows)
+    assert {("phone", f"555{1000 + i}") for i in range(4)} | {("phone", f"555{2000 + i}") for i in range(4)} <= got and ("phone", "5557777") not in got
+
+
+def test_contexts_are_whole_words():
+    long = "supercalifragilistic" * 4
+    assert pii.contexts(f"one {long} two: 555", len(f"one {long} two: ")) == ["1 two"]
+    assert pii.contexts("x" * 500 + " call (555", 507) == ["1 call"]
+    assert pii.contexts(f"{long} 555", len(long) + 1) == [] and pii.contexts("a5", 1) == [] and pii.contexts("555", 0) == []
+    assert pii.contexts("call Us at: 555", 12) == ["1 at", "2 us at"] and pii.contexts("mid-word tel:555", 13) == ["1 tel", "2 word tel"]
+
+
 def test_clean_numbers_stay(spark, ws):
     rows = [(i, f"the {i % 7} of +1 (415) 555-{1000 + i} and the rest of the words of the text") for i in range(30)] + [(99, "the day of 12 05 2024 and of 555 0199")]
     got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), ws).collect()}
