@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, accept_within, hash_unit, numbered, whole
@@ -10,18 +10,24 @@ from .common import Workspace, accept_within, hash_unit, numbered, whole
 SHARDS, ROUNDS = 40, 8
 
 
+def _by_shard(spark: SparkSession, values: list[int], shard: str, name: str) -> DataFrame:
+    """A row for each shard with its value; made by the JVM, so without Python workers."""
+    return spark.range(len(values)).select(F.col("id").cast("int").alias(shard), F.get(F.array(*[F.lit(x).cast("long") for x in values]), F.col("id").cast("int")).alias(name))
+
+
 def propagate(pieces: DataFrame, quota: list[int], ws: Workspace, rounds: int = ROUNDS) -> DataFrame:
     """pieces (link, home, n) with a column shard: where each piece ends.
 
     A piece is what one group of linked documents has in one home shard, so a group has as many pieces as there are
     shards at most, and its moves cost by pieces, not by documents or pairs. In each round every piece asks to move
     to the shard with most of its group among those with room; requests are granted in random order while they
-    fit the room that the shard has left. It ends when no request is granted."""
+    fit the room that the shard has left. It ends when no request is granted. A piece moves as a whole: where all rows are
+    linked and no shard has room for it, it stays where it is."""
     n_shards = len(quota)
     pieces = ws.save(pieces.withColumn("shard", F.col("home")), "pieces_0")
     for i in range(rounds):
         load = {r["shard"]: r["n"] for r in pieces.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row a shard
-        rooms = ws.spark.createDataFrame([(s, quota[s] - load.get(s, 0)) for s in range(n_shards)], "shard int, room long")
+        rooms = _by_shard(ws.spark, [quota[s] - load.get(s, 0) for s in range(n_shards)], "shard", "room")
         here = pieces.groupBy("link", "shard").agg(F.sum("n").alias("here"))
         preference = F.struct("here", F.xxhash64("link", "shard").alias("tie"), "shard")
         scored = ws.save(here.withColumn("score", preference), f"scored_{i}")
@@ -32,7 +38,7 @@ def propagate(pieces: DataFrame, quota: list[int], ws: Workspace, rounds: int =
         moving = asked.where("target IS NOT NULL")
         #: Half of what asks to leave a shard counts as room there too; what turns out too much is dealt out again at the end.
         leaving = {r["shard"]: r["n"] for r in moving.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-        rooms = ws.spark.createDataFrame([(s, max(0, quota[s] - load.get(s, 0) + leaving.get(s, 0) // 2)) for s in range(n_shards)], "target int, room long")
+        rooms = _by_shard(ws.spark, [max(0, quota[s] - load.get(s, 0) + leaving.get(s, 0) // 2) for s in range(n_shards)], "target", "room")
         granted = accept_within(moving, rooms, "target", "rank", ["link", "home"], "n", "room", ws, f"grant_{i}")
         moved = granted.select("link", "home", "n", F.when(F.col("accepted"), F.col("target")).otherwise(F.col("shard")).alias("shard"), "accepted")
         still = asked.where("target IS NULL").select("link", "home", "n", "shard", F.lit(False).alias("accepted"))
@@ -45,13 +51,23 @@ def propagate(pieces: DataFrame, quota: list[int], ws: Workspace, rounds: int =
     return pieces
 
 
+def cut_edges(placed: DataFrame, link: str, shard: str = "shard") -> DataFrame:
+    """(edges, cut): how many pairs of linked rows there are, and how many of them are in two shards. From counts, not from pairs."""
+    pairs = lambda n: F.coalesce(F.sum(n * (n - 1) / 2), F.lit(0.0)).cast("long")
+    counts = placed.groupBy(link, shard).agg(F.count(F.lit(1)).alias("n"))
+    inside = counts.groupBy(link).agg(F.sum("n").alias("all"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("inside"))
+    return inside.agg(pairs(F.col("all")).alias("edges"), (pairs(F.col("all")) - F.coalesce(F.sum("inside"), F.lit(0.0)).cast("long")).alias("cut"))
+
+
 def shard(docs: DataFrame, ws: Workspace, shards: int = SHARDS, text: str = "text", link: str | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null).
 
     Rows of equal `link` (by default: of equal text, null as empty) are linked. Linked documents start in a shard that a hash of
     doc_id names and are then moved by propagate(); documents without links fill the places that are left. Each
     shard gets floor or ceil of rows / shards rows exactly, and slots are gapless from 0. A group that is larger
-    than a shard is split over several. Repeated rows are rows of their own; an empty table gives an empty one."""
+    than a shard is split over several. A null text is an empty one, and both are linked; a null doc_id starts in a shard of its own
+    hash; repeated rows are rows of their own, and which of two gets which slot is open; other columns are not looked at; an empty
+    table gives an empty one."""
     t = whole(F.col(text))
     size = (F.octet_length(t) + 16).cast("long")
     group = F.sha2(t, 256) if link is None else F.coalesce(F.col(f"`{link}`").cast("string"), F.concat(F.lit("null:"), F.sha2(t, 256)))
@@ -68,7 +84,7 @@ def shard(docs: DataFrame, ws: Workspace, shards: int = SHARDS, text: str = "tex
     tie = ["doc_id", "text_crc32", "size"]
     columns = ["doc_id", "size", "text_crc32", "u"]
     first = numbered(placed.where("shard IS NOT NULL").select(*columns, "shard"), "shard", "u", tie, "slot", ws, "linked")
-    quotas = ws.spark.createDataFrame(list(enumerate(quota)), "shard int, quota long")
+    quotas = _by_shard(ws.spark, quota, "shard", "quota")
     first = ws.save(first.join(F.broadcast(quotas), "shard"), "first")
     fits = first.where("slot < quota").select(*columns, "shard", "slot")
     #: What has no links, and what passes a shard's quota, is dealt into the free places in random order.

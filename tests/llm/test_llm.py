@@ -379,6 +379,26 @@ def test_sharding(spark, ws):
     assert len(groups["the same"]) < 12  # 150 rows over shards of 75
 
 
+def test_cut_edges(spark, ws):
+    """Counted pair by pair: with free places less than half of what a hash cuts beyond what sizes force, with ties and repeated rows; with no place free still less."""
+    r = random.Random(17)
+    linked = [(i, f"group {r.randrange(60)}") for i in range(700)] + [(1000 + i, "large") for i in range(300)] + [(5, "tie"), (5, "tie"), (5, "tie"), (None, "tie")]
+    for rows, most in ((linked + [(5000 + i, f"single {i}") for i in range(1000)], 0.5), (linked, 0.85)):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = sharding.shard(df, ws, shards=10)
+        plain = [(x["text_crc32"], x["shard"]) for x in got.collect()]
+        cut = sum(a[0] == b[0] and a[1] != b[1] for i, a in enumerate(plain) for b in plain[:i])
+        edges = sum(a[0] == b[0] for i, a in enumerate(plain) for b in plain[:i])
+        counted = sharding.cut_edges(got, "text_crc32").first()
+        assert (counted["edges"], counted["cut"]) == (edges, cut)
+        by_hash = sharding.cut_edges(df.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(10))), "text").first()["cut"]
+        place = len(rows) // 10 + 1
+        forced = sum(k * (300 - k) for k in [place] * (300 // place) + [300 % place]) // 2
+        assert cut - forced < most * (by_hash - forced), (cut, forced, by_hash)
+        sizes = collections.Counter(s for _, s in plain)
+        assert max(sizes.values()) - min(sizes.values()) <= 1
+
+
 def test_sharding_of_awkward_rows(docs, nothing, ws):
     got = table(sharding.shard(docs, ws, shards=5))
     assert len(got) == docs.count() and {x["law"] for x in got} == {"rows"}
