@@ -162,10 +162,10 @@ class Unit:
         self.keys = both[self.order]
 
     def counts(self, training: np.ndarray) -> np.ndarray:
-        """For each key its count in the texts that are in training; those of words are negative."""
+        """For each key its count in the texts that are in training."""
         weight = np.repeat(training, np.diff(self.ends, prepend=0)).astype(np.float64)
         words = np.bincount(self.flat, weight, len(self.words))
-        return np.concatenate([-words, np.bincount(self.pair_at, weight, len(self.pairs))]).astype(np.int32)[self.order]
+        return np.concatenate([words, np.bincount(self.pair_at, weight, len(self.pairs))]).astype(np.int64)[self.order]
 
     def levels(self, of_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The levels of the words and of the pairs, from those of the keys."""
@@ -174,23 +174,39 @@ class Unit:
         return out[: len(self.words)], out[len(self.words) :]
 
 
+#: Bytes of a key after the bits that name its segment, so 52 bits of it or more are told apart.
+KEY_BYTES = 5
+#: A count from this on stands in a list of its own.
+LARGE = 255
+
+
 def _packed(values: np.ndarray, edges: np.ndarray) -> pa.Array:
-    """A binary array with one element for the values between each edge and the next."""
-    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+    """A binary array with one element for the values (or rows of bytes) between each edge and the next."""
+    size = values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def pack_keys(units: DataFrame, segments: int = SEGMENTS) -> DataFrame:
-    """(unit, segment, keys, counts): the sorted keys of a unit that lie in a segment, with their training counts."""
+    """(unit, segment, keys, counts, large): the sorted keys of a unit that lie in a segment, KEY_BYTES each, with their training
+    counts, a byte each, of which those from LARGE on follow in `large`."""
+    top = segments.bit_length() - 1
 
     def run(key, table):
         unit = Unit(byte_texts(table.column("__text")))
         counts = unit.counts(np.array([not is_held_out(i) for i in table.column("doc_id").to_pylist()]))
-        segment = (unit.keys >> np.uint64(64 - segments.bit_length() + 1)).astype(np.int32)
+        segment = (unit.keys >> np.uint64(64 - top)).astype(np.int32)
         starts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
         edges = np.append(starts, len(segment))
-        return pa.table({"unit": pa.array(np.full(len(starts), key[0].as_py())), "segment": segment[starts], "keys": _packed(unit.keys, edges), "counts": _packed(counts, edges)})
+        short = ((unit.keys << np.uint64(top)) >> np.uint64(64 - 8 * KEY_BYTES)).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+        large = counts >= LARGE
+        return pa.table(
+            {
+                "unit": pa.array(np.full(len(starts), key[0].as_py())), "segment": segment[starts], "keys": _packed(short, edges),
+                "counts": _packed(np.minimum(counts, LARGE).astype(np.uint8), edges), "large": _packed(counts[large], np.concatenate([[0], np.cumsum(large)])[edges]),
+            }
+        )
 
-    return units.groupBy("unit").applyInArrow(run, "unit long, segment int, keys binary, counts binary")
+    return units.groupBy("unit").applyInArrow(run, "unit long, segment int, keys binary, counts binary, large binary")
 
 
 def look_up(packed: DataFrame, bits: int | None = None) -> DataFrame:
@@ -199,24 +215,31 @@ def look_up(packed: DataFrame, bits: int | None = None) -> DataFrame:
     A task holds one segment at a time: the keys of all units there are summed, entered and probed."""
 
     def found(segment, rows):
-        keys = np.frombuffer(b"".join(r[1] for r in rows), dtype=np.uint64)
-        distinct, at = np.unique(keys, return_inverse=True)
-        sums = np.bincount(at, np.frombuffer(b"".join(r[2] for r in rows), dtype=np.int32)).astype(np.int64)
-        own = sums != 0
-        mask = segment_mask(distinct[own], np.abs(sums[own]), bits)
-        levels = probe(mask, distinct).astype(np.uint8)[at]
-        edges = np.concatenate([[0], np.cumsum([len(r[1]) // 8 for r in rows])])
+        short = np.frombuffer(b"".join(r[1] for r in rows), dtype=np.uint8).reshape(-1, KEY_BYTES)
+        keys = np.zeros((len(short), 8), np.uint8)
+        keys[:, :KEY_BYTES] = short
+        distinct, at = np.unique(keys.view(np.uint64)[:, 0], return_inverse=True)
+        counts = np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint8).astype(np.int64)
+        counts[counts == LARGE] = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.int64)
+        sums = np.zeros(len(distinct), np.int64)
+        np.add.at(sums, at, counts)
+        own = sums > 0
+        with np.errstate(over="ignore"):
+            names = mix(distinct + np.uint64(segment) * np.uint64(0x9E3779B97F4A7C15))
+        mask = segment_mask(names[own], sums[own], bits)
+        levels = probe(mask, names).astype(np.uint8)[at]
+        edges = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])])
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(np.full(len(rows), segment, dtype=np.int32)), _packed(levels, edges)], ["unit", "segment", "levels"])
 
     def run(batches):
         current, held = None, []
         for batch in batches:
-            for unit, segment, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for unit, segment, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and segment != current:
                     yield found(current, held)
                     held = []
                 current = segment
-                held.append((unit, keys, counts))
+                held.append((unit, *rest))
         if held:
             yield found(current, held)
 
