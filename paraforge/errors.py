@@ -59,7 +59,12 @@ class PathExistsError(ParquetContractError):
     """A target that exists already."""
 
 
+#: What the messages of failing reads begin with.
+OUTSIDE_ANNOTATION, BAD_STORED_KEYS = "a stored value is outside its annotation:", "a stored map has null, repeated or unsupported keys:"
+
 _BY_CONDITION = (
+    (OUTSIDE_ANNOTATION, MetadataSchemaMismatchError),
+    (BAD_STORED_KEYS, CorruptFileError),
     ("PARQUET_TYPE_ILLEGAL", UnsupportedTypeError),
     ("PARQUET_TYPE_NOT_SUPPORTED", UnsupportedTypeError),
     ("UNSUPPORTED_DATA_TYPE_FOR_DATASOURCE", UnsupportedTypeError),
@@ -83,12 +88,15 @@ def translate(error: BaseException) -> BaseException:
     if isinstance(error, ParquetContractError | MemoryError):
         return error
     text = f"{getattr(error, 'getCondition', lambda: '')() or ''} {error}"
+    told = str(error).split("\n", 1)[0]
     if "not a Parquet file" in text or "expected magic number" in text or "corrupted file: the footer" in text:
         kind: type[ParquetContractError] | None = InvalidFileError
     else:
-        kind = next((kind for condition, kind in _BY_CONDITION if condition in text), None)
+        condition, kind = next(((c, kind) for c, kind in _BY_CONDITION if c in text), ("", None))
+        if condition in (OUTSIDE_ANNOTATION, BAD_STORED_KEYS):
+            told = text[text.index(condition) :].split("\n", 1)[0]
     if kind is None:
         return error
-    out = kind(str(error).split("\n", 1)[0])
+    out = kind(told)
     out.__cause__ = error
     return out

@@ -29,13 +29,21 @@ def _payload(column: pa.Array) -> np.ndarray:
         inner = [column.values] if pa.types.is_list(kind) else [column.keys, column.items]
         sums = np.zeros(offsets[-1] - offsets[0] + 1, np.int64)
         for part in inner:
-            own = _payload(part)[offsets[0] : offsets[-1]] if len(part) != offsets[-1] - offsets[0] else _payload(part)
-            sums[1:] += np.cumsum(own)
+            sums[1:] += np.cumsum(_payload(part.slice(offsets[0], offsets[-1] - offsets[0])))
         at = offsets - offsets[0]
-        return sums[at[1:]] - sums[at[:-1]]
+        out = sums[at[1:]] - sums[at[:-1]]
+        return np.where(np.asarray(column.is_null()), 0, out)
     return np.zeros(len(column), np.int64)
 
 
+def payload_bytes(batch: pa.RecordBatch) -> np.ndarray:
+    """Bytes of strings and binaries in each row of a batch."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        sizes += _payload(column)
+    return sizes
+
+
 def bounded_batches(df: DataFrame, rows: int, most_bytes: int, key: str) -> DataFrame:
     """(partition, batch, key, bytes): the batch of each row when a batch ends after the row that reaches either limit.
 
@@ -49,9 +57,7 @@ def bounded_batches(df: DataFrame, rows: int, most_bytes: int, key: str) -> Data
 
         part, number, held, size = TaskContext.get().partitionId(), 0, 0, 0
         for batch in batches:
-            sizes = np.zeros(batch.num_rows, np.int64)
-            for column in batch.columns:
-                sizes += _payload(column)
+            sizes = payload_bytes(batch)
             numbers = []
             for n in sizes.tolist():
                 numbers.append(number)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import InvalidValueError
+from ..functions import conversions as C
+from ..types import MAP_KEYS, SIZE, TIME_UNIT, WIDTH
 
 
 def violations(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
@@ -32,3 +37,77 @@ def check(df: DataFrame, key: str, rules: dict[str, Column]) -> None:
     first = violations(df, key, rules).limit(1).collect()
     if first:
         raise InvalidValueError(f"row {first[0][0]}: {first[0]['rule']}")
+
+
+Rule = Callable[[Column], Column]
+
+
+def keys_ok(kind: T.DataType) -> Rule | None:
+    """Whether the keys of all maps in a value are distinct, not null and of a type of the contract; None for a type without maps."""
+    if isinstance(kind, T.MapType):
+        inner = keys_ok(kind.valueType)
+        typed = isinstance(kind.keyType, MAP_KEYS)
+
+        def ok(c: Column) -> Column:
+            own = C.map_ok(c) if typed else c.isNull() | (F.size(c) == 0)
+            return own if inner is None else own & F.forall(F.map_values(c), lambda v: F.coalesce(inner(v), F.lit(True)))
+
+        return ok
+    if isinstance(kind, T.ArrayType):
+        inner = keys_ok(kind.elementType)
+        return None if inner is None else lambda c: F.forall(c, lambda x: F.coalesce(inner(x), F.lit(True)))
+    if isinstance(kind, T.StructType):
+        parts = [(f.name, rule) for f in kind.fields if (rule := keys_ok(f.dataType)) is not None]
+        if not parts:
+            return None
+
+        def all_ok(c: Column) -> Column:
+            out = F.lit(True)
+            for name, rule in parts:
+                out = out & F.coalesce(rule(c.getField(name)), F.lit(True))
+            return out
+
+        return all_ok
+    return None
+
+
+def contract_rules(schema: T.StructType) -> dict[str, Column]:
+    """The rules of the contract for data of a schema, by path: strings are UTF-8; binaries, lists and times of day have the width, size and range
+    that the field's metadata say; a required value is missing only where what holds it is; maps have distinct keys of a type of the contract."""
+    out: dict[str, Column] = {}
+    for f in schema.fields:
+        c = F.col("`" + f.name.replace("`", "``") + "`")
+        for path, rule in _value_rules(f.dataType, f.nullable, f.metadata or {}, f.name):
+            out[path] = rule(c)
+    return out
+
+
+def _value_rules(kind: T.DataType, nullable: bool, metadata: dict, path: str) -> list[tuple[str, Rule]]:
+    out: list[tuple[str, Rule]] = []
+    if not nullable:
+        out.append((f"{path} is required", lambda c: c.isNotNull()))
+    if isinstance(kind, T.StringType):
+        out.append((f"{path} is UTF-8", lambda c: C.utf8_ok(c)))
+    if isinstance(kind, T.BinaryType) and WIDTH in metadata:
+        out.append((f"{path} has {metadata[WIDTH]} bytes", lambda c: C.fixed_binary_ok(c, metadata[WIDTH])))
+    if isinstance(kind, T.IntegerType | T.LongType) and TIME_UNIT in metadata:
+        out.append((f"{path} is a time of day in {metadata[TIME_UNIT]}", lambda c: C.time_ok(c, metadata[TIME_UNIT])))
+    if isinstance(kind, T.NullType):
+        out.append((f"{path} has no values", lambda c: c.isNull()))
+    if isinstance(kind, T.ArrayType):
+        if SIZE in metadata:
+            out.append((f"{path} has {metadata[SIZE]} elements", lambda c: C.fixed_list_ok(c, metadata[SIZE])))
+        for name, rule in _value_rules(kind.elementType, kind.containsNull, {}, f"{path}.element"):
+            out.append((name, lambda c, rule=rule: c.isNull() | F.forall(c, lambda x: F.coalesce(rule(x), F.lit(False)))))
+    if isinstance(kind, T.MapType):
+        typed = isinstance(kind.keyType, MAP_KEYS)
+        out.append((f"{path} has distinct keys", (lambda c: C.map_ok(c)) if typed else (lambda c: c.isNull() | (F.size(c) == 0))))
+        for part, own, may in (("key", kind.keyType, False), ("value", kind.valueType, kind.valueContainsNull)):
+            for name, rule in _value_rules(own, may, {}, f"{path}.{part}"):
+                side = F.map_keys if part == "key" else F.map_values
+                out.append((name, lambda c, rule=rule, side=side: c.isNull() | F.forall(side(c), lambda x: F.coalesce(rule(x), F.lit(False)))))
+    if isinstance(kind, T.StructType):
+        for f in kind.fields:
+            for name, rule in _value_rules(f.dataType, f.nullable, f.metadata or {}, f"{path}.{f.name}"):
+                out.append((name, lambda c, rule=rule, field=f.name: c.isNull() | F.coalesce(rule(c.getField(field)), F.lit(False))))
+    return out

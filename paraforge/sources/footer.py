@@ -1,19 +1,25 @@
-"""Footers: file facts and the checks that come before a scan. Read by Spark's JVM, so from any store that Spark reads."""
+"""Footers: file facts and the checks that come before a scan."""
 
 from __future__ import annotations
 
-import struct
+import json
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JError
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from ..errors import InvalidFileError, UnsupportedNestedEncodingError, UnsupportedTypeError
+from .. import errors
+from ..errors import InvalidFileError, ParquetContractError, UnsupportedNestedEncodingError, UnsupportedTypeError
+from ..types import min_decimal_bytes
+from .footerbytes import MAX_FOOTER, Footer, Node, footer_length, parse
 
-MAX_FOOTER = 64 << 20
-#: Footers that preflight reads at a time.
-FOOTERS_AT_ONCE = 8
+__all__ = ["MAX_FOOTER", "FileFacts", "Preflight", "file_facts", "part_files", "preflight", "read_footer"]
+
+#: Footers that the driver reads at a time, and the number of files from which on executors read them.
+FOOTERS_AT_ONCE, FILES_FOR_A_JOB = 8, 64
 
 
 @dataclass(frozen=True)
@@ -29,152 +35,237 @@ class FileFacts:
     columns: int
 
 
+@dataclass(frozen=True)
+class Preflight:
+    """What the footers of a table ask of a scan: whether the vectorized reader misreads some pages, and the annotations of narrow integers by path."""
+
+    delta_strings: bool
+    narrow: dict[str, tuple[int, bool]]
+
+
 def part_files(spark: SparkSession, path: str) -> list[str]:
-    """The data files under a path, in order of their names."""
+    """The data files under a path and in its folders, in order of their names. What begins with `_` or `.` is none."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     try:
-        found = [root.toString()] if fs.getFileStatus(root).isFile() else [s.getPath().toString() for s in fs.listStatus(root)]
+        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        top = fs.getFileStatus(root)
+        if top.isFile():
+            return [top.getPath().toString()]
+        base, found, listed = top.getPath().toString(), [], fs.listFiles(root, True)
+        while listed.hasNext():
+            found.append(listed.next().getPath().toString())
     except Py4JError as error:
         raise InvalidFileError(f"{path}: no such file") from error
-    return sorted(f for f in found if not f.rsplit("/", 1)[-1].startswith(("_", ".")))
-
-
-def check_length(spark: SparkSession, file: str) -> None:
-    """The last eight bytes must name a footer that is no longer than the file and MAX_FOOTER."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(file)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    size = fs.getFileStatus(path).getLen()
-    if size < 12:
-        raise InvalidFileError(f"{file}: {size} bytes are no Parquet file")
-    stream = fs.open(path)
-    try:
-        stream.seek(size - 8)
-        tail = bytes(stream.read() for _ in range(8))
-    finally:
-        stream.close()
-    (length,) = struct.unpack("<i", tail[:4])
-    if tail[4:] != b"PAR1" or not 0 < length <= min(size - 12, MAX_FOOTER):
-        raise InvalidFileError(f"{file}: no footer of at most {MAX_FOOTER} bytes")
+    return sorted(f for f in found if not any(p.startswith(("_", ".")) for p in f[len(base) :].strip("/").split("/")))
 
 
-def _footer(spark: SparkSession, file: str):
-    check_length(spark, file)
+def read_footer(spark: SparkSession, file: str) -> Footer:
+    """By Spark's JVM, and so from any store that Spark reads."""
     jvm = spark._jvm
     try:
-        source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(file), spark._jsc.hadoopConfiguration())
-        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+        path = jvm.org.apache.hadoop.fs.Path(file)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        size = fs.getFileStatus(path).getLen()
+        if size < 12:
+            footer_length(b"", size, file)
+        stream = fs.open(path)
         try:
-            return reader.getFooter()
+            read = jvm.org.apache.commons.io.IOUtils.toByteArray
+            stream.seek(size - 8)
+            length = footer_length(bytes(read(stream, 8)), size, file)
+            stream.seek(size - 8 - length)
+            return parse(bytes(read(stream, length)), file)
         finally:
-            reader.close()
+            stream.close()
     except Py4JError as error:
         raise InvalidFileError(f"{file}: the footer can't be read") from error
 
 
 def file_facts(spark: SparkSession, path: str) -> list[FileFacts]:
     """What the footers say of each data file."""
-    out = []
-    for file in part_files(spark, path):
-        footer = _footer(spark, file)
-        blocks = list(footer.getBlocks())
-        chunks = [c for b in blocks for c in b.getColumns()]
-        out.append(
-            FileFacts(
-                file,
-                sum(b.getRowCount() for b in blocks),
-                tuple(b.getRowCount() for b in blocks),
-                footer.getFileMetaData().getCreatedBy() or "",
-                tuple(sorted({c.getCodec().name() for c in chunks})),
-                tuple(sorted({e.name() for c in chunks for e in c.getEncodings()})),
-                sum(c.getTotalSize() for c in chunks),
-                sum(1 for c in chunks if c.getStatistics() is not None and not c.getStatistics().isEmpty()),
-                len(footer.getFileMetaData().getSchema().getColumns()),
-            )
-        )
-    return out
-
-
-def preflight(spark: SparkSession, path: str) -> bool:
-    """Rejects what the contract rejects and Spark would read, or fail on late. Every footer is read, some at a time.
-
-    True if any file has uncompressed pages with delta-encoded strings."""
+    with ThreadPoolExecutor(FOOTERS_AT_ONCE) as pool:
+        return list(pool.map(lambda file: facts_of(file, read_footer(spark, file)), part_files(spark, path)))
+
+
+def facts_of(file: str, footer: Footer) -> FileFacts:
+    chunks = [c for _, own in footer.groups for c in own]
+    return FileFacts(
+        file, footer.rows, tuple(n for n, _ in footer.groups), footer.created_by, tuple(sorted({c.codec for c in chunks})), tuple(sorted({e for c in chunks for e in c.encodings})),
+        sum(c.size for c in chunks), sum(c.statistics for c in chunks), footer.leaves(),
+    )
+
+
+def preflight(spark: SparkSession, path: str) -> Preflight:
+    """Rejects what the contract rejects and Spark would read, or fail on late. Every footer is read.
+
+    A few files are read by the driver. Many are dealt to executors, which send back one verdict for all; those in stores that only
+    the JVM can open come back to the driver."""
     files = part_files(spark, path)
     if not files:
         raise InvalidFileError(f"{path}: no data files")
+    if len(files) < FILES_FOR_A_JOB:
+        return _on_driver(spark, files)
+    tasks = max(spark.sparkContext.defaultParallelism, len(files) // 500)
+    rows = spark.createDataFrame([(f,) for f in files], "file string").repartition(tasks).mapInArrow(_verdicts, "file string, verdict string, kind string, message string")
+    seen = rows.groupBy().agg(
+        F.min(F.when(F.col("kind") != "", F.struct("file", "kind", "message"))).alias("bad"),
+        F.collect_set(F.when(F.col("verdict").isNotNull(), F.col("verdict"))).alias("verdicts"),
+        F.collect_list(F.when(F.col("kind").isNull(), F.col("file"))).alias("rest"),
+    )
+    seen = seen.first()
+    if seen["bad"] is not None:
+        raise getattr(errors, seen["bad"]["kind"])(seen["bad"]["message"])
+    found = [_decoded(v) for v in seen["verdicts"]] + ([_on_driver(spark, seen["rest"])] if seen["rest"] else [])
+    return _together(found)
+
+
+def _on_driver(spark: SparkSession, files: list[str]) -> Preflight:
     with ThreadPoolExecutor(FOOTERS_AT_ONCE) as pool:
-        waiting = [pool.submit(_verdict, spark, file) for file in files]
+        waiting = [pool.submit(lambda f: verdict(read_footer(spark, f)), file) for file in files]
         try:
-            return any([w.result() for w in waiting])
+            return _together([w.result() for w in waiting])
         except BaseException:
             pool.shutdown(wait=False, cancel_futures=True)
             raise
 
 
-def _verdict(spark: SparkSession, file: str) -> bool:
-    footer = _footer(spark, file)
-    for field in footer.getFileMetaData().getSchema().getFields():
-        _check(field, field.getName(), False)
-    #: The footer's text names all encodings: most files need no look at each chunk.
-    if "DELTA_BYTE_ARRAY" not in footer.toString():
-        return False
-    chunks = [c for b in footer.getBlocks() for c in b.getColumns()]
-    return any(c.getCodec().name() == "UNCOMPRESSED" and any(e.name() == "DELTA_BYTE_ARRAY" for e in c.getEncodings()) for c in chunks)
+def _verdicts(batches) -> Iterator:
+    """In a worker: the verdict on each file, or the error it calls for, or neither if the file can't be opened here."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    for batch in batches:
+        out: list[list] = [[], [], []]
+        for file in batch.column(0).to_pylist():
+            said, kind, message = None, "", None
+            try:
+                store, name = fs.FileSystem.from_uri(file)
+                size = store.get_file_info(name).size
+                with store.open_input_file(name) as f:
+                    tail = b"" if size < 12 else (f.seek(size - 8), f.read(8))[1]
+                    length = footer_length(tail, size, file)
+                    f.seek(size - 8 - length)
+                    found = verdict(parse(f.read(length), file))
+                said = json.dumps([found.delta_strings, sorted(found.narrow.items())])
+            except ParquetContractError as error:
+                kind, message = type(error).__name__, str(error)
+            except Exception:  # a store that only the JVM can open
+                kind = None
+            for column, x in zip(out, (said, kind, message), strict=True):
+                column.append(x)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.string()) for x in out]], ["file", "verdict", "kind", "message"])
+
+
+def _decoded(text: str) -> Preflight:
+    delta, narrow = json.loads(text)
+    return Preflight(delta, {path: tuple(how) for path, how in narrow})
+
+
+def _together(found: list[Preflight]) -> Preflight:
+    narrow: dict[str, tuple[int, bool]] = {}
+    for one in found:
+        narrow |= one.narrow
+    return Preflight(any(one.delta_strings for one in found), narrow)
+
+
+def verdict(footer: Footer) -> Preflight:
+    narrow: dict[str, tuple[int, bool]] = {}
+    for node in footer.schema.children:
+        _check(node, node.name, False, narrow)
+    delta = any(c.codec == "UNCOMPRESSED" and "DELTA_BYTE_ARRAY" in c.encodings for _, own in footer.groups for c in own)
+    return Preflight(delta, narrow)
 
 
-def _annotation(field) -> str:
-    found = field.getLogicalTypeAnnotation()
-    return "" if found is None else found.toString()
+#: The physical types that an annotation may stand on.
+_PAIRS = {
+    "STRING": ("BINARY",), "DATE": ("INT32",), "INT(8": ("INT32",), "INT(16": ("INT32",), "INT(32": ("INT32",), "INT(64": ("INT64",), "TIME(MILLIS": ("INT32",), "TIME(MICROS": ("INT64",), "TIME(NANOS": ("INT64",),
+    "TIMESTAMP": ("INT64",), "DECIMAL": ("INT32", "INT64", "FIXED_LEN_BYTE_ARRAY"), "UNKNOWN": ("INT32", "BOOLEAN"),
+}
 
 
-def _check(field, path: str, inside: bool) -> None:
-    repeated = field.getRepetition().name() == "REPEATED"
-    if repeated and not inside:
+def check_pair(node: Node, path: str) -> None:
+    """A primitive's physical type, annotation, width and precision must fit each other."""
+    if node.physical == "INT96":
+        raise UnsupportedTypeError(f"{path}: INT96 is outside the contract")
+    if not node.annotation:
+        return
+    allowed = next((kinds for start, kinds in _PAIRS.items() if node.annotation.startswith(start)), None)
+    if allowed is None:
+        raise UnsupportedTypeError(f"{path}: {node.annotation} is outside the contract")
+    if node.physical not in allowed:
+        raise UnsupportedTypeError(f"{path}: {node.annotation} on {node.physical}")
+    if node.annotation == "UNKNOWN" and node.repetition != "OPTIONAL":
+        raise UnsupportedTypeError(f"{path}: a column of nulls must be optional")
+    if node.annotation == "DECIMAL":
+        most = {"INT32": 9, "INT64": 18}.get(node.physical)
+        fits = node.precision <= most if most else 0 < node.precision and min_decimal_bytes(node.precision) <= node.length
+        if not 0 < node.precision or not fits or not 0 <= node.scale <= node.precision:
+            raise UnsupportedTypeError(f"{path}: DECIMAL({node.precision},{node.scale}) on {node.physical}({node.length})")
+
+
+def _check(node: Node, path: str, inside: bool, narrow: dict[str, tuple[int, bool]], key: str = "") -> None:
+    """path has the names in the file, key those that the contract gives to the levels of lists and maps."""
+    key = key or path
+    if node.repetition == "REPEATED" and not inside:
         raise UnsupportedNestedEncodingError(f"UNANNOTATED_REPEATED at {path}")
-    annotation = _annotation(field)
-    if field.isPrimitive():
-        kind = field.asPrimitiveType().getPrimitiveTypeName().name()
-        if kind == "INT96":
-            raise UnsupportedTypeError(f"{path}: INT96 is outside the contract")
-        if annotation.startswith(("JSON", "ENUM", "BSON", "UUID", "INTERVAL", "FLOAT16")):
-            raise UnsupportedTypeError(f"{path}: {annotation} is outside the contract")
-        if annotation.startswith("DECIMAL") and kind == "BINARY":
-            raise UnsupportedTypeError(f"{path}: a decimal of variable length is outside the contract")
+    if node.physical:
+        check_pair(node, path)
+        if node.annotation.startswith(("INT(8,", "INT(16,")):
+            width, signed = node.annotation[4:-1].split(",")
+            narrow[key] = (int(width), signed == "true")
         return
-    fields = list(field.asGroupType().getFields())
-    if not fields:
+    if not node.children:
         raise UnsupportedTypeError(f"{path}: a struct needs at least one field")
-    if annotation.startswith("LIST"):
-        _check_list(fields, path)
-    elif annotation.startswith("MAP"):
-        _check_map(fields, path)
+    if len({c.name for c in node.children}) < len(node.children):
+        raise UnsupportedTypeError(f"{path}: two fields have one name")
+    if node.annotation == "LIST":
+        _check_list(node, path, narrow, key)
+    elif node.annotation in ("MAP", "MAP_KEY_VALUE"):
+        _check_map(node, path, narrow, key)
+    elif node.annotation == "VARIANT":
+        _check_variant(node, path)
+    elif node.annotation:
+        raise UnsupportedTypeError(f"{path}: {node.annotation} is outside the contract")
     else:
-        for child in fields:
-            _check(child, f"{path}.{child.getName()}", False)
+        for child in node.children:
+            _check(child, f"{path}.{child.name}", False, narrow, f"{key}.{child.name}")
 
 
-def _check_list(fields, path: str) -> None:
-    if len(fields) != 1 or fields[0].getRepetition().name() != "REPEATED":
+def _check_list(node: Node, path: str, narrow, key: str) -> None:
+    if len(node.children) != 1 or node.children[0].repetition != "REPEATED":
         raise UnsupportedNestedEncodingError(f"LIST_SHAPE at {path}")
-    middle = fields[0]
-    at = f"{path}.{middle.getName()}"
-    if middle.isPrimitive() or _annotation(middle):
-        _check(middle, at, True)
-    else:
-        for child in middle.asGroupType().getFields():
-            _check(child, f"{at}.{child.getName()}", False)
+    middle = node.children[0]
+    at, element = f"{path}.{middle.name}", f"{key}.list.element"
+    if middle.physical or middle.annotation:
+        _check(middle, at, True, narrow, element)
+        return
+    #: A repeated group of one field is a level of its own, unless its name says that it is the element.
+    level = len(middle.children) == 1 and middle.name not in ("array", f"{node.name}_tuple")
+    for child in middle.children:
+        _check(child, f"{at}.{child.name}", False, narrow, element if level else f"{element}.{child.name}")
 
 
-def _check_map(fields, path: str) -> None:
-    if len(fields) != 1 or fields[0].isPrimitive() or fields[0].getRepetition().name() != "REPEATED":
+def _check_map(node: Node, path: str, narrow, key: str) -> None:
+    if len(node.children) != 1 or node.children[0].physical or node.children[0].repetition != "REPEATED":
         raise UnsupportedNestedEncodingError(f"MAP_SHAPE at {path}")
-    entry = list(fields[0].asGroupType().getFields())
+    entry = node.children[0].children
     if len(entry) < 2:
         raise UnsupportedNestedEncodingError(f"KEY_ONLY at {path}")
     if len(entry) > 2:
         raise UnsupportedNestedEncodingError(f"EXTRA_ENTRY_FIELDS at {path}")
-    how = entry[0].getRepetition().name()
-    if how != "REQUIRED":
-        raise UnsupportedNestedEncodingError(f"{how}_KEY at {path}")
-    _check(entry[0], f"{path}.key", False)
-    _check(entry[1], f"{path}.value", False)
+    if entry[0].repetition != "REQUIRED":
+        raise UnsupportedNestedEncodingError(f"{entry[0].repetition}_KEY at {path}")
+    for side, child in zip(("key", "value"), entry, strict=True):
+        _check(child, f"{path}.{node.children[0].name}.{child.name}", False, narrow, f"{key}.key_value.{side}")
+
+
+def _check_variant(node: Node, path: str) -> None:
+    """Binary metadata, and a binary value or a typed value of any shape; nothing else."""
+    own = {c.name: c for c in node.children}
+    metadata, value, typed = own.pop("metadata", None), own.pop("value", None), own.pop("typed_value", None)
+    if metadata is None or metadata.physical != "BINARY" or metadata.repetition == "REPEATED":
+        raise UnsupportedTypeError(f"{path}: a variant needs binary metadata")
+    if value is None and typed is None or value is not None and value.physical != "BINARY":
+        raise UnsupportedTypeError(f"{path}: a variant needs a binary value or a typed value")
+    if own:
+        raise UnsupportedTypeError(f"{path}: {sorted(own)[0]} is no part of a variant")

@@ -8,8 +8,9 @@ from pyspark.sql import types as T
 
 from .errors import UnsupportedTypeError
 
-#: Field metadata that carry what a Spark type can't: the unit of a long or integer, the width of a binary, the size of a list.
-UNIT, WIDTH, SIZE, VARIANT = "unit", "fixed_width", "fixed_size", "variant"
+#: Field metadata that carry what a Spark type can't: the unit of a long or integer, that of a time of day, the width of a
+#: binary, the size of a list, and that a column of integers stands for nulls alone.
+UNIT, TIME_UNIT, WIDTH, SIZE, VARIANT, NULLS = "unit", "time_unit", "fixed_width", "fixed_size", "variant", "nulls"
 MAX_DECIMAL = 38
 MAP_KEYS = (T.StringType, T.BinaryType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType, T.TimestampType, T.TimestampNTZType, T.DecimalType)
 
@@ -87,8 +88,7 @@ def _field(kind: T.DataType, path: str, nullable: bool, metadata: dict, out: lis
         out.append(Stored(path, "GROUP", "LIST", nullable))
         _field(kind.elementType, f"{path}.list.element", kind.containsNull, {}, out)
     elif isinstance(kind, T.MapType):
-        if not isinstance(kind.keyType, MAP_KEYS):
-            raise UnsupportedTypeError(f"{path}: {kind.keyType.simpleString()} can't be a map key")
+        #: Keys of other types are rejected by value, so that an empty map of them passes.
         out.append(Stored(path, "GROUP", "MAP", nullable))
         _field(kind.keyType, f"{path}.key_value.key", False, {}, out)
         _field(kind.valueType, f"{path}.key_value.value", kind.valueContainsNull, {}, out)
@@ -96,6 +96,10 @@ def _field(kind: T.DataType, path: str, nullable: bool, metadata: dict, out: lis
         out.append(Stored(path, "GROUP", "VARIANT(1)", nullable))
     elif isinstance(kind, T.DecimalType):
         out.append(Stored(path, decimal_physical(kind.precision, kind.scale), f"DECIMAL({kind.precision},{kind.scale})", nullable))
+    elif isinstance(kind, T.NullType):
+        if not nullable:
+            raise UnsupportedTypeError(f"{path}: a column of nulls must be nullable")
+        out.append(Stored(path, "BOOLEAN", "UNKNOWN", True))
     elif type(kind) in _PRIMITIVES:
         physical, annotation = _PRIMITIVES[type(kind)]
         out.append(Stored(path, physical, annotation, nullable))
