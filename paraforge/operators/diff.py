@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,44 +16,86 @@ DIMENSIONS = ("SCHEMA", "LOGICAL_VALUES", "NULL_EMPTY_NESTED_SHAPE", "FIELD_META
 def _shape(c: Column, kind: T.DataType) -> Column:
     """A text that is equal for values of one shape: nulls, sizes of lists and maps, all the way down."""
     if isinstance(kind, T.StructType):
-        inner = F.concat_ws(",", *[_shape(c.getField(f.name), f.dataType) for f in kind.fields])
+        inner = F.concat_ws(",", *[_shape(c.getField(f.name), f.dataType) for f in kind.fields])  # never null, so none is left out
         return F.when(c.isNull(), "-").otherwise(F.concat(F.lit("("), inner, F.lit(")")))
     if isinstance(kind, T.ArrayType):
         inner = F.array_join(F.transform(c, lambda x: _shape(x, kind.elementType)), ",")
         return F.when(c.isNull(), "-").otherwise(F.concat(F.lit("["), inner, F.lit("]")))
     if isinstance(kind, T.MapType):
-        inner = F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), _shape(e["value"], kind.valueType))), ",")
+        inner = F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(F.to_json(F.struct(e["key"])), F.lit(":"), _shape(e["value"], kind.valueType))), ",")
         return F.when(c.isNull(), "-").otherwise(F.concat(F.lit("{"), inner, F.lit("}")))
     return F.when(c.isNull(), "-").otherwise("+")
 
 
 def _same(x: Column, y: Column, kind: T.DataType) -> Column:
+    """Equality of two values of one shape, at any depth: floats by sign and with one NaN, maps entry by entry in order."""
     if isinstance(kind, T.FloatType | T.DoubleType):
         return same_float(x, y)
+    if isinstance(kind, T.StructType):
+        out = F.lit(True)
+        for f in kind.fields:
+            out = out & _same(x.getField(f.name), y.getField(f.name), f.dataType)
+        return (x.isNull() & y.isNull()) | (x.isNotNull() & y.isNotNull() & out)
+    if isinstance(kind, T.ArrayType):
+        each = F.forall(F.zip_with(x, y, lambda a, b: _same(a, b, kind.elementType)), lambda same: same)
+        return (x.isNull() & y.isNull()) | F.coalesce((F.size(x) == F.size(y)) & each, F.lit(False))
     if isinstance(kind, T.MapType):
-        return F.map_entries(x).eqNullSafe(F.map_entries(y))  # entries in order
+        entry = T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])
+        return _same(F.map_entries(x), F.map_entries(y), T.ArrayType(entry))
+    if isinstance(kind, T.VariantType):
+        return F.to_json(x).eqNullSafe(F.to_json(y))
     return x.eqNullSafe(y)
 
 
-def compare_values(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
-    """(dimension, path, key) of every column of every row that differs; rows are aligned by a unique key, missing ones are told too.
+def _column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
 
-    One full outer join on the key, which both sides share as their partitioning."""
+def compare_values(expected: DataFrame, actual: DataFrame, key: str | None = None) -> DataFrame:
+    """(dimension, path, key) of every column of every row that differs, missing rows too.
+
+    Rows are aligned by a unique key, or without one by their number (see numbered), which is then the column `row`; of a key that is
+    repeated the occurrences are numbered and aligned one by one. One full outer join on what rows are aligned by, which both sides
+    share as their partitioning."""
+    if key is None:
+        key, expected, actual = "row", numbered(expected), numbered(actual)
     columns = [f for f in expected.schema.fields if f.name != key]
-    x = expected.select(F.col(key), F.struct(*[f.name for f in columns]).alias("__x"))
-    y = actual.select(F.col(key), F.struct(*[f.name for f in columns]).alias("__y"))
-    both = x.join(y, key, "full_outer")
+    repeated = any(df.groupBy(_column(key)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() for df in (expected, actual))
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(_column(key).alias("__key"), F.struct(*[_column(f.name).alias(f"c{i}") for i, f in enumerate(columns)]).alias(name))
+        at = F.row_number().over(W.partitionBy("__key").orderBy(F.hash(F.to_json(name)), F.to_json(name))) if repeated else F.lit(1)
+        return rows.withColumn("__at", at)
+
+    both = _joined(side(expected, "__x"), side(actual, "__y"))
     found = [F.when(F.col("__x").isNull() | F.col("__y").isNull(), F.struct(F.lit(DIMENSIONS[1]).alias("dimension"), F.lit("").alias("path")))]
     present = F.col("__x").isNotNull() & F.col("__y").isNotNull()
-    for f in columns:
-        a, b = F.col("__x").getField(f.name), F.col("__y").getField(f.name)
+    for i, f in enumerate(columns):
+        a, b = F.col(f"__x.c{i}"), F.col(f"__y.c{i}")
         shapes = _shape(a, f.dataType) == _shape(b, f.dataType)
         found.append(F.when(present & ~shapes, F.struct(F.lit(DIMENSIONS[2]).alias("dimension"), F.lit(f.name).alias("path"))))
         found.append(F.when(present & shapes & ~_same(a, b, f.dataType), F.struct(F.lit(DIMENSIONS[1]).alias("dimension"), F.lit(f.name).alias("path"))))
-    return both.select(key, F.inline(F.array_compact(F.array(*found)))).select("dimension", "path", key)
+    return both.select("__key", F.inline(F.array_compact(F.array(*found)))).select("dimension", "path", F.col("__key").alias(key))
+
+
+def _joined(x: DataFrame, y: DataFrame) -> DataFrame:
+    """Null keys are aligned with each other."""
+    y = y.select(F.col("__key").alias("__other"), F.col("__at").alias("__other_at"), "__y")
+    both = x.join(y, x["__key"].eqNullSafe(y["__other"]) & (x["__at"] == y["__other_at"]), "full_outer")
+    return both.select(F.coalesce("__key", "__other").alias("__key"), "__x", "__y")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its rows' numbers from 0 over all partitions, as the column `row`, in the order in which a scan gives them.
+
+    Only the partitions' sizes meet in one task: a row's number is its place in its partition after the rows of those before."""
+    marked = df.withColumn("__part", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = marked.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select(F.col("__part"), F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return marked.join(F.broadcast(before), "__part").withColumn("row", F.col("__before") + F.col("__place")).drop("__part", "__place", "__before")
 
 
-def compare(expected: DataFrame, actual: DataFrame, key: str) -> list[tuple[str, str, str]]:
+def compare(expected: DataFrame, actual: DataFrame, key: str | None = None) -> list[tuple[str, str, str]]:
     """(dimension, path, detail) over all dimensions, values as counts of rows; a differing number of rows ends the comparison of values."""
     out = [(DIMENSIONS[0], path, what) for path, what in schema_differences(expected.schema, actual.schema)]
     ours, theirs = ({f.name: f.metadata or {} for f in df.schema.fields} for df in (expected, actual))

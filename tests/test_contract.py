@@ -507,3 +507,87 @@ def test_property_round_trip(spark, tmp_path):
         df = spark.createDataFrame(rows, "k int, flag boolean, id int, text string")
         write(df, str(tmp_path / str(seed)))
         assert diff.compare(df, read(spark, str(tmp_path / str(seed))), "k") == []
+
+
+def brute_levels(kind, value, steps, defined=0, depth=0, required=False):
+    """[(rl, dl, value)] of a value towards a leaf."""
+    here = defined if required else defined + 1
+    if value is None:
+        return [(0, defined, None)]
+    if isinstance(kind, T.StructType):
+        return brute_levels(kind[steps[0]].dataType, value[steps[0]], steps[1:], here, depth)
+    if isinstance(kind, T.ArrayType | T.MapType):
+        if not value:
+            return [(0, here, None)]
+        out = []
+        side = steps[1] if isinstance(kind, T.MapType) else ""
+        inner = kind.elementType if not side else kind.keyType if side == "key" else kind.valueType
+        for i, x in enumerate(value if not side else value.keys() if side == "key" else value.values()):
+            own = brute_levels(inner, x, steps[2:], here + 1, depth + 1, side == "key")
+            out += [(depth + 1 if i and not j else own[j][0], *own[j][1:]) for j in range(len(own))]
+        return out
+    return [(0, here, value)]
+
+
+def test_nested_levels(spark):
+    import random
+
+    from paraforge.functions.levels import leaves, nested_levels
+
+    r = random.Random(5)
+    maybe = lambda make: None if r.random() < 0.25 else make()
+    number = lambda: maybe(lambda: r.randint(0, 99))
+    inner = lambda: maybe(lambda: {"a": number(), "xs": maybe(lambda: [number() for _ in range(r.randint(0, 3))])})
+    kind = "array<struct<a:int,xs:array<int>>>"
+    rows = [(i, maybe(lambda: [inner() for _ in range(r.randint(0, 3))]), maybe(lambda: {f"k{j}": maybe(lambda: [number() for _ in range(r.randint(0, 2))]) for j in range(r.randint(0, 3))}), maybe(lambda: {"s": maybe(lambda: {"t": number()})})) for i in range(60)]
+    df = spark.createDataFrame(rows, f"k int, c {kind}, m map<string,array<int>>, s struct<s:struct<t:int>>")
+    for column, at in (("c", 1), ("m", 2), ("s", 3)):
+        got = {}
+        for e in nested_levels(df, "k", column).orderBy("k", "leaf", "at").collect():
+            got.setdefault((e["k"], e["leaf"]), []).append((e["rl"], e["dl"], e["value"]))
+            assert e["row_boundary"] == (e["rl"] == 0)
+        for leaf in leaves(df.schema[column]):
+            for row in rows:
+                expected = [(x, d, None if v is None else str(v)) for x, d, v in brute_levels(df.schema[column].dataType, row[at], leaf.path.split(".")[1:])]
+                assert got[row[0], leaf.path] == expected, (leaf, row)
+    assert {x.path: (x.most_defined, x.most_repeated) for c in "cms" for x in leaves(df.schema[c])} == {"c.list.element.a": (4, 1), "c.list.element.xs.list.element": (6, 2), "m.key_value.key": (2, 1), "m.key_value.value.list.element": (5, 2), "s.s.t": (3, 0)}
+
+
+def test_levels_are_those_of_the_file(spark, tmp_path):
+    """The number of events of each leaf is the number of values that the footer counts for its column."""
+    import pyarrow.parquet as pq
+
+    from paraforge.functions.levels import nested_levels
+
+    df = spark.createDataFrame([(1, [{"a": [1, 2]}, None, {"a": []}]), (2, None), (3, [])], "k int, c array<struct<a:array<int>>>").coalesce(1)
+    write(df, str(tmp_path / "t"))
+    (file,) = (tmp_path / "t").glob("*.parquet")
+    group = pq.read_metadata(file).row_group(0)
+    stored = {group.column(i).path_in_schema: group.column(i).num_values for i in range(group.num_columns)}
+    for leaf, n in {r["leaf"]: r["n"] for r in nested_levels(df, "k", "c").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}.items():
+        assert stored[leaf] == n
+
+
+def test_nested_differences(spark):
+    kinds = "k int, xs array<double>, s struct<m:map<string,double>>, d array<map<int,int>>, `a.b` double"
+    a = spark.createDataFrame([(1, [0.0, float("nan")], ({"x": 0.0, "y": 1.0},), [{1: 2}], 0.0), (2, None, (None,), [], 1.0)], kinds)
+    b = spark.createDataFrame([(1, [-0.0, float("nan")], ({"x": -0.0, "y": 1.0},), [{1: 3}], -0.0), (2, None, (None,), [], 1.0)], kinds)
+    assert diff.compare(a, a, "k") == []
+    assert diff.compare(a, b, "k") == [("LOGICAL_VALUES", x, "1 rows") for x in ("a.b", "d", "s", "xs")]
+    c = a.withColumn("s", F.when(F.col("k") == 1, F.struct(F.create_map(F.lit("y"), F.lit(1.0), F.lit("x"), F.lit(0.0)).alias("m"))).otherwise(F.col("s")))
+    assert [x[:2] for x in diff.compare(a, c, "k")] == [("NULL_EMPTY_NESTED_SHAPE", "s")]
+
+
+def test_rows_are_aligned_by_number_and_repeated_keys(spark):
+    a = spark.range(100).select((F.col("id") % 7).alias("v")).repartition(1).selectExpr("v")
+    assert diff.compare(a, a.coalesce(1)) == []
+    x = spark.createDataFrame([(i // 2, i) for i in range(40)], "k int, v int").coalesce(1)
+    y = spark.createDataFrame([(i // 2, -1 if i == 17 else i) for i in range(40)], "k int, v int").coalesce(1)
+    assert [tuple(r) for r in diff.compare_values(x, y).collect()] == [("LOGICAL_VALUES", "v", 17)]
+    assert [r["row"] for r in diff.numbered(spark.range(50).repartition(5)).orderBy("row").collect()] == list(range(50))
+    assert diff.compare_values(x, x, "k").count() == 0
+    assert diff.compare_values(x, y, "k").count() >= 1
+    missing = diff.compare_values(x, x.where("v <> 5"), "k")
+    assert {r["k"] for r in missing.collect()} == {2}
+    nulls = spark.createDataFrame([(None, 1), (3, 2)], "k int, v int")
+    assert diff.compare(nulls, nulls, "k") == []
