@@ -102,6 +102,10 @@ def nested_levels(df: DataFrame, key: str, column: str) -> DataFrame:
     return rows.select(key, "leaf", "at", (F.col("at") == 0).alias("row_boundary"), "e.rl", "e.dl", (F.col("e.dl") == F.col("most")).alias("present"), "e.value")
 
 
-def level_faults(events: DataFrame, most: int) -> DataFrame:
-    """Events that break the rules: a row begins exactly at repetition 0, and a value stands exactly at the greatest depth."""
-    return events.where((F.col("row_boundary") != (F.col("rl") == 0)) | (F.col("present") != (F.col("dl") == most)))
+def is_fault(most: int | Column) -> Column:
+    """True for an event that breaks the rules: a row begins exactly at repetition 0, and a value stands exactly at the greatest depth."""
+    return (F.col("row_boundary") != (F.col("rl") == 0)) | (F.col("present") != (F.col("dl") == most))
+
+
+def level_faults(events: DataFrame, most: int | Column) -> DataFrame:
+    return events.where(is_fault(most))

@@ -44,26 +44,34 @@ def payload_bytes(batch: pa.RecordBatch) -> np.ndarray:
     return sizes
 
 
-def bounded_batches(df: DataFrame, rows: int, most_bytes: int, key: str) -> DataFrame:
+def bounded_batches(df: DataFrame, rows: int, most_bytes: int, key: str, by: str | None = None) -> DataFrame:
     """(partition, batch, key, bytes): the batch of each row when a batch ends after the row that reaches either limit.
 
-    A row larger than the byte limit is a batch of its own or ends one; it is never split. Limits hold in a partition; Arrow
+    A row larger than the byte limit is a batch of its own or ends one; it is never split. Limits hold in a partition, or with `by`,
+    by which the partitions' rows must be sorted, in each run of its values, which then stand in the place of the partition. Arrow
     batches stream by and only counters are kept. The payload is counted, not buffers."""
     names = df.columns
-    at = names.index(key)
+    at, group = names.index(key), None if by is None else names.index(by)
+    name = by or "partition"
+    kind = "int" if by is None else df.schema[by].dataType.simpleString()
 
     def run(batches):
         from pyspark import TaskContext
 
         part, number, held, size = TaskContext.get().partitionId(), 0, 0, 0
+        last = None
         for batch in batches:
             sizes = payload_bytes(batch)
+            own = [part] * batch.num_rows if group is None else batch.column(group).to_pylist()
             numbers = []
-            for n in sizes.tolist():
+            for g, n in zip(own, sizes.tolist(), strict=True):
+                if g != last:
+                    last, number, held, size = g, 0, 0, 0
                 numbers.append(number)
                 held, size = held + 1, size + n
                 if held >= rows or size >= most_bytes:
                     number, held, size = number + 1, 0, 0
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(numbers), pa.int32()), pa.array(numbers, pa.int64()), batch.column(at), pa.array(sizes)], ["partition", "batch", key, "bytes"])
+            first = pa.array(own, pa.int32()) if group is None else batch.column(group)
+            yield pa.RecordBatch.from_arrays([first, pa.array(numbers, pa.int64()), batch.column(at), pa.array(sizes)], [name, "batch", key, "bytes"])
 
-    return df.mapInArrow(run, f"partition int, batch long, {key} {df.schema[key].dataType.simpleString()}, bytes long")
+    return df.mapInArrow(run, f"{name} {kind}, batch long, {key} {df.schema[key].dataType.simpleString()}, bytes long")

@@ -8,8 +8,3 @@ from pyspark.sql import functions as F
 
 def from_json(text: Column) -> Column:
     return F.parse_json(text)
-
-
-def storage(text: Column) -> Column:
-    """A stand-in for a variant's storage that stays a plain struct: binary metadata and value."""
-    return F.when(text.isNotNull(), F.struct(F.unhex(F.lit("010000")).alias("metadata"), text.cast("binary").alias("value")))

@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .errors import translate
 from .functions import conversions as C
-from .functions.levels import level_faults, list_levels
+from .functions.levels import is_fault, list_levels, nested_levels
 from .operators import dictionary, diff, variant
 from .operators.batches import bounded_batches, with_batch_number
 from .operators.validate import count_violations
-from .sources import ReadOptions, WriteOptions, file_facts, read, write
+from .sources import Reader, ReadOptions, WriteOptions, file_facts, read, write
+from .sources.reader import refine
+from .sources.writer import Writer
 from .types import schema_differences, stored_columns
 from .workspace import work_path
 
@@ -100,11 +103,26 @@ def batch_rows(spark, sf_dir):
     return with_batch_number(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "_metadata.row_index", "_metadata"), ReadOptions().batch_rows).groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, strlen(text)::BIGINT AS bytes, 1::BIGINT AS rows_in_batch FROM documents")
+#: Limits of the batches of batch_variable_bytes.
+_BATCH_ROWS, _BATCH_BYTES = 9, 20_000
+
+
+@query(f"""
+WITH RECURSIVE d AS (SELECT doc_id % 16 AS part, strlen(text)::BIGINT AS bytes, row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id) AS i FROM documents),
+r AS (
+  SELECT part, i, bytes, 0::BIGINT AS batch, bytes AS held, 1::BIGINT AS n FROM d WHERE i = 1
+  UNION ALL
+  SELECT d.part, d.i, d.bytes, r.batch + (CASE WHEN full_now THEN 1 ELSE 0 END), CASE WHEN full_now THEN d.bytes ELSE r.held + d.bytes END, CASE WHEN full_now THEN 1 ELSE r.n + 1 END
+  FROM (SELECT *, held >= {_BATCH_BYTES} OR n >= {_BATCH_ROWS} AS full_now FROM r) r JOIN d ON d.part = r.part AND d.i = r.i + 1
+)
+SELECT part, batch, count(*)::BIGINT AS rows_in_batch, sum(bytes)::BIGINT AS bytes FROM r GROUP BY 1, 2
+""")
 def batch_variable_bytes(spark, sf_dir):
-    split = bounded_batches(table(spark, sf_dir, "documents", [("doc_id",), ("text",)]), 99, 1, "doc_id")
-    sizes = split.groupBy("partition", "batch").agg(F.count(F.lit(1)).alias("rows_in_batch"), F.first("doc_id").alias("doc_id"), F.sum("bytes").alias("bytes"))
-    return sizes.select("doc_id", "bytes", "rows_in_batch")
+    """The rows of 16 readers, each in order: a batch ends after the row that reaches either limit."""
+    docs = table(spark, sf_dir, "documents", [("doc_id",), ("text",)]).withColumn("part", F.col("doc_id") % 16)
+    dealt = docs.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "doc_id", "text")
+    split = bounded_batches(dealt, _BATCH_ROWS, _BATCH_BYTES, "doc_id", by="part")
+    return split.groupBy("part", "batch").agg(F.count(F.lit(1)).alias("rows_in_batch"), F.sum("bytes").alias("bytes"))
 
 
 @query("SELECT g::BIGINT AS group_number, least(2000, n - g * 2000)::BIGINT AS rows_in_group FROM (SELECT count(*) AS n FROM orders), range(0, 1000000) t(g) WHERE g * 2000 < n")
@@ -139,9 +157,26 @@ def roundtrip_map(spark, sf_dir):
     return df.select("l_orderkey", F.size("lines").cast("long").alias("n"), F.aggregate(F.map_values("lines"), F.lit(0).cast("long"), lambda a, x: a + x).alias("numbers"))
 
 
-@query("SELECT l_orderkey, count(*) <> count(DISTINCT l_linenumber) AS repeated FROM lineitem GROUP BY 1")
+def _stored_maps(spark, sf_dir) -> str:
+    """The path of a table of maps, some of which have a key twice. Spark's own expressions don't make such maps, files may hold them."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            lines = batch.column(1)
+            numbers = lines.flatten().field("l_linenumber") if lines.offset == 0 else pa.concat_arrays([lines]).flatten().field("l_linenumber")
+            keys = pa.array([n % 3 for n in numbers.to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.MapArray.from_arrays(lines.offsets, keys, numbers)], ["l_orderkey", "m"])
+
+    path = work_path(spark, "repeated_keys")
+    _lists(spark, sf_dir).mapInArrow(run, "l_orderkey long, m map<int,int>").write.parquet(path)
+    return path
+
+
+@query("SELECT l_orderkey, count(*)::BIGINT AS entries, count(*) <> count(DISTINCT l_linenumber % 3) AS repeated FROM lineitem GROUP BY 1")
 def map_duplicate_keys(spark, sf_dir):
-    return _lists(spark, sf_dir).select("l_orderkey", (~C.unique_keys(F.col("lines.l_linenumber"))).alias("repeated"))
+    stored = spark.read.parquet(_stored_maps(spark, sf_dir))
+    return stored.select("l_orderkey", F.size("m").cast("long").alias("entries"), (~C.map_ok(F.col("m"))).alias("repeated"))
 
 
 @query("SELECT l_orderkey, count(*)::BIGINT AS n, sum(l_linenumber + 2 * l_partkey)::BIGINT AS total FROM lineitem GROUP BY 1")
@@ -255,10 +290,23 @@ def roundtrip_variant(spark, sf_dir):
     return df.select(F.variant_get("v", "$.k", "bigint").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT event_id, 3::BIGINT AS metadata_bytes, strlen(props)::BIGINT AS value_bytes FROM events")
+@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
 def variant_plain_struct(spark, sf_dir):
-    df = round_trip(table(spark, sf_dir, "events").select("event_id", variant.storage(F.col("props")).alias("v")), "plain")
-    return df.select("event_id", F.octet_length("v.metadata").cast("long").alias("metadata_bytes"), F.octet_length("v.value").cast("long").alias("value_bytes"))
+    """A variant's storage as a plain struct of two binaries stays one, byte by byte: read as a variant again it is what it was."""
+    first, second = work_path(spark, "unmarked"), work_path(spark, "plain")
+    flag = "spark.sql.parquet.variant.annotateLogicalType.enabled"
+    before = spark.conf.get(flag, None)
+    spark.conf.set(flag, "false")
+    try:
+        write(table(spark, sf_dir, "events").select("event_id", variant.from_json(F.col("props")).alias("v")), first)
+    finally:
+        spark.conf.unset(flag) if before is None else spark.conf.set(flag, before)
+    key = T.StructField("event_id", T.LongType())
+    storage = T.StructType([T.StructField("metadata", T.BinaryType()), T.StructField("value", T.BinaryType())])
+    write(read(spark, first, schema=T.StructType([key, T.StructField("v", storage)])), second)
+    assert read(spark, second).schema["v"].dataType == storage
+    df = read(spark, second, schema=T.StructType([key, T.StructField("v", T.VariantType())]))
+    return df.select("event_id", F.variant_get("v", "$.k", "bigint").alias("k"))
 
 
 def _faulty(spark, sf_dir):
@@ -314,8 +362,20 @@ def dremel_levels(spark, sf_dir):
     k = F.col("o_orderkey")
     xs = F.when(k % 3 == 1, F.array().cast("array<int>")).when(k % 3 == 2, F.array(F.lit(None).cast("int"), F.lit(7)))
     events = list_levels(round_trip(table(spark, sf_dir, "orders", [("o_orderkey",)]).select("o_orderkey", xs.alias("xs")), "levels"), "o_orderkey", "xs")
-    faults = level_faults(events, 3).count()
-    return events.groupBy("rl", "dl").agg(F.count(F.lit(1)).alias("n"), F.lit(faults).cast("long").alias("faults"))
+    return events.groupBy("rl", "dl").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_fault(3), 1)).alias("faults"))
+
+
+@query("""
+WITH c AS (SELECT count(*)::BIGINT AS n, count(DISTINCT l_orderkey)::BIGINT AS first FROM lineitem)
+SELECT 'lines.list.element.' || leaf AS leaf, rl, dl, CASE rl WHEN 0 THEN first WHEN 1 THEN n - first ELSE n END AS n FROM c,
+(VALUES ('number', 0, 4), ('number', 1, 4), ('attributes.key_value.key', 0, 5), ('attributes.key_value.key', 1, 5), ('attributes.key_value.key', 2, 5),
+('attributes.key_value.value', 0, 6), ('attributes.key_value.value', 1, 6), ('attributes.key_value.value', 2, 5)) v(leaf, rl, dl)
+""")
+def nested_dremel_levels(spark, sf_dir):
+    """The events of the leaves of a list of structs that hold maps with one value and one null."""
+    nested = F.transform("lines", lambda x: F.struct(x["l_linenumber"].alias("number"), F.create_map(F.lit("part"), x["l_partkey"], F.lit("none"), F.lit(None).cast("long")).alias("attributes")))
+    df = round_trip(_lists(spark, sf_dir).select("l_orderkey", nested.alias("lines")), "nested_levels")
+    return nested_levels(df, "l_orderkey", "lines").groupBy("leaf", "rl", "dl").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _matrix(spark, sf_dir, options: dict[str, WriteOptions], see) -> DataFrame:
@@ -363,10 +423,16 @@ def file_info(spark, sf_dir):
     return spark.createDataFrame([(sum(f.rows for f in facts), facts[0].columns)], "total_rows long, columns long")
 
 
-@query("SELECT count(*)::BIGINT AS total_rows, ((count(*) + 8191) // 8192)::BIGINT AS batches FROM orders")
+@query("SELECT count(*)::BIGINT AS total_rows, ((count(*) + 499) // 500)::BIGINT AS batches, ((count(*) + 1999) // 2000)::BIGINT AS row_groups FROM customer")
 def read_metrics(spark, sf_dir):
-    counted = table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("total_rows"))
-    return counted.select("total_rows", F.ceil(F.col("total_rows") / ReadOptions().batch_rows).cast("long").alias("batches"))
+    """What a reader counts while it goes through a table: rows and batches as they come, and the row groups that it has completed."""
+    path = work_path(spark, "metrics_read")
+    write(table(spark, sf_dir, "customer").coalesce(1), path, WriteOptions(row_group_rows=2000))
+    reader = Reader(read(spark, path, [("c_custkey",)]), ReadOptions(batch_rows=500))
+    while reader.load_next():
+        pass
+    groups = sum(len(f.groups) for f in file_facts(spark, path))
+    return spark.createDataFrame([(reader.rows, reader.batches, groups)], "total_rows long, batches long, row_groups long")
 
 
 @query("SELECT count(*)::BIGINT AS total_rows, true AS has_bytes FROM supplier")
@@ -383,9 +449,19 @@ def empty_roundtrip(spark, sf_dir):
     return df.agg(F.count(F.lit(1)).alias("total_rows")).select("total_rows", F.lit(",".join(df.columns)).alias("names"))
 
 
-@query("SELECT r_regionkey, sha256('{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}') AS digest FROM region")
+@query("""
+SELECT 'region' AS name, count(*)::BIGINT AS total_rows, sha256(string_agg('{"key":' || r_regionkey || ',"name":"' || r_name || '"}', chr(10) ORDER BY r_regionkey)) AS digest FROM region
+UNION ALL SELECT 'nation', count(*), sha256(string_agg('{"key":' || n_nationkey || ',"name":"' || n_name || '"}', chr(10) ORDER BY n_nationkey)) FROM nation
+""")
 def fixture_manifest(spark, sf_dir):
-    return table(spark, sf_dir, "region").select("r_regionkey", F.sha2(F.to_json(F.struct("r_regionkey", "r_name")), 256).alias("digest"))
+    """A manifest of small fixed tables: name, rows, and the digest of all rows in the order of their key, after they were written and read."""
+    out = None
+    for name, short in (("region", "r"), ("nation", "n")):
+        rows = round_trip(table(spark, sf_dir, name), f"fixture_{name}").select(F.col(f"{short}_{name}key").alias("key"), F.to_json(F.struct(F.col(f"{short}_{name}key").alias("key"), F.col(f"{short}_name").alias("name"))).alias("line"))
+        lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("key", "line"))), lambda x: x["line"]), "\n")
+        one = rows.agg(F.count(F.lit(1)).alias("total_rows"), F.sha2(lines, 256).alias("digest")).select(F.lit(name).alias("name"), "total_rows", "digest")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("SELECT * FROM (VALUES ('o_orderkey', 'INT64', ''), ('o_custkey', 'INT64', ''), ('o_orderstatus', 'BINARY', 'STRING'), ('o_totalprice', 'DOUBLE', ''), ('o_orderdate', 'INT64', 'TIMESTAMP(MICROS,false)'), ('o_orderpriority', 'BINARY', 'STRING')) v(path, physical, annotation)")
@@ -394,9 +470,126 @@ def type_contract(spark, sf_dir):
     return spark.createDataFrame(rows, "path string, physical string, annotation string")
 
 
-@query("SELECT 'ts' AS name, 'ns' AS unit UNION ALL SELECT 'width', '4'")
+@query("SELECT 'ts' AS name, 'ns' AS unit UNION ALL SELECT 'width', '4' UNION ALL SELECT 'plain', '' UNION ALL SELECT 'own', 's'")
 def schema_refine(spark, sf_dir):
-    df = spark.range(3).select(F.col("id").alias("ts", metadata={"unit": "ns"}), F.lit(b"abcd").alias("width", metadata={"fixed_width": 4}))
-    back = round_trip(df, "refined")
+    """What a file says itself stays; hints add to it; hints for columns that are not there are passed over."""
+    df = spark.range(3).select(F.col("id").alias("ts", metadata={"unit": "ns"}), F.lit(b"abcd").alias("width"), F.col("id").alias("plain"), F.col("id").alias("own", metadata={"unit": "s"}))
+    back = refine(round_trip(df, "refined"), {"width": {"fixed_width": 4}, "own": {"unit": "ms"}, "absent": {"unit": "us"}})
     rows = [(f.name, str(next(iter((f.metadata or {"": ""}).values())))) for f in back.schema.fields]
     return spark.createDataFrame(rows, T.StructType().add("name", "string").add("unit", "string"))
+
+
+@query("SELECT o_orderkey AS row, 'LOGICAL_VALUES' AS dimension, 'v' AS path FROM orders WHERE false UNION ALL SELECT (row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT, 'LOGICAL_VALUES', 'v' FROM orders QUALIFY o_orderkey % 13 = 0")
+def diff_by_row_number(spark, sf_dir):
+    """Two tables without keys, in different partitions, aligned by the number of the row over all partitions."""
+    orders = table(spark, sf_dir, "orders", [("o_orderkey",)]).repartitionByRange(7, "o_orderkey").sortWithinPartitions("o_orderkey")
+    changed = table(spark, sf_dir, "orders", [("o_orderkey",)]).repartitionByRange(3, "o_orderkey").sortWithinPartitions("o_orderkey")
+    k = F.col("o_orderkey")
+    return diff.compare_values(orders.select((k % 1000).alias("v")), changed.select(F.when(k % 13 == 0, F.lit(-1)).otherwise(k % 1000).alias("v")))
+
+
+@query("SELECT 'LOGICAL_VALUES' AS dimension, path, count(*)::BIGINT AS n FROM orders, (VALUES ('xs', 5), ('s', 7), ('maps', 11)) v(path, m) WHERE o_orderkey % m = 0 GROUP BY path")
+def diff_nested(spark, sf_dir):
+    """Signed zeros in lists and structs, and values of maps in lists, after both tables were written and read."""
+    k = F.col("o_orderkey")
+
+    def build(changed: bool):
+        zero = lambda m: F.when(F.lit(changed) & (k % m == 0), F.negate(k.cast("double")) * 0.0).otherwise(k.cast("double") * 0.0)  # noqa: E731  the optimizer takes literal zeros for one
+        one = F.when(F.lit(changed) & (k % 11 == 0), F.lit(2)).otherwise(F.lit(1))
+        xs, s = F.array(F.lit(float("nan")), zero(5)), F.struct(F.create_map(F.lit("z"), zero(7)).alias("m"))
+        return table(spark, sf_dir, "orders", [("o_orderkey",)]).select("o_orderkey", xs.alias("xs"), s.alias("s"), F.array(F.create_map(F.lit("n"), one)).alias("maps"))
+
+    found = diff.compare_values(round_trip(build(False), "nested_expected"), round_trip(build(True), "nested_actual"), "o_orderkey")
+    return found.groupBy("dimension", "path").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_MATRIX.format("('all', '3'), ('none', '0'), ('some', '2')"))
+def column_statistics(spark, sf_dir):
+    """For how many columns the files hold statistics."""
+    options = {"all": WriteOptions(), "none": WriteOptions(statistics=False), "some": WriteOptions(without_statistics=("l_returnflag",))}
+    return _matrix(spark, sf_dir, options, lambda facts: str(max(f.with_statistics // max(1, len(f.groups)) for f in facts)))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def roundtrip_arrow(spark, sf_dir):
+    """Arrow data, its dictionary and unsigned integers among them, written in two row groups."""
+    import pyarrow as pa
+
+    nation = table(spark, sf_dir, "nation").toArrow()  # 25 rows
+    coded = pa.table({"n_nationkey": nation["n_nationkey"].cast(pa.int64()), "n_name": nation["n_name"].cast(pa.string()).dictionary_encode(), "n_regionkey": nation["n_regionkey"].cast(pa.uint32())})
+    path = work_path(spark, "arrow")
+    with Writer(path, spark=spark) as writer:
+        writer.write_batch(coded.slice(0, 10))
+        writer.flush_row_group()
+        writer.write_batch(coded.slice(10))
+    return read(spark, path)
+
+
+@query("SELECT o_orderkey, o_orderkey::BIGINT AS key_again FROM orders")
+def roundtrip_nulls(spark, sf_dir):
+    """A column of nulls beside another."""
+    df = round_trip(table(spark, sf_dir, "orders", [("o_orderkey",)]).select("o_orderkey", F.lit(None).alias("nothing")), "nulls")
+    assert df.schema["nothing"].dataType == T.NullType()
+    return df.select("o_orderkey", F.when(F.col("nothing").isNull(), F.col("o_orderkey")).alias("key_again"))
+
+
+@query("SELECT json_extract(props, '$.k')::BIGINT AS k, count(*)::BIGINT AS n FROM events GROUP BY 1")
+def roundtrip_variant_shredded(spark, sf_dir):
+    """Variants that another writer has stored with a typed value beside them."""
+    path = work_path(spark, "shredded")
+    before = spark.conf.get("spark.sql.variant.writeShredding.enabled", None)
+    spark.conf.set("spark.sql.variant.writeShredding.enabled", "true")
+    try:
+        table(spark, sf_dir, "events").select(variant.from_json(F.col("props")).alias("v")).write.parquet(path)
+    finally:
+        spark.conf.unset("spark.sql.variant.writeShredding.enabled") if before is None else spark.conf.set("spark.sql.variant.writeShredding.enabled", before)
+    return read(spark, path).select(F.variant_get("v", "$.k", "bigint").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _rejections(cases: dict) -> list[tuple[str, str]]:
+    out = []
+    for name, run in cases.items():
+        try:
+            run()
+            out.append((name, ""))
+        except Exception as error:
+            out.append((name, type(translate(error)).__name__))
+    return out
+
+
+@query("""
+SELECT * FROM (VALUES ('good', ''), ('utf8', 'InvalidValueError'), ('width', 'InvalidValueError'), ('size', 'InvalidValueError'), ('time', 'InvalidValueError'), ('required', 'InvalidValueError'),
+('float key', 'InvalidValueError'), ('interval', 'UnsupportedTypeError'), ('other schema', 'InputSchemaMismatchError')) v(case_name, error)
+""")
+def write_rejections(spark, sf_dir):
+    """What write() says to orders of which some break a rule. Nothing is left of a table that it rejects."""
+    orders = table(spark, sf_dir, "orders", [("o_orderkey",)])
+    k = F.col("o_orderkey")
+    some = lambda good, bad: F.when(k % 50 == 0, bad).otherwise(good)
+    required = T.StructType([T.StructField("v", T.LongType(), False)])
+    cases = {
+        "good": (k.alias("v"), None),
+        "utf8": (some(F.lit("fine"), F.expr("cast(X'C328' as string)")).alias("v"), None),
+        "width": (some(F.lit(b"four"), F.lit(b"five!")).alias("v", metadata={"fixed_width": 4}), None),
+        "size": (some(F.array(F.lit(1), F.lit(2)), F.array(F.lit(1))).alias("v", metadata={"fixed_size": 2}), None),
+        "time": (some(F.lit(0), F.lit(86_400)).alias("v", metadata={"time_unit": "s"}), None),
+        "required": (some(k, F.lit(None)).alias("v"), required),
+        "float key": (F.create_map(F.lit(1.5), F.lit(1)).alias("v"), None),
+        "interval": (F.expr("interval '1' day").alias("v"), None),
+        "other schema": (k.cast("string").alias("v"), required),
+    }
+    run = {name: (lambda c=c, s=s, name=name: write(orders.select(c), work_path(spark, f"reject_{name.replace(' ', '_')}"), schema=s)) for name, (c, s) in cases.items()}
+    return spark.createDataFrame(_rejections(run), "case_name string, error string")
+
+
+@query("SELECT * FROM (VALUES ('repeated keys', 'CorruptFileError'), ('unknown column', 'InvalidFileError'), ('no table', 'InvalidFileError'), ('no engine', 'ReadEngineUnavailableError')) v(case_name, error)")
+def read_rejections(spark, sf_dir):
+    """What read() and its scan say to stored maps with repeated keys, unknown names, missing tables and engines."""
+    maps = _stored_maps(spark, sf_dir)
+    cases = {
+        "repeated keys": lambda: Reader(read(spark, maps)).load_next(),
+        "unknown column": lambda: read(spark, maps, [("M",)]),
+        "no table": lambda: read(spark, work_path(spark, "nothing")),
+        "no engine": lambda: read(spark, maps, options=ReadOptions(engine="HARDWOOD")),
+    }
+    return spark.createDataFrame(_rejections(cases), "case_name string, error string")

@@ -591,3 +591,57 @@ def test_rows_are_aligned_by_number_and_repeated_keys(spark):
     assert {r["k"] for r in missing.collect()} == {2}
     nulls = spark.createDataFrame([(None, 1), (3, 2)], "k int, v int")
     assert diff.compare(nulls, nulls, "k") == []
+
+
+def test_schema_hints(spark, tmp_path):
+    import base64
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from paraforge.sources import hints
+
+    schema = pa.schema([pa.field("t", pa.timestamp("us", "Europe/Paris"), metadata={"note": "local"}), pa.field("s", pa.large_string()), pa.field("xs", pa.list_(pa.int32()))])
+    assert hints.decode(hints.encode(schema)).equals(schema, check_metadata=True)
+    pq.write_table(pa.table({"t": pa.array([0], schema.field(0).type), "s": pa.array(["x"], pa.large_string()), "xs": pa.array([[1]], schema.field(2).type)}, schema=schema), tmp_path / "a.parquet")
+    back = hints.refined(read(spark, str(tmp_path / "a.parquet")), spark, str(tmp_path / "a.parquet"))
+    assert back.schema["t"].metadata == {"note": "local", "zone": "Europe/Paris"} and back.schema["s"].metadata == {"arrow": "large_string"} and not back.schema["xs"].metadata
+    assert back.first()["s"] == "x"
+    renamed = back.withColumnRenamed("t", "u").withMetadata("s", {"arrow": "own"})
+    assert hints.advice(renamed.schema, schema).keys() == {"s"} and hints.advice(back.drop("s").schema, schema) == {}
+    deep = pa.int32()
+    for _ in range(70):
+        deep = pa.list_(deep)
+    for bad in (pa.schema([("d", deep)]), pa.schema([(f"c{i}", pa.int8()) for i in range(10_001)])):
+        with pytest.raises(E.MetadataLimitError):
+            hints.encode(bad)
+        with pytest.raises(E.MetadataLimitError):
+            hints.decode(base64.b64encode(bad.serialize().to_pybytes()).decode())
+    with pytest.raises(E.MetadataLimitError):
+        hints.decode("A" * (hints.MAX_ENCODED + 4))
+    with pytest.raises(E.MetadataLimitError):
+        hints.decode(base64.b64encode(bytes(hints.MAX_DECODED + 3)).decode())
+    one = schema.serialize().to_pybytes()
+    for broken in ("no base64!", base64.b64encode(b"nothing").decode(), base64.b64encode(one + one).decode(), ""):
+        with pytest.raises(ValueError):
+            hints.decode(broken)
+    spark.range(1).write.parquet(str(tmp_path / "plain"))
+    assert hints.hint_of(spark, str(tmp_path / "plain")) is None
+
+
+def test_manifest_of_files(spark, tmp_path):
+    import hashlib
+
+    from paraforge.sources.manifest import check_manifest, file_manifest
+
+    spark.range(100).repartition(3).write.parquet(str(tmp_path / "t"))
+    made = file_manifest(spark, str(tmp_path / "t"))
+    expected = {(p.name, p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in (tmp_path / "t").glob("*.parquet")}
+    assert {(r["file"], r["bytes"], r["sha256"]) for r in made.collect()} == expected
+    kept = spark.createDataFrame(made.collect(), made.schema)
+    check_manifest(spark, str(tmp_path / "t"), kept)
+    for side in (tmp_path / "t").glob(".*.crc"):
+        side.unlink()
+    next((tmp_path / "t").glob("*.parquet")).write_bytes(b"changed")
+    with pytest.raises(E.InvalidFileError, match="part-"):
+        check_manifest(spark, str(tmp_path / "t"), kept)
