@@ -9,10 +9,11 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_budget, byte_texts, whole
+from .common import byte_budget, byte_texts, column, whole
 
 #: Pieces that a worker keeps with their ids; beyond it all go and are replayed when met again. It saves work, it decides nothing.
 KEPT_PIECES = 700_000
@@ -242,33 +243,158 @@ def decode(rows: DataFrame, ids: str = "ids", text: str = "decoded", path: str |
     return rows.mapInArrow(run, StructType([*rows.schema.fields]).add(text, BinaryType()))
 
 
+#: Segments of the corpus's pieces: at least so many, or more so that one has about so many bytes of text.
+SEGMENTS, SEGMENT_BYTES, MOST_SEGMENTS = 256, 8 << 20, 1 << 20
+#: Bytes of text that share a dictionary of pieces.
+BATCH = 4 << 20
+
+
+def segments_for(docs: DataFrame) -> int:
+    """The number of segments, a power of two, from Spark's own estimate of the rows' bytes: no pass over the texts."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(SEGMENTS, min(MOST_SEGMENTS, 1 << (size // SEGMENT_BYTES).bit_length())) if size < 1 << 52 else SEGMENTS
+
+
+def _planes(codes: np.ndarray, width: int) -> bytes:
+    """Codes with their bytes apart: the low ones of all first. Common pieces have small codes, so that the others are mostly zeros."""
+    return codes.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def _codes(planes: bytes, width: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(width, -1).T).view(f"<u{width}")[:, 0] if planes else np.zeros(0, np.uint32)
+
+
+def _binaries(parts: list[bytes]) -> pa.Array:
+    return pa.array(parts, pa.binary())
+
+
+#: What a batch of texts becomes. kind 0, a text: key, data (codes of its pieces), n (bytes of a code). kind 1, some of its
+#: dictionary: data (the pieces joined), more (their lengths and their codes), n (the segment).
+_ROW = "batch long, kind int, data binary, more binary, n int"
+
+
+def replayed_ids(docs: DataFrame, text: str, key: str, path: str | None, pattern: str | None, use, schema) -> DataFrame:
+    """use(keys, ids of each text as little-endian unsigned 32-bit integers) for batches of texts, whose results have the schema.
+
+    Texts are cut into pieces once. Each batch's distinct pieces go to the segments that their hashes name; a segment's task has the
+    pieces of the whole corpus there, replays the merges over all of them at once, so that each distinct piece of the corpus is
+    replayed once, and sends their ids back to the batches, where the texts wait as codes. Batches and segments have bounded bytes,
+    so neither a common piece nor a frequent text or source meets in one task. Nothing is written twice: both consumers read one shuffle."""
+    ranks, pattern, name = _shared(docs.sparkSession, path, pattern)
+    segments = segments_for(docs)
+    rows = docs.select(column(key).alias("key"), whole(column(text)).alias("__text"))
+    names = ["batch", "kind", "data", "more", "n", "key"]
+
+    def cut(batches):
+        import regex
+        import xxhash
+        from pyspark import TaskContext
+
+        split, at = regex.compile(pattern).findall, TaskContext.get().partitionId() << 32
+        for batch in byte_budget(batches, 1, BATCH):
+            own = [split(t.decode()) for t in byte_texts(batch.column(1))]
+            counts = [len(x) for x in own]
+            coded = pa.array([p for x in own for p in x], pa.string()).dictionary_encode()
+            pieces = [p.encode() for p in coded.dictionary.to_pylist()]
+            indices = coded.indices.to_numpy()
+            often = np.argsort(-np.bincount(indices, minlength=len(pieces)), kind="stable")
+            rank = np.empty(len(pieces), np.int64)
+            rank[often] = np.arange(len(pieces))
+            width = 2 if len(pieces) <= 1 << 16 else 4
+            codes = rank[indices]
+            ends = np.cumsum(counts).tolist()
+            texts = [_planes(codes[a:b], width) for a, b in zip([0, *ends], ends)]
+            n = len(texts)
+            yield pa.RecordBatch.from_arrays([pa.array([at] * n, pa.int64()), pa.array([0] * n, pa.int32()), _binaries(texts), pa.nulls(n, pa.binary()), pa.array([width] * n, pa.int32()), batch.column(0)], names)
+            segment = (np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), np.uint64, len(pieces)) % np.uint64(segments)).astype(np.int64)
+            order = np.argsort(segment, kind="stable")
+            edges = np.flatnonzero(np.diff(segment[order], prepend=-1)).tolist() if len(order) else []
+            joined, more, own_segments = [], [], []
+            for a, b in zip(edges, [*edges[1:], len(order)]):
+                these = order[a:b].tolist()
+                joined.append(b"".join([pieces[i] for i in these]))
+                more.append(np.array([len(pieces[i]) for i in these], "<u4").tobytes() + rank[these].astype("<u4").tobytes())
+                own_segments.append(int(segment[these[0]]))
+            n = len(joined)
+            yield pa.RecordBatch.from_arrays([pa.array([at] * n, pa.int64()), pa.array([1] * n, pa.int32()), _binaries(joined), _binaries(more), pa.array(own_segments, pa.int32()), pa.nulls(n, batch.schema.field(0).type)], names)
+            at += 1
+
+    def dictionaries(batches):
+        for batch in batches:
+            yield batch.filter(pc.equal(batch.column(1), 1)).select(["batch", "n", "data", "more"])
+
+    def replay(batches):
+        engine = Coder.of(ranks.value, pattern, name).replay
+
+        def done(segment, held):
+            index: dict[bytes, int] = {}
+            places = []
+            for _, data, more in held:
+                lengths = np.frombuffer(more, "<u4")
+                ends = np.cumsum(lengths[: len(lengths) // 2]).tolist()
+                places.append([index.setdefault(data[a:b], len(index)) for a, b in zip([0, *ends], ends)])
+            found = [array("I", x).tobytes() for x in engine.encode(list(index))]
+            ids = [b"".join([found[i] for i in own]) for own in places]
+            sizes = [np.array([len(found[i]) // 4 for i in own], "<u4").tobytes() + more[len(more) // 2 :] for own, (_, _, more) in zip(places, held, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), _binaries(ids), _binaries(sizes)], ["batch", "ids", "more"])
+
+        current, held = None, []
+        for batch in batches:
+            for at, segment, data, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and segment != current:
+                    yield done(current, held)
+                    held = []
+                current = segment
+                held.append((at, data, more))
+        if held:
+            yield done(current, held)
+
+    def assembled(texts, found):
+        here = texts.filter(pc.equal(texts.column("kind"), 0))
+        both = [np.frombuffer(x, "<u4") for x in found.column("more").to_pylist()]
+        sizes, at = (np.concatenate(x) if x else np.zeros(0, np.uint32) for x in ([x[: len(x) // 2] for x in both], [x[len(x) // 2 :] for x in both]))
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        size_of, start_of = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        size_of[at], start_of[at] = sizes, starts
+        table = np.frombuffer(b"".join(found.column("ids").to_pylist()), "<u4")
+        own = [_codes(x, w) for x, w in zip(here.column("data").to_pylist(), here.column("n").to_pylist(), strict=True)]
+        codes = np.concatenate(own) if own else np.zeros(0, np.int64)
+        size = size_of[codes]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flat = table[np.arange(ends[-1]) + np.repeat(start_of[codes] - ends[:-1], size)]
+        stops = ends[np.cumsum([0, *map(len, own)])].tolist()
+        return use(here.column("key"), [flat[a:b] for a, b in zip(stops, stops[1:])])
+
+    from pyspark.sql.types import StructType
+
+    dealt = rows.mapInArrow(cut, StructType([*StructType.fromDDL(_ROW).fields, rows.schema["key"]])).repartition("batch")
+    ids = dealt.mapInArrow(dictionaries, "batch long, n int, data binary, more binary").repartition("n").sortWithinPartitions("n").mapInArrow(replay, "batch long, ids binary, more binary")
+    return dealt.groupBy("batch").cogroup(ids.groupBy("batch")).applyInArrow(assembled, schema)
+
+
 def round_trip(docs: DataFrame, text: str = "text", key: str = "doc_id", keep_ids: bool = False, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """For each row: key, n_tokens, ids_sha256 (of the decimal ids joined by one space), decoded_sha256, from one pass
-    that encodes the text and decodes the ids again; with keep_ids also the ids, array<int>.
+    """For each row: key, n_tokens, ids_sha256 (of the decimal ids joined by one space), decoded_sha256, of the ids that the
+    corpus-level replay gives the text and of what they decode to; with keep_ids also the ids, array<int>.
 
-    A null or empty text has no tokens and the digests of the empty string; repeated rows each get a row; an empty
-    table gives an empty one. There is no shuffle, and a worker holds some MB of text at a time and a bounded table
-    of pieces, so neither a common piece nor a frequent text costs more than its length."""
+    A null or empty text has no tokens and the digests of the empty string; a null key stays null; repeated rows and ties each get a row; an
+    empty table gives an empty one; other columns are not looked at."""
     ranks, pattern, name = _shared(docs.sparkSession, path, pattern)
-    rows = docs.select(F.col(key).alias(key), whole(F.col(text)).alias("__text"))
 
-    def run(batches):
+    def use(keys, encoded):
         coder = Coder.of(ranks.value, pattern, name)
         digits = coder.replay.texts
-        for batch in byte_budget(batches, 1):
-            n, first, second = [], [], []
-            encoded = coder.encode([t.decode() for t in byte_texts(batch.column(1))])
-            for found in encoded:
-                ids = found.tolist()
-                n.append(len(ids))
-                first.append(hashlib.sha256(" ".join([digits[i] for i in ids]).encode()).hexdigest())
-                second.append(hashlib.sha256(coder.decode(ids)).hexdigest())
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(first), pa.array(second), *[_lists(encoded)] * keep_ids]
-            yield pa.RecordBatch.from_arrays(columns, [key, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids])
-
-    from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
-
-    schema = StructType([rows.schema[key]]).add("n_tokens", LongType()).add("ids_sha256", StringType()).add("decoded_sha256", StringType())
+        n, first, second = [], [], []
+        for found in encoded:
+            ids = found.tolist()
+            n.append(len(ids))
+            first.append(hashlib.sha256(" ".join([digits[i] for i in ids]).encode()).hexdigest())
+            second.append(hashlib.sha256(coder.decode(ids)).hexdigest())
+        columns = [keys, pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string()), *[_lists(encoded)] * keep_ids]
+        return pa.table(columns, [key, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids])
+
+    from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+
+    schema = StructType([StructField(key, docs.schema[key].dataType)]).add("n_tokens", LongType()).add("ids_sha256", StringType()).add("decoded_sha256", StringType())
     if keep_ids:
         schema = schema.add("ids", ArrayType(IntegerType()))
-    return rows.mapInArrow(run, schema)
+    return replayed_ids(docs, text, key, path, pattern, use, schema)
