@@ -20,6 +20,8 @@ from .common import Workspace, byte_budget, byte_texts, sized_join, whole
 END = 1
 #: Words that a worker keeps with their ids; beyond it all go. It saves work, it decides nothing.
 KEPT_WORDS = 800_000
+#: About how many bytes of text are encoded at a time.
+BATCH = 12 << 20
 #: The steps of the tokenizer whose words can be encoded one by one. Any other tokenizer gets whole texts.
 WORDWISE = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -54,11 +56,11 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_str(definition)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = np.dtype("<u2") if self.width == 2 else np.dtype("<u4")
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
         steps = json.loads(definition)
         self.plain = all(steps.get(k) == v for k, v in WORDWISE.items()) and steps["model"].get("type") == "BPE" and not steps["model"].get("dropout")
         #: What an added token begins with; a text that has one is not cut into words.
-        self.openings = tuple({x["content"][:2].encode() for x in steps.get("added_tokens") or ()})
+        self.openings = tuple({x["content"][:2] for x in steps.get("added_tokens") or ()})
         #: The characters that stand for bytes in a byte-level model: printable ones for themselves, the others in order from 256.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in printable]
@@ -75,55 +77,71 @@ class WordTokenizer:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype=self.kind).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _new(self, words: list[bytes]) -> list[bytes]:
+    def _new(self, words: list[str]) -> list[bytes]:
         """The ids of words in lower case."""
-        tails = dict(zip((b",", b"."), self._ids([",", "."]), strict=True))
-        tokenize, code = self.tokenizer.model.tokenize, "H" if self.width == 2 else "I"
+        tails = dict(zip((",", "."), self._ids([",", "."]), strict=True))
+        tokenize, code, known = self.tokenizer.model.tokenize, "H" if self.width == 2 else "I", self.known
         out: list[bytes] = [b""] * len(words)
         rest = []
         for i, word in enumerate(words):
-            tail = tails.get(word[-1:], b"")
-            if tail and word[-2:-1].isalnum() and (before := self.known.get(word[:-1])):
-                out[i] = before + tail
-                continue
-            core = (word[:-1] if tail else word).decode()
-            if core.isalpha() and core == core.lower() and max(core) < "\u0250":
-                form = core if core.isascii() else core.encode().decode("latin-1").translate(self.byte_chars)
-                out[i] = array(code, [x.id for x in tokenize(form)]).tobytes() + tail
-            else:
-                rest.append(i)
-        for i, ids in zip(rest, self._ids([words[i].decode() for i in rest]), strict=True):
+            core, tail = word, b""
+            if word[-1] in tails:
+                core, tail = word[:-1], tails[word[-1]]
+                if core[-1:].isalnum() and (before := known.get(core)):
+                    out[i] = before + tail
+                    continue
+            if core.isalpha():
+                if core.isascii():
+                    out[i] = array(code, [x.id for x in tokenize(core)]).tobytes() + tail
+                    continue
+                if max(core) < "\u0250" and core == core.lower():
+                    out[i] = array(code, [x.id for x in tokenize(core.encode().decode("latin-1").translate(self.byte_chars))]).tobytes() + tail
+                    continue
+            rest.append(i)
+        for i, ids in zip(rest, self._ids([words[i] for i in rest]), strict=True):
             out[i] = ids
         return out
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def encode(self, texts: list[bytes] | pa.Array) -> list[bytes]:
         """The ids of each text as little-endian integers of `width` bytes, with the end id after them.
 
         All words of the texts are put into a dictionary first, so that a word is looked up once for many places."""
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
         known, end = self.known, np.array([END], dtype=self.kind).tobytes()
+        #: A slice is copied first: Arrow's casts to larger offsets misread slices.
+        column = pa.array(texts, pa.large_binary()).cast(pa.large_string()) if isinstance(texts, list) else pa.concat_arrays([texts]).cast(pa.large_string())
+        column = column.fill_null("")
         if not self.plain:
-            return [x + end for x in self._ids([t.decode() for t in texts])]
-        whole_texts = {i: self._ids([t.decode()])[0] + end for i, t in enumerate(texts) if any(x in t for x in self.openings)}
-        column = pa.array([b"" if i in whole_texts else t for i, t in enumerate(texts)], pa.large_binary()).cast(pa.large_string())
+            return [x + end for x in self._ids(column.to_pylist())]
+        apart = np.zeros(len(column), bool)
+        for x in self.openings:
+            apart |= pc.match_substring(column, x).to_numpy(zero_copy_only=False)
+        whole_texts = dict(zip(np.flatnonzero(apart).tolist(), [x + end for x in self._ids(column.filter(pa.array(apart)).to_pylist())], strict=True)) if apart.any() else {}
+        if whole_texts:
+            column = pc.if_else(pa.array(apart), "", column)
         lists = pc.ascii_split_whitespace(pc.ascii_lower(column))  # exactly the ASCII separators and A-Z
-        owner = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
         encoded = lists.flatten().dictionary_encode()
         codes = encoded.indices.to_numpy()
-        words = [w.encode() for w in encoded.dictionary.to_pylist()]
-        known[b""] = b""
-        new = [w for w in words if w not in known]
-        known.update(zip(new, self._new(new), strict=True))
-        ids = [known[w] for w in words]
-        sizes = np.array([len(x) // self.width for x in ids], dtype=np.int64)
+        words = encoded.dictionary.to_pylist()
+        known[""] = b""
+        ids = list(map(known.get, words))
+        if None in ids:
+            at = [i for i, x in enumerate(ids) if x is None]
+            new = [words[i] for i in at]
+            found = self._new(new)
+            known.update(zip(new, found, strict=True))
+            for i, x in zip(at, found, strict=True):
+                ids[i] = x
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
         starts = np.cumsum(sizes) - sizes
         table = np.frombuffer(b"".join(ids), dtype=self.kind)
-        size, start = sizes[codes], starts[codes]
-        place = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
-        flat = table[place].tobytes()
-        stops = (np.cumsum(np.bincount(owner, weights=size, minlength=len(texts)).astype(np.int64)) * self.width).tolist()
-        return [whole_texts.get(i) or flat[x:y] + end for i, (x, y) in enumerate(zip([0, *stops], stops))]
+        size = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        kind = np.int32 if max(len(table), ends[-1]) < 1 << 31 else np.int64
+        flat = table[np.arange(ends[-1], dtype=kind) + np.repeat((starts[codes] - ends[:-1]).astype(kind), size)].tobytes()
+        stops = (ends[lists.offsets.to_numpy()] * self.width).tolist()
+        return [whole_texts.get(i) or flat[x:y] + end for i, (x, y) in enumerate(zip(stops, stops[1:]))]
 
 
 def cutting(width: int) -> store.Cutting:
@@ -150,8 +168,8 @@ def write_tokens(docs: DataFrame, ws: Workspace, text: str = "text", key: str =
 
     def encoded(batches):
         coder = WordTokenizer.of(shared_definition.value, name)
-        for batch in byte_budget(batches, 1):
-            ids = coder.encode(byte_texts(batch.column(1)))
+        for batch in byte_budget(batches, 1, BATCH):
+            ids = coder.encode(batch.column(1))
             chunks = store.chunked(ids, how)
             recipes = [b"".join(map(store.digest, own)) for own in chunks]
             lengths = pa.array([[len(c) for c in own] for own in chunks], pa.list_(pa.int32()))
@@ -168,10 +186,19 @@ def write_tokens(docs: DataFrame, ws: Workspace, text: str = "text", key: str =
     def packed(batches):
         bits = np.frombuffer(mask.value, dtype=np.uint8)
         start, place, part, tree = 0, 0, None, store.MerkleTree()
-        names = ["key", "doc_id", "part", "place", "local_start", "n_tokens", "tree", *store.PACK_NAMES]
+        names = ["key", "doc_id", "part", "place", "local_start", "n_tokens", "tree", *store.PACK_NAMES, "s1", "s2", "chunk"]
+        kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), *store.PACK_KINDS, pa.int64(), pa.int64(), pa.binary()]
+
+        def rows(**columns):
+            n = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([columns[x] if x in columns else pa.nulls(n, kind) for x, kind in zip(names, kinds, strict=True)], names)
+
         for batch in byte_budget(batches, 1):
-            ids = byte_texts(batch.column(1))
-            found = store.pack(ids, byte_texts(batch.column(3)), batch.column(4).to_pylist(), bits)
+            ids, recipes, lengths = byte_texts(batch.column(1)), byte_texts(batch.column(3)), batch.column(4).to_pylist()
+            found = store.pack(ids, recipes, lengths, bits)
+            d1, d2, chunk = store.shared_batch(ids, recipes, lengths, bits).columns
+            if len(chunk):
+                yield rows(s1=d1, s2=d2, chunk=chunk)
             n = np.array([len(x) // how.width for x in ids], dtype=np.int64)
             starts = start + np.cumsum(n) - n
             start += int(n.sum())
@@ -180,28 +207,24 @@ def write_tokens(docs: DataFrame, ws: Workspace, text: str = "text", key: str =
             for i, m, row in zip(docs, n.tolist(), found, strict=True):
                 tree.add(leaf(i, m, row[-1]))
             keys = [hashlib.blake2b(repr(i).encode() + x, digest_size=16).digest() for i, x in zip(docs, ids, strict=True)]
-            own = [pa.array(keys, pa.binary()), batch.column(0), batch.column(2), pa.array(np.arange(place, place + len(ids))), pa.array(starts), pa.array(n), pa.nulls(len(ids), pa.binary())]
+            own = {"key": pa.array(keys, pa.binary()), "doc_id": batch.column(0), "part": batch.column(2), "place": pa.array(np.arange(place, place + len(ids))), "local_start": pa.array(starts), "n_tokens": pa.array(n)}
             place += len(ids)
-            yield pa.RecordBatch.from_arrays([*own, *store.pack_columns(found)], names)
+            yield rows(**own, **dict(zip(store.PACK_NAMES, store.pack_columns(found), strict=True)))
         if place:  # the part's row of the manifest: the number of its documents and ids, and its root
-            last = [pa.array([x], kind) for x, kind in ((b"", pa.binary()), (None, pa.int64()), (part, pa.int32()), (place, pa.int64()), (start, pa.int64()), (0, pa.int64()), (tree.root(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([*last, *[pa.nulls(1, kind) for kind in store.PACK_KINDS]], names)
-
-    def shared(batches):
-        bits = np.frombuffer(mask.value, dtype=np.uint8)
-        for batch in byte_budget(batches, 0):
-            yield store.shared_batch(byte_texts(batch.column(0)), byte_texts(batch.column(1)), batch.column(2).to_pylist(), bits)
+            yield rows(part=pa.array([part], pa.int32()), place=pa.array([place]), local_start=pa.array([start]), tree=pa.array([tree.root()], pa.binary()))
 
     rank = ["doc_id", F.xxhash64("ids"), "row"]
     ordered = staged.repartitionByRange(*rank).sortWithinPartitions(*rank).select("doc_id", "ids", F.spark_partition_id().alias("part"), "recipe", "lengths")
-    schema = f"key binary, doc_id long, part int, place long, local_start long, n_tokens long, tree binary, {store.PACK}"
-    written, chunks = store.save_store(ws, ordered.mapInArrow(packed, schema), staged.select("ids", "recipe", "lengths").mapInArrow(shared, store.SHARED))
+    #: Rows of three kinds: a document, a chunk that may be shared, and a part's facts.
+    schema = f"key binary, doc_id long, part int, place long, local_start long, n_tokens long, tree binary, {store.PACK}, s1 long, s2 long, chunk binary"
+    written = ws.save(ordered.mapInArrow(packed, schema), "packs")
     ws.drop("staged")
+    chunks = ws.save(store.unique_chunks(written.where("chunk IS NOT NULL").select(F.col("s1").alias("d1"), F.col("s2").alias("d2"), "chunk")), "chunks")
     #: A row for each part that was written; the window runs over these.
     parts = written.where("tree IS NOT NULL").select("part", F.col("place").alias("docs"), F.col("local_start").alias("n"), F.col("tree").alias("root"))
     before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     manifest = ws.save(parts.select("part", before.alias("before"), "docs", "n", "root", F.lit(how.width).alias("width")), "manifest")
-    return written.where("tree IS NULL").drop("tree"), chunks, manifest
+    return written.where("root IS NOT NULL").drop("tree", "s1", "s2", "chunk"), chunks, manifest
 
 
 def leaf(key: int | None, n: int, root: bytes) -> bytes:
