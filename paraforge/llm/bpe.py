@@ -245,8 +245,8 @@ def decode(rows: DataFrame, ids: str = "ids", text: str = "decoded", path: str |
 
 #: Segments of the corpus's pieces: at least so many, or more so that one has about so many bytes of text.
 SEGMENTS, SEGMENT_BYTES, MOST_SEGMENTS = 256, 8 << 20, 1 << 20
-#: Bytes of text that share a dictionary of pieces.
-BATCH = 4 << 20
+#: Bytes of text that share a dictionary of pieces, and of those that are cut into pieces at a time.
+BATCH, CHUNK = 12 << 20, 2 << 20
 
 
 def segments_for(docs: DataFrame) -> int:
@@ -255,22 +255,23 @@ def segments_for(docs: DataFrame) -> int:
     return max(SEGMENTS, min(MOST_SEGMENTS, 1 << (size // SEGMENT_BYTES).bit_length())) if size < 1 << 52 else SEGMENTS
 
 
-def _planes(codes: np.ndarray, width: int) -> bytes:
-    """Codes with their bytes apart: the low ones of all first. Common pieces have small codes, so that the others are mostly zeros."""
-    return codes.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+def packed(values: np.ndarray) -> bytes:
+    """Unsigned integers, compressed with their bytes apart: the low ones of all first. Small ones have mostly zeros in the others."""
+    import zstandard
 
+    return zstandard.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
 
-def _codes(planes: bytes, width: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(width, -1).T).view(f"<u{width}")[:, 0] if planes else np.zeros(0, np.uint32)
 
+def unpacked(data: bytes) -> np.ndarray:
+    import zstandard
 
-def _binaries(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, pa.binary())
+    planes = zstandard.decompress(data)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4")[:, 0] if planes else np.zeros(0, np.uint32)
 
 
-#: What a batch of texts becomes. kind 0, a text: key, data (codes of its pieces), n (bytes of a code). kind 1, some of its
-#: dictionary: data (the pieces joined), more (their lengths and their codes), n (the segment).
-_ROW = "batch long, kind int, data binary, more binary, n int"
+#: What a batch of texts becomes. kind 0, a text: data (the codes of its pieces). kind 1, some of its dictionary: n (the
+#: segment), data (the pieces joined), more (their lengths), codes (how much each one's code is above that of the one before).
+_ROW = "batch long, kind int, n int, data binary, more binary, codes binary"
 
 
 def replayed_ids(docs: DataFrame, text: str, key: str, path: str | None, pattern: str | None, use, schema) -> DataFrame:
@@ -283,40 +284,44 @@ def replayed_ids(docs: DataFrame, text: str, key: str, path: str | None, pattern
     ranks, pattern, name = _shared(docs.sparkSession, path, pattern)
     segments = segments_for(docs)
     rows = docs.select(column(key).alias("key"), whole(column(text)).alias("__text"))
-    names = ["batch", "kind", "data", "more", "n", "key"]
+    names = ["batch", "kind", "n", "data", "more", "codes", "key"]
 
     def cut(batches):
         import regex
         import xxhash
+        import zstandard
         from pyspark import TaskContext
 
         split, at = regex.compile(pattern).findall, TaskContext.get().partitionId() << 32
         for batch in byte_budget(batches, 1, BATCH):
-            own = [split(t.decode()) for t in byte_texts(batch.column(1))]
-            counts = [len(x) for x in own]
-            coded = pa.array([p for x in own for p in x], pa.string()).dictionary_encode()
-            pieces = [p.encode() for p in coded.dictionary.to_pylist()]
-            indices = coded.indices.to_numpy()
+            counts, parts = [], []
+            for part in byte_budget([batch], 1, CHUNK):
+                own = [split(t.decode()) for t in byte_texts(part.column(1))]
+                counts += map(len, own)
+                parts.append(pa.array([p for x in own for p in x], pa.string()).dictionary_encode())
+            coded = pa.chunked_array(parts).unify_dictionaries()
+            pieces = [p.encode() for p in coded.chunk(0).dictionary.to_pylist()]
+            indices = np.concatenate([c.indices.to_numpy() for c in coded.chunks])
             often = np.argsort(-np.bincount(indices, minlength=len(pieces)), kind="stable")
             rank = np.empty(len(pieces), np.int64)
             rank[often] = np.arange(len(pieces))
-            width = 2 if len(pieces) <= 1 << 16 else 4
             codes = rank[indices]
             ends = np.cumsum(counts).tolist()
-            texts = [_planes(codes[a:b], width) for a, b in zip([0, *ends], ends)]
+            texts = [packed(codes[a:b]) for a, b in zip([0, *ends], ends)]
             n = len(texts)
-            yield pa.RecordBatch.from_arrays([pa.array([at] * n, pa.int64()), pa.array([0] * n, pa.int32()), _binaries(texts), pa.nulls(n, pa.binary()), pa.array([width] * n, pa.int32()), batch.column(0)], names)
+            none = pa.nulls(n, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([at] * n, pa.int64()), pa.array([0] * n, pa.int32()), pa.nulls(n, pa.int32()), pa.array(texts, pa.binary()), none, none, batch.column(0)], names)
             segment = (np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), np.uint64, len(pieces)) % np.uint64(segments)).astype(np.int64)
-            order = np.argsort(segment, kind="stable")
-            edges = np.flatnonzero(np.diff(segment[order], prepend=-1)).tolist() if len(order) else []
-            joined, more, own_segments = [], [], []
+            order = np.lexsort((rank, segment))
+            edges = np.flatnonzero(np.diff(segment[order], prepend=-1)).tolist()
+            out: list[list] = [[], [], [], []]
             for a, b in zip(edges, [*edges[1:], len(order)]):
                 these = order[a:b].tolist()
-                joined.append(b"".join([pieces[i] for i in these]))
-                more.append(np.array([len(pieces[i]) for i in these], "<u4").tobytes() + rank[these].astype("<u4").tobytes())
-                own_segments.append(int(segment[these[0]]))
-            n = len(joined)
-            yield pa.RecordBatch.from_arrays([pa.array([at] * n, pa.int64()), pa.array([1] * n, pa.int32()), _binaries(joined), _binaries(more), pa.array(own_segments, pa.int32()), pa.nulls(n, batch.schema.field(0).type)], names)
+                own = [pieces[i] for i in these]
+                for x, y in zip(out, (int(segment[these[0]]), zstandard.compress(b"".join(own), 3), packed(np.fromiter(map(len, own), np.int64, len(own))), packed(np.diff(rank[these], prepend=0))), strict=True):
+                    x.append(y)
+            n = len(edges)
+            yield pa.RecordBatch.from_arrays([pa.array([at] * n, pa.int64()), pa.array([1] * n, pa.int32()), pa.array(out[0], pa.int32()), *[pa.array(x, pa.binary()) for x in out[1:]], pa.nulls(n, batch.schema.field(0).type)], names)
             at += 1
 
     def dictionaries(batches):
@@ -324,19 +329,20 @@ def replayed_ids(docs: DataFrame, text: str, key: str, path: str | None, pattern
             yield batch.filter(pc.equal(batch.column(1), 1)).select(["batch", "n", "data", "more"])
 
     def replay(batches):
+        import zstandard
+
         engine = Coder.of(ranks.value, pattern, name).replay
 
         def done(segment, held):
             index: dict[bytes, int] = {}
             places = []
             for _, data, more in held:
-                lengths = np.frombuffer(more, "<u4")
-                ends = np.cumsum(lengths[: len(lengths) // 2]).tolist()
+                data, ends = zstandard.decompress(data), np.cumsum(unpacked(more)).tolist()
                 places.append([index.setdefault(data[a:b], len(index)) for a, b in zip([0, *ends], ends)])
-            found = [array("I", x).tobytes() for x in engine.encode(list(index))]
-            ids = [b"".join([found[i] for i in own]) for own in places]
-            sizes = [np.array([len(found[i]) // 4 for i in own], "<u4").tobytes() + more[len(more) // 2 :] for own, (_, _, more) in zip(places, held, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), _binaries(ids), _binaries(sizes)], ["batch", "ids", "more"])
+            found = engine.encode(list(index))
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            ids = [packed(np.fromiter((i for p in own for i in found[p]), np.int64)) for own in places]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([segment] * len(held), pa.int32()), pa.array(ids, pa.binary()), pa.array([packed(sizes[own]) for own in places], pa.binary())], ["batch", "n", "ids", "sizes"])
 
         current, held = None, []
         for batch in batches:
@@ -349,26 +355,29 @@ def replayed_ids(docs: DataFrame, text: str, key: str, path: str | None, pattern
         if held:
             yield done(current, held)
 
-    def assembled(texts, found):
-        here = texts.filter(pc.equal(texts.column("kind"), 0))
-        both = [np.frombuffer(x, "<u4") for x in found.column("more").to_pylist()]
-        sizes, at = (np.concatenate(x) if x else np.zeros(0, np.uint32) for x in ([x[: len(x) // 2] for x in both], [x[len(x) // 2 :] for x in both]))
-        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+    def assembled(rows, found):
+        is_text = pc.equal(rows.column("kind"), 0)
+        here, own = rows.filter(is_text), rows.filter(pc.invert(is_text)).sort_by("n")
+        found = found.sort_by("n")
+        if own.column("n").to_pylist() != found.column("n").to_pylist():
+            raise ValueError("the ids of some pieces of a batch did not come back")
+        joined = lambda table, name, each=lambda x: x: np.concatenate([np.zeros(0, np.int64), *[each(unpacked(x).astype(np.int64)) for x in table.column(name).to_pylist()]])
+        codes, sizes = joined(own, "codes", np.cumsum), joined(found, "sizes")
+        table = joined(found, "ids").astype("<u4")
         size_of, start_of = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-        size_of[at], start_of[at] = sizes, starts
-        table = np.frombuffer(b"".join(found.column("ids").to_pylist()), "<u4")
-        own = [_codes(x, w) for x, w in zip(here.column("data").to_pylist(), here.column("n").to_pylist(), strict=True)]
-        codes = np.concatenate(own) if own else np.zeros(0, np.int64)
-        size = size_of[codes]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        flat = table[np.arange(ends[-1]) + np.repeat(start_of[codes] - ends[:-1], size)]
-        stops = ends[np.cumsum([0, *map(len, own)])].tolist()
-        return use(here.column("key"), [flat[a:b] for a, b in zip(stops, stops[1:])])
+        size_of[codes], start_of[codes] = sizes, np.cumsum(sizes) - sizes
+        ids = []
+        for data in here.column("data").to_pylist():
+            own_codes = unpacked(data)
+            size = size_of[own_codes]
+            ends = np.cumsum(size)
+            ids.append(table[np.arange(int(size.sum())) + np.repeat(start_of[own_codes] - (ends - size), size)])
+        return use(here.column("key"), ids)
 
     from pyspark.sql.types import StructType
 
     dealt = rows.mapInArrow(cut, StructType([*StructType.fromDDL(_ROW).fields, rows.schema["key"]])).repartition("batch")
-    ids = dealt.mapInArrow(dictionaries, "batch long, n int, data binary, more binary").repartition("n").sortWithinPartitions("n").mapInArrow(replay, "batch long, ids binary, more binary")
+    ids = dealt.mapInArrow(dictionaries, "batch long, n int, data binary, more binary").repartition("n").sortWithinPartitions("n").mapInArrow(replay, "batch long, n int, ids binary, sizes binary")
     return dealt.groupBy("batch").cogroup(ids.groupBy("batch")).applyInArrow(assembled, schema)
 
 
