@@ -8,16 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .errors import translate
+from .errors import UnsupportedTypeError, translate
 from .functions import conversions as C
 from .functions.levels import is_fault, list_levels, nested_levels
 from .operators import dictionary, diff, variant
 from .operators.batches import bounded_batches, with_batch_number
 from .operators.validate import count_violations
 from .sources import Reader, ReadOptions, WriteOptions, file_facts, read, write
+from .sources.footer import part_files, read_footer, stored_schema
 from .sources.reader import refine
-from .sources.writer import Writer
-from .types import schema_differences, stored_columns
+from .sources.writer import Writer, decoded_table
+from .types import arrow_primitive, schema_differences, stored_columns
 from .workspace import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -150,11 +151,13 @@ def fixed_list(spark, sf_dir):
     return df.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("embedding")).alias("slots"), F.count(F.when(~C.fixed_list_ok(F.col("embedding"), 64), 1)).alias("violations"))
 
 
-@query("SELECT l_orderkey, count(*)::BIGINT AS n, sum(l_linenumber)::BIGINT AS numbers FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey, count(*)::BIGINT AS n, sum(i * l_partkey)::BIGINT AS in_order FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC) AS i FROM lineitem) GROUP BY 1")
 def roundtrip_map(spark, sf_dir):
-    entries = F.transform("lines", lambda x, i: F.struct(i.alias("key"), x["l_linenumber"].alias("value")))
+    """Maps whose keys descend: the entries come back in their order, which the sum of place times value tells."""
+    entries = F.transform(F.reverse("lines"), lambda x, i: F.struct((100 - i).alias("key"), x["l_partkey"].alias("value")))
     df = round_trip(_lists(spark, sf_dir).select("l_orderkey", F.map_from_entries(entries).alias("lines")), "map")
-    return df.select("l_orderkey", F.size("lines").cast("long").alias("n"), F.aggregate(F.map_values("lines"), F.lit(0).cast("long"), lambda a, x: a + x).alias("numbers"))
+    placed = F.transform(F.map_values("lines"), lambda x, i: x * (i + 1))
+    return df.select("l_orderkey", F.size("lines").cast("long").alias("n"), F.aggregate(placed, F.lit(0).cast("long"), lambda a, x: a + x).alias("in_order"))
 
 
 def _stored_maps(spark, sf_dir) -> str:
@@ -593,3 +596,79 @@ def read_rejections(spark, sf_dir):
         "no engine": lambda: read(spark, maps, options=ReadOptions(engine="HARDWOOD")),
     }
     return spark.createDataFrame(_rejections(cases), "case_name string, error string")
+
+
+#: Arrow types with what the contract stores for them; rejected ones have no physical type.
+_ARROW = """
+('null', 'INT32', 'UNKNOWN'), ('bool', 'BOOLEAN', ''), ('int8', 'INT32', 'INT(8,true)'), ('uint8', 'INT32', 'INT(8,false)'), ('int16', 'INT32', 'INT(16,true)'), ('uint16', 'INT32', 'INT(16,false)'),
+('int32', 'INT32', 'INT(32,true)'), ('uint32', 'INT32', 'INT(32,false)'), ('int64', 'INT64', 'INT(64,true)'), ('uint64', 'INT64', 'INT(64,false)'), ('float', 'FLOAT', ''), ('double', 'DOUBLE', ''), ('halffloat', '', ''),
+('string', 'BINARY', 'STRING'), ('large_string', 'BINARY', 'STRING'), ('string_view', 'BINARY', 'STRING'), ('binary', 'BINARY', ''), ('large_binary', 'BINARY', ''), ('binary_view', 'BINARY', ''), ('fixed_size_binary[4]', 'FIXED(4)', ''),
+('decimal128(9, 2)', 'INT32', 'DECIMAL(9,2)'), ('decimal128(18, 0)', 'INT64', 'DECIMAL(18,0)'), ('decimal128(38, 2)', 'FIXED(16)', 'DECIMAL(38,2)'), ('decimal256(76, 3)', 'FIXED(32)', 'DECIMAL(76,3)'), ('date32[day]', 'INT32', 'DATE'), ('date64[ms]', 'INT32', 'DATE'),
+('time32[s]', 'INT32', 'TIME(MILLIS,true)'), ('time32[ms]', 'INT32', 'TIME(MILLIS,true)'), ('time64[us]', 'INT64', 'TIME(MICROS,true)'), ('time64[ns]', 'INT64', 'TIME(NANOS,true)'), ('timestamp[s]', 'INT64', 'TIMESTAMP(MILLIS,false)'),
+('timestamp[ms]', 'INT64', 'TIMESTAMP(MILLIS,false)'), ('timestamp[us, tz=UTC]', 'INT64', 'TIMESTAMP(MICROS,true)'), ('timestamp[ns, tz=UTC]', 'INT64', 'TIMESTAMP(NANOS,true)'), ('duration[ns]', 'INT64', ''), ('month_day_nano_interval', '', '')
+"""
+
+
+@query(f"SELECT * FROM (VALUES {_ARROW}) v(arrow, physical, annotation)")
+def arrow_type_contract(spark, sf_dir):
+    """How every Arrow type without children is stored, or that it is rejected."""
+    import pyarrow as pa
+
+    kinds = [
+        pa.null(), pa.bool_(), pa.int8(), pa.uint8(), pa.int16(), pa.uint16(), pa.int32(), pa.uint32(), pa.int64(), pa.uint64(), pa.float32(), pa.float64(), pa.float16(), pa.string(), pa.large_string(), pa.string_view(),
+        pa.binary(), pa.large_binary(), pa.binary_view(), pa.binary(4), pa.decimal128(9, 2), pa.decimal128(18, 0), pa.decimal128(38, 2), pa.decimal256(76, 3), pa.date32(), pa.date64(), pa.time32("s"), pa.time32("ms"), pa.time64("us"), pa.time64("ns"),
+        pa.timestamp("s"), pa.timestamp("ms"), pa.timestamp("us", "UTC"), pa.timestamp("ns", "UTC"), pa.duration("ns"), pa.month_day_nano_interval(),
+    ]
+    rows = []
+    for kind in kinds:
+        try:
+            rows.append((str(kind), *arrow_primitive(kind)))
+        except UnsupportedTypeError:
+            rows.append((str(kind), "", ""))
+    return spark.createDataFrame(rows, "arrow string, physical string, annotation string")
+
+
+@query("""
+SELECT * FROM (VALUES ('k', 'INT64', ''), ('lines', 'GROUP', 'LIST'), ('lines.list.element', 'GROUP', ''), ('lines.list.element.number', 'INT32', ''), ('lines.list.element.attributes', 'GROUP', 'MAP'),
+('lines.list.element.attributes.key_value.key', 'BINARY', 'STRING'), ('lines.list.element.attributes.key_value.value', 'INT64', ''), ('price', 'FIXED(9)', 'DECIMAL(20,2)'), ('day', 'INT32', 'DATE'), ('at', 'INT64', 'TIMESTAMP(MICROS,true)')) v(path, physical, annotation)
+""")
+def stored_contract(spark, sf_dir):
+    """The schema of a written file, read back from its footer."""
+    lines = _lists(spark, sf_dir).select(
+        F.col("l_orderkey").alias("k"),
+        F.transform("lines", lambda x: F.struct(x["l_linenumber"].alias("number"), F.create_map(F.lit("part"), x["l_partkey"]).alias("attributes"))).alias("lines"),
+        F.col("l_orderkey").cast("decimal(20,2)").alias("price"), F.lit("2024-01-01").cast("date").alias("day"), F.timestamp_seconds(F.lit(0)).alias("at"),
+    )
+    path = work_path(spark, "stored")
+    write(lines.limit(100), path)
+    footer = read_footer(spark, part_files(spark, path)[0])
+    return spark.createDataFrame([(x.path, x.physical, x.annotation) for x in stored_schema(footer)], "path string, physical string, annotation string")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderpriority END AS priority, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderstatus END AS status FROM orders")
+def dictionary_nested(spark, sf_dir):
+    """Arrow dictionaries inside a list and a struct, with null indexes of one and two bytes, decoded at the boundary."""
+    import pyarrow as pa
+
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+
+    def code(batches):
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            names = [None if k % 11 == 0 else x for k, x in zip(keys, batch.column(1).to_pylist(), strict=True)]
+            states = [None if k % 11 == 0 else x for k, x in zip(keys, batch.column(2).to_pylist(), strict=True)]
+            coded = pa.DictionaryArray.from_arrays(*_coded(names, pa.int8()))
+            inner = pa.StructArray.from_arrays([pa.DictionaryArray.from_arrays(*_coded(states, pa.uint16()))], ["status"])
+            one = pa.ListArray.from_arrays(pa.array(range(len(keys) + 1), pa.int32()), coded)
+            made = pa.table({"o_orderkey": batch.column(0), "priorities": one, "state": inner})
+            yield from decoded_table(made).to_batches()
+
+    df = rows.mapInArrow(code, "o_orderkey long, priorities array<string>, state struct<status:string>")
+    return round_trip(df, "nested_codes").select("o_orderkey", F.col("priorities")[0].alias("priority"), "state.status")
+
+
+def _coded(values: list, kind):
+    import pyarrow as pa
+
+    names = sorted({v for v in values if v is not None})
+    return pa.array([None if v is None else names.index(v) for v in values], kind), pa.array(names, pa.string())

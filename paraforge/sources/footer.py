@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from .. import errors
 from ..errors import InvalidFileError, ParquetContractError, UnsupportedNestedEncodingError, UnsupportedTypeError
-from ..types import min_decimal_bytes
+from ..types import Stored, min_decimal_bytes
 from .footerbytes import MAX_FOOTER, Footer, Node, footer_length, parse
 
-__all__ = ["MAX_FOOTER", "FileFacts", "Preflight", "file_facts", "part_files", "preflight", "read_footer"]
+__all__ = ["MAX_FOOTER", "FileFacts", "Preflight", "file_facts", "part_files", "preflight", "read_footer", "stored_schema"]
 
 #: Footers that the driver reads at a time, and the number of files from which on executors read them.
 FOOTERS_AT_ONCE, FILES_FOR_A_JOB = 8, 64
@@ -95,6 +95,32 @@ def facts_of(file: str, footer: Footer) -> FileFacts:
     )
 
 
+def stored_schema(footer: Footer) -> list[Stored]:
+    """Every field of a file as it is stored, by the names that the contract gives to the levels of lists and maps."""
+    out: list[Stored] = []
+
+    def add(node: Node, path: str) -> None:
+        physical = node.physical or "GROUP"
+        if physical == "FIXED_LEN_BYTE_ARRAY":
+            physical = f"FIXED({node.length})"
+        annotation = f"DECIMAL({node.precision},{node.scale})" if node.annotation == "DECIMAL" else {"MAP_KEY_VALUE": "MAP", "VARIANT": "VARIANT(1)"}.get(node.annotation, node.annotation)
+        out.append(Stored(path, physical, annotation, node.repetition != "REQUIRED"))
+        if node.annotation == "LIST":
+            (middle,) = node.children
+            level = not middle.physical and len(middle.children) == 1 and middle.name not in ("array", f"{node.name}_tuple")
+            add(middle.children[0] if level else middle, f"{path}.list.element")
+        elif node.annotation in ("MAP", "MAP_KEY_VALUE"):
+            for side, child in zip(("key", "value"), node.children[0].children, strict=True):
+                add(child, f"{path}.key_value.{side}")
+        elif node.annotation != "VARIANT":
+            for child in node.children:
+                add(child, f"{path}.{child.name}")
+
+    for child in footer.schema.children:
+        add(child, child.name)
+    return out
+
+
 def preflight(spark: SparkSession, path: str) -> Preflight:
     """Rejects what the contract rejects and Spark would read, or fail on late. Every footer is read.
 

@@ -6,11 +6,12 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import CodecUnavailableError, InputSchemaMismatchError, PathExistsError, UnsupportedTypeError, WriterAbortedError, translate
+from ..errors import CodecUnavailableError, InputSchemaMismatchError, InvalidValueError, PathExistsError, UnsupportedTypeError, WriterAbortedError, translate
 from ..operators.validate import contract_rules, enforced
 from ..types import SIZE, TIME_UNIT, UNIT, WIDTH, schema_differences, stored_columns
 from .footer import FileFacts, file_facts
@@ -126,8 +127,13 @@ def _spark_column(f: pa.Field, column: pa.ChunkedArray) -> tuple[pa.ChunkedArray
     from pyspark.sql.pandas.types import from_arrow_type
 
     kind, metadata = f.type, {}
-    if pa.types.is_dictionary(kind):
-        column, kind = column.cast(kind.value_type), kind.value_type
+    if _has_dictionary(kind):
+        try:
+            column.validate(full=True)
+        except pa.ArrowInvalid as error:
+            raise InvalidValueError(f"{f.name}: an index is outside its dictionary") from error
+        column = pa.chunked_array([_decoded(c) for c in column.chunks], _without_dictionaries(kind))
+        kind = column.type
     if pa.types.is_unsigned_integer(kind):
         wide = {8: pa.int16(), 16: pa.int32(), 32: pa.int64(), 64: pa.decimal128(20, 0)}[kind.bit_width]
         column = column.cast(wide)
@@ -165,6 +171,54 @@ def _spark_column(f: pa.Field, column: pa.ChunkedArray) -> tuple[pa.ChunkedArray
         raise UnsupportedTypeError(f"{f.name}: {kind} is outside the contract") from error
 
 
+def _has_dictionary(kind: pa.DataType) -> bool:
+    return pa.types.is_dictionary(kind) or any(_has_dictionary(kind.field(i).type) for i in range(kind.num_fields))
+
+
+def _without_dictionaries(kind: pa.DataType) -> pa.DataType:
+    t = pa.types
+    if t.is_dictionary(kind):
+        return _without_dictionaries(kind.value_type)
+    if t.is_struct(kind):
+        return pa.struct([kind.field(i).with_type(_without_dictionaries(kind.field(i).type)) for i in range(kind.num_fields)])
+    if t.is_map(kind):
+        return pa.map_(_without_dictionaries(kind.key_type), kind.item_field.with_type(_without_dictionaries(kind.item_type)))
+    if t.is_list(kind) or t.is_large_list(kind):
+        make = pa.list_ if t.is_list(kind) else pa.large_list
+        return make(kind.value_field.with_type(_without_dictionaries(kind.value_type)))
+    if t.is_fixed_size_list(kind):
+        return pa.list_(kind.value_field.with_type(_without_dictionaries(kind.value_type)), kind.list_size)
+    return kind
+
+
+def _decoded(array: pa.Array) -> pa.Array:
+    """An array without dictionaries, at any depth."""
+    kind, t = array.type, pa.types
+    if not _has_dictionary(kind):
+        return array
+    if array.offset:
+        array = pa.concat_arrays([array])  # a copy that begins at its buffers' beginning
+    if t.is_dictionary(kind):
+        return _decoded(array.dictionary_decode())
+    if t.is_struct(kind):
+        parts = [_decoded(x) for x in array.flatten()]
+        return pa.StructArray.from_arrays(parts, fields=list(_without_dictionaries(kind)), mask=array.is_null())
+    nulls = array.is_null()
+    if t.is_fixed_size_list(kind):
+        return pa.FixedSizeListArray.from_arrays(_decoded(array.values.slice(array.offset * kind.list_size, len(array) * kind.list_size)), type=_without_dictionaries(kind), mask=nulls)
+    if t.is_map(kind):
+        made = pa.MapArray.from_arrays(array.offsets, _decoded(array.keys), _decoded(array.items), type=_without_dictionaries(kind))
+        return pc.if_else(nulls, pa.scalar(None, made.type), made) if array.null_count else made
+    make = pa.ListArray if t.is_list(kind) else pa.LargeListArray
+    return make.from_arrays(array.offsets, _decoded(array.values), type=_without_dictionaries(kind), mask=nulls)
+
+
+def decoded_table(table: pa.Table) -> pa.Table:
+    """A table whose dictionaries, at any depth, have become their values."""
+    columns = [pa.chunked_array([_decoded(c) for c in column.chunks], _without_dictionaries(column.type)) for column in table.columns]
+    return pa.table(columns, names=table.column_names)
+
+
 class Writer:
     """A table at a path, written batch by batch. Each flush_row_group() closes the row groups of what came before it.
 

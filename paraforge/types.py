@@ -107,6 +107,89 @@ def _field(kind: T.DataType, path: str, nullable: bool, metadata: dict, out: lis
         raise UnsupportedTypeError(f"{path}: {kind.simpleString()} is outside the contract")
 
 
+def arrow_columns(schema) -> list[Stored]:
+    """Every column and nested field of an Arrow schema as the contract stores it; UnsupportedTypeError for what it rejects."""
+    out: list[Stored] = []
+    _arrow_fields(list(schema), "", out)
+    return out
+
+
+def _arrow_fields(fields: list, prefix: str, out: list[Stored]) -> None:
+    if not fields:
+        raise UnsupportedTypeError(f"{prefix or 'schema'}: a struct needs at least one field")
+    seen: set[str] = set()
+    for f in fields:
+        path = f"{prefix}.{f.name}" if prefix else f.name
+        if f.name in seen:
+            raise UnsupportedTypeError(f"{path}: duplicate field name cannot round-trip through Parquet")
+        seen.add(f.name)
+        _arrow_field(f.type, path, f.nullable, out)
+
+
+def _arrow_field(kind, path: str, nullable: bool, out: list[Stored]) -> None:
+    import pyarrow as pa
+
+    t = pa.types
+    if t.is_dictionary(kind):
+        _arrow_field(kind.value_type, path, nullable, out)
+    elif t.is_struct(kind):
+        out.append(Stored(path, "GROUP", "", nullable))
+        _arrow_fields([kind.field(i) for i in range(kind.num_fields)], path, out)
+    elif t.is_list(kind) or t.is_large_list(kind) or t.is_fixed_size_list(kind):
+        if t.is_fixed_size_list(kind) and kind.list_size <= 0:
+            raise UnsupportedTypeError(f"{path}: {kind} is outside the contract")
+        out.append(Stored(path, "GROUP", "LIST", nullable))
+        _arrow_field(kind.value_type, f"{path}.list.element", kind.value_field.nullable, out)
+    elif t.is_map(kind):
+        out.append(Stored(path, "GROUP", "MAP", nullable))
+        _arrow_field(kind.key_type, f"{path}.key_value.key", False, out)
+        _arrow_field(kind.item_type, f"{path}.key_value.value", kind.item_field.nullable, out)
+    else:
+        physical, annotation = arrow_primitive(kind, path, nullable)
+        out.append(Stored(path, physical, annotation, nullable))
+
+
+def arrow_primitive(kind, path: str = "value", nullable: bool = True) -> tuple[str, str]:
+    """The physical type and annotation of an Arrow type without children."""
+    import pyarrow as pa
+
+    t = pa.types
+    name = str(kind)
+    if t.is_null(kind):
+        if not nullable:
+            raise UnsupportedTypeError(f"{path}: a column of nulls must be nullable")
+        return "INT32", "UNKNOWN"
+    if t.is_boolean(kind):
+        return "BOOLEAN", ""
+    if t.is_integer(kind):
+        return "INT64" if kind.bit_width == 64 else "INT32", f"INT({kind.bit_width},{str(t.is_signed_integer(kind)).lower()})"
+    if t.is_float32(kind) or t.is_float64(kind):
+        return "FLOAT" if t.is_float32(kind) else "DOUBLE", ""
+    if name in ("string", "large_string", "string_view"):
+        return "BINARY", "STRING"
+    if name in ("binary", "large_binary", "binary_view"):
+        return "BINARY", ""
+    if t.is_fixed_size_binary(kind) and not t.is_decimal(kind) and kind.byte_width > 0:
+        return f"FIXED({kind.byte_width})", ""
+    if t.is_decimal128(kind) or t.is_decimal256(kind):
+        if not 0 <= kind.scale <= kind.precision:
+            raise UnsupportedTypeError(f"{path}: {kind} is outside the contract")
+        return ("FIXED(32)" if t.is_decimal256(kind) else decimal_physical(kind.precision, kind.scale)), f"DECIMAL({kind.precision},{kind.scale})"
+    if t.is_date(kind):
+        return "INT32", "DATE"
+    #: Seconds are stored as milliseconds.
+    unit = {"s": "MILLIS", "ms": "MILLIS", "us": "MICROS", "ns": "NANOS"}.get(getattr(kind, "unit", ""), "")
+    if t.is_time(kind):
+        return "INT32" if kind.bit_width == 32 else "INT64", f"TIME({unit},true)"
+    if t.is_timestamp(kind):
+        if kind.tz == "":
+            raise UnsupportedTypeError(f"{path}: a zone needs a name")
+        return "INT64", f"TIMESTAMP({unit},{str(kind.tz is not None).lower()})"
+    if t.is_duration(kind):
+        return "INT64", ""
+    raise UnsupportedTypeError(f"{path}: {kind} is outside the contract")
+
+
 def check_variant_storage(kind: T.StructType, path: str) -> None:
     """A variant's storage: metadata and value as binary, or a typed value instead of or beside the value; nothing else."""
     names = {f.name: f.dataType for f in kind.fields}

@@ -645,3 +645,48 @@ def test_manifest_of_files(spark, tmp_path):
     next((tmp_path / "t").glob("*.parquet")).write_bytes(b"changed")
     with pytest.raises(E.InvalidFileError, match="part-"):
         check_manifest(spark, str(tmp_path / "t"), kept)
+
+
+def test_nested_dictionaries(spark, tmp_path):
+    import pyarrow as pa
+
+    from paraforge.sources.writer import decoded_table
+
+    words = pa.DictionaryArray.from_arrays(pa.array([0, None, 1, 0], pa.int16()), pa.array(["a", "b"]))
+    lists = pa.array([["a"], None, ["b", None], []], pa.list_(pa.dictionary(pa.int8(), pa.string())))
+    maps = pa.array([[("k", "x")], None, [], [("k", None)]], pa.map_(pa.string(), pa.dictionary(pa.uint8(), pa.string())))
+    structs = pa.StructArray.from_arrays([words], ["w"], mask=pa.array([False, False, True, False]))
+    table = pa.table({"w": words, "l": lists, "m": maps, "s": structs})
+    assert decoded_table(table).to_pylist() == table.to_pylist()
+    assert decoded_table(table.slice(1, 2)).to_pylist() == table.slice(1, 2).to_pylist()
+    write(table, str(tmp_path / "t"), spark=spark)
+    back = [(r["w"], r["l"], r["m"], r["s"] and r["s"]["w"]) for r in read(spark, str(tmp_path / "t")).collect()]
+    assert sorted(back, key=repr) == sorted([("a", ["a"], {"k": "x"}, "a"), (None, None, None, None), ("b", ["b", None], {}, None), ("a", [], {"k": None}, "a")], key=repr)
+    bad = pa.DictionaryArray.from_arrays(pa.array([0, 9], pa.int8()), pa.array(["a"]), safe=False)
+    with pytest.raises(E.InvalidValueError):
+        write(pa.table({"w": bad}), str(tmp_path / "bad"), spark=spark)
+
+
+@pytest.mark.parametrize("make", [
+    lambda pa: pa.schema([("s", pa.struct([]))]), lambda pa: pa.schema([("x", pa.int8()), ("x", pa.int8())]), lambda pa: pa.schema([("h", pa.list_(pa.float16()))]),
+    lambda pa: pa.schema([("u", pa.dense_union([pa.field("a", pa.int8())]))]), lambda pa: pa.schema([("r", pa.run_end_encoded(pa.int32(), pa.string()))]), lambda pa: pa.schema([("v", pa.list_view(pa.int8()))]),
+])
+def test_arrow_types_outside_the_contract(make):
+    import pyarrow as pa
+
+    from paraforge.types import arrow_columns
+
+    with pytest.raises(E.UnsupportedTypeError):
+        arrow_columns(make(pa))
+
+
+def test_arrow_schema_as_stored():
+    import pyarrow as pa
+
+    from paraforge.types import arrow_columns
+
+    schema = pa.schema([pa.field("m", pa.map_(pa.string(), pa.list_(pa.dictionary(pa.int8(), pa.string())))), pa.field("f", pa.list_(pa.int32(), 2), nullable=False)])
+    assert [(s.path, s.physical, s.annotation, s.nullable) for s in arrow_columns(schema)] == [
+        ("m", "GROUP", "MAP", True), ("m.key_value.key", "BINARY", "STRING", False), ("m.key_value.value", "GROUP", "LIST", True), ("m.key_value.value.list.element", "BINARY", "STRING", True),
+        ("f", "GROUP", "LIST", False), ("f.list.element", "INT32", "INT(32,true)", True),
+    ]
