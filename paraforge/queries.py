@@ -513,7 +513,7 @@ def column_statistics(spark, sf_dir):
     return _matrix(spark, sf_dir, options, lambda facts: str(max(f.with_statistics // max(1, len(f.groups)) for f in facts)))
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
 def roundtrip_arrow(spark, sf_dir):
     """Arrow data, its dictionary and unsigned integers among them, written in two row groups."""
     import pyarrow as pa
