@@ -10,13 +10,14 @@ from dataclasses import dataclass
 from py4j.protocol import Py4JError
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import errors
 from ..errors import InvalidFileError, ParquetContractError, UnsupportedNestedEncodingError, UnsupportedTypeError
-from ..types import Stored, min_decimal_bytes
+from ..types import TIME_UNIT, UNIT, WIDTH, Stored, min_decimal_bytes
 from .footerbytes import MAX_FOOTER, Footer, Node, footer_length, parse
 
-__all__ = ["MAX_FOOTER", "FileFacts", "Preflight", "file_facts", "part_files", "preflight", "read_footer", "stored_schema"]
+__all__ = ["MAX_FOOTER", "FileFacts", "Preflight", "file_facts", "part_files", "preflight", "read_footer", "spark_schema", "stored_schema"]
 
 #: Footers that the driver reads at a time, and the number of files from which on executors read them.
 FOOTERS_AT_ONCE, FILES_FOR_A_JOB = 8, 64
@@ -37,10 +38,12 @@ class FileFacts:
 
 @dataclass(frozen=True)
 class Preflight:
-    """What the footers of a table ask of a scan: whether the vectorized reader misreads some pages, and the annotations of narrow integers by path."""
+    """What the footers of a table ask of a scan: whether the vectorized reader misreads some pages, what is to be checked by value (the width
+    and sign of narrow integers, the unit of times of day) by path, and whether Spark needs to be told the schema, as it infers none for some types."""
 
     delta_strings: bool
-    narrow: dict[str, tuple[int, bool]]
+    checks: dict[str, tuple]
+    told: bool = False
 
 
 def part_files(spark: SparkSession, path: str) -> list[str]:
@@ -172,7 +175,7 @@ def _verdicts(batches) -> Iterator:
                     length = footer_length(tail, size, file)
                     f.seek(size - 8 - length)
                     found = verdict(parse(f.read(length), file))
-                said = json.dumps([found.delta_strings, sorted(found.narrow.items())])
+                said = json.dumps([found.delta_strings, sorted(found.checks.items()), found.told])
             except ParquetContractError as error:
                 kind, message = type(error).__name__, str(error)
             except Exception:  # a store that only the JVM can open
@@ -183,23 +186,74 @@ def _verdicts(batches) -> Iterator:
 
 
 def _decoded(text: str) -> Preflight:
-    delta, narrow = json.loads(text)
-    return Preflight(delta, {path: tuple(how) for path, how in narrow})
+    delta, checks, told = json.loads(text)
+    return Preflight(delta, {path: tuple(how) for path, how in checks}, told)
 
 
 def _together(found: list[Preflight]) -> Preflight:
-    narrow: dict[str, tuple[int, bool]] = {}
+    checks: dict[str, tuple] = {}
     for one in found:
-        narrow |= one.narrow
-    return Preflight(any(one.delta_strings for one in found), narrow)
+        checks |= one.checks
+    return Preflight(any(one.delta_strings for one in found), checks, any(one.told for one in found))
 
 
 def verdict(footer: Footer) -> Preflight:
-    narrow: dict[str, tuple[int, bool]] = {}
+    checks: dict[str, tuple] = {}
     for node in footer.schema.children:
-        _check(node, node.name, False, narrow)
+        _check(node, node.name, False, checks)
     delta = any(c.codec == "UNCOMPRESSED" and "DELTA_BYTE_ARRAY" in c.encodings for _, own in footer.groups for c in own)
-    return Preflight(delta, narrow)
+    return Preflight(delta, checks, any(_is_told(node) for node in footer.schema.children))
+
+
+def _is_told(node: Node) -> bool:
+    return node.annotation.startswith(("TIME(", "TIMESTAMP(NANOS")) or any(map(_is_told, node.children))
+
+
+#: How units are called in files and in metadata.
+_UNITS = {"MILLIS": "ms", "MICROS": "us", "NANOS": "ns"}
+
+
+def spark_schema(footer: Footer) -> T.StructType:
+    """The Spark types for a file's schema, with metadata for what they don't tell: times of day and nanoseconds as integers with their unit, widths of binaries."""
+    return T.StructType([_spark_field(node) for node in footer.schema.children])
+
+
+def _spark_field(node: Node) -> T.StructField:
+    kind, metadata = _spark_type(node)
+    return T.StructField(node.name, kind, True, metadata)
+
+
+def _spark_type(node: Node) -> tuple[T.DataType, dict]:
+    if not node.physical:
+        if node.annotation == "LIST":
+            (middle,) = node.children
+            level = not middle.physical and len(middle.children) == 1 and middle.name not in ("array", f"{node.name}_tuple")
+            element = middle.children[0] if level else middle
+            return T.ArrayType(_spark_type(element)[0], element.repetition == "OPTIONAL"), {}
+        if node.annotation in ("MAP", "MAP_KEY_VALUE"):
+            key, value = node.children[0].children
+            return T.MapType(_spark_type(key)[0], _spark_type(value)[0], value.repetition == "OPTIONAL"), {}
+        if node.annotation == "VARIANT":
+            return T.VariantType(), {}
+        return T.StructType([_spark_field(child) for child in node.children]), {}
+    at = node.annotation
+    if at == "DECIMAL":
+        return T.DecimalType(node.precision, node.scale), {}
+    if at.startswith("TIME("):
+        return (T.IntegerType() if node.physical == "INT32" else T.LongType()), {TIME_UNIT: _UNITS[at[5:].split(",")[0]]}
+    if at.startswith("TIMESTAMP(NANOS"):
+        return T.LongType(), {UNIT: "ns"}
+    if at.startswith("TIMESTAMP("):
+        return (T.TimestampType() if at.endswith("true)") else T.TimestampNTZType()), {}
+    if at == "UNKNOWN" and node.physical == "BOOLEAN":
+        return T.NullType(), {}
+    if node.physical == "FIXED_LEN_BYTE_ARRAY":
+        return T.BinaryType(), {WIDTH: node.length}
+    named = {"DATE": T.DateType, "STRING": T.StringType, "INT(8,true)": T.ByteType, "INT(16,true)": T.ShortType, "INT(8,false)": T.ShortType, "INT(16,false)": T.IntegerType, "INT(32,false)": T.LongType}
+    plain = {"BOOLEAN": T.BooleanType, "INT32": T.IntegerType, "INT64": T.LongType, "FLOAT": T.FloatType, "DOUBLE": T.DoubleType, "BINARY": T.BinaryType}
+    if at == "INT(64,false)":
+        return T.DecimalType(20, 0), {}
+    return named.get(at, plain[node.physical])(), {}
 
 
 #: The physical types that an annotation may stand on.
@@ -229,7 +283,7 @@ def check_pair(node: Node, path: str) -> None:
             raise UnsupportedTypeError(f"{path}: DECIMAL({node.precision},{node.scale}) on {node.physical}({node.length})")
 
 
-def _check(node: Node, path: str, inside: bool, narrow: dict[str, tuple[int, bool]], key: str = "") -> None:
+def _check(node: Node, path: str, inside: bool, narrow: dict[str, tuple], key: str = "") -> None:
     """path has the names in the file, key those that the contract gives to the levels of lists and maps."""
     key = key or path
     if node.repetition == "REPEATED" and not inside:
@@ -239,6 +293,8 @@ def _check(node: Node, path: str, inside: bool, narrow: dict[str, tuple[int, boo
         if node.annotation.startswith(("INT(8,", "INT(16,")):
             width, signed = node.annotation[4:-1].split(",")
             narrow[key] = (int(width), signed == "true")
+        elif node.annotation.startswith("TIME("):
+            narrow[key] = ("time", _UNITS[node.annotation[5:].split(",")[0]])
         return
     if not node.children:
         raise UnsupportedTypeError(f"{path}: a struct needs at least one field")

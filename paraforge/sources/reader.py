@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import BAD_STORED_KEYS, OUTSIDE_ANNOTATION, ParquetContractError, ReadEngineUnavailableError, ReaderPoisonedError, translate
-from ..functions.conversions import int_ok
+from ..functions.conversions import int_ok, time_ok
 from ..operators.batches import payload_bytes
 from ..operators.validate import keys_ok
 from ..plans.projection import project
-from .footer import preflight
+from .footer import part_files, preflight, read_footer, spark_schema
 
 #: The engines that can be named; only the first is there.
 ENGINES = ("PARQUET_JAVA", "HARDWOOD")
@@ -38,9 +38,10 @@ class ReadOptions:
 def read(spark: SparkSession, path: str, projection=None, options: ReadOptions = ReadOptions(), schema: T.StructType | None = None) -> DataFrame:
     """The table at a path: footers are checked first, page checksums while reading, and columns are pruned to the projection.
 
-    Stored integers that their annotation can't hold, and stored maps with null, repeated or unsupported keys, fail the job that meets
-    them; Spark would cut and carry them silently. Tables without such columns are scanned as they are. schema overrides what Spark would
-    infer, for types that it can only read as something else (nanoseconds as long); it is read as given, without these checks.
+    Stored integers and times of day that their annotation can't hold, and stored maps with null, repeated or unsupported keys, fail the
+    job that meets them; Spark would cut and carry them silently. Tables without such columns are scanned as they are. Times of day
+    and nanoseconds, for which Spark infers no type, are integers with their unit as metadata. schema overrides what would be
+    inferred; it is read as given, without these checks.
     Uncompressed version 2 pages with delta strings, which the vectorized reader misreads, are read by the row reader."""
     if options.engine != ENGINES[0]:
         raise ReadEngineUnavailableError(f"{options.engine} is not available")
@@ -48,9 +49,10 @@ def read(spark: SparkSession, path: str, projection=None, options: ReadOptions =
         found = preflight(spark, path)
         load = _row_reader if found.delta_strings else _reader
         flag = {"parquet.page.verify-checksum.enabled": str(options.verify_page_checksums).lower()}
-        df = load(spark, path, flag, schema)
+        told = spark_schema(read_footer(spark, part_files(spark, path)[0])) if found.told and schema is None else schema
+        df = load(spark, path, flag, told)
         if schema is None:
-            own = {p: how for p, how in found.narrow.items() if p.split(".", 1)[0] in df.columns}
+            own = {p: how for p, how in found.checks.items() if p.split(".", 1)[0] in df.columns}
             if own:
                 wide = T.StructType([T.StructField(f.name, widened(f.dataType, own, f.name), f.nullable, f.metadata) for f in df.schema.fields])
                 df = narrowed(load(spark, path, flag, wide), df.schema, own)
@@ -81,10 +83,10 @@ def _activate(spark: SparkSession) -> None:
     spark._jvm.org.apache.spark.sql.classic.SparkSession.setActiveSession(spark._jsparkSession)
 
 
-def widened(kind: T.DataType, narrow: dict[str, tuple[int, bool]], path: str) -> T.DataType:
+def widened(kind: T.DataType, narrow: dict[str, tuple], path: str) -> T.DataType:
     """The type with every narrow integer as the stored one, in which nothing is cut."""
     if path in narrow:
-        return T.IntegerType()
+        return kind if narrow[path][0] == "time" else T.IntegerType()
     if isinstance(kind, T.StructType):
         return T.StructType([T.StructField(f.name, widened(f.dataType, narrow, f"{path}.{f.name}"), f.nullable, f.metadata) for f in kind.fields])
     if isinstance(kind, T.ArrayType):
@@ -94,7 +96,7 @@ def widened(kind: T.DataType, narrow: dict[str, tuple[int, bool]], path: str) ->
     return kind
 
 
-def narrowed(df: DataFrame, schema: T.StructType, narrow: dict[str, tuple[int, bool]]) -> DataFrame:
+def narrowed(df: DataFrame, schema: T.StructType, narrow: dict[str, tuple]) -> DataFrame:
     """df, read with widened integers, with the schema's types; a value that its annotation can't hold fails the job."""
     out = []
     for f in schema.fields:
@@ -107,13 +109,13 @@ def _touches(narrow, path: str) -> bool:
     return any(p == path or p.startswith(f"{path}.") for p in narrow)
 
 
-def _narrow(c: Column, kind: T.DataType, narrow: dict[str, tuple[int, bool]], path: str) -> Column:
+def _narrow(c: Column, kind: T.DataType, narrow: dict[str, tuple], path: str) -> Column:
     if not _touches(narrow, path):
         return c
     if path in narrow:
-        width, signed = narrow[path]
+        first, second = narrow[path]
         bad = F.raise_error(F.concat(F.lit(f"{OUTSIDE_ANNOTATION} {path} has "), c.cast("string")))
-        return F.when(int_ok(c, width, signed), c).otherwise(bad).cast(kind)
+        return F.when(time_ok(c, second) if first == "time" else int_ok(c, first, second), c).otherwise(bad).cast(kind)
     if isinstance(kind, T.StructType):
         return F.when(c.isNotNull(), F.struct(*[_narrow(c.getField(f.name), f.dataType, narrow, f"{path}.{f.name}").alias(f.name) for f in kind.fields]))
     if isinstance(kind, T.ArrayType):

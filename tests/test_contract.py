@@ -690,3 +690,28 @@ def test_arrow_schema_as_stored():
         ("m", "GROUP", "MAP", True), ("m.key_value.key", "BINARY", "STRING", False), ("m.key_value.value", "GROUP", "LIST", True), ("m.key_value.value.list.element", "BINARY", "STRING", True),
         ("f", "GROUP", "LIST", False), ("f.list.element", "INT32", "INT(32,true)", True),
     ]
+
+
+def test_times_of_day_and_nanoseconds(spark, tmp_path):
+    """What Spark infers no type for is read as integers with their unit, also inside lists, and checked."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from paraforge.sources.footer import read_footer, spark_schema
+
+    table = pa.table({"a": pa.array([0, 86_399_999], pa.time32("ms")), "b": pa.array([1, None], pa.time64("us")), "c": pa.array([[2], [3, None]], pa.list_(pa.time64("ns"))), "n": pa.array([5, 6], pa.timestamp("ns")), "u": pa.array([200, 7], pa.uint8()), "f": pa.array([b"ab", b"cd"], pa.binary(2)), "k": [1, 2]})
+    pq.write_table(table, tmp_path / "good.parquet", version="2.6")
+    back = read(spark, str(tmp_path / "good.parquet"))
+    assert [tuple(r) for r in back.orderBy("k").collect()] == [(0, 1, [2], 5, 200, b"ab", 1), (86_399_999, None, [3, None], 6, 7, b"cd", 2)]
+    assert [back.schema[c].metadata for c in "abn"] == [{"time_unit": "ms"}, {"time_unit": "us"}, {"unit": "ns"}] and read(spark, str(tmp_path / "good.parquet"), ["a", "k"]).columns == ["a", "k"]
+    write(back, str(tmp_path / "again"))
+    assert diff.compare(back, read(spark, str(tmp_path / "again")), "k") == []
+    for i, (message, name, value) in enumerate((("optional int32 t (TIME(MILLIS,true))", "t", 86_400_000), ("optional int64 t (TIME(NANOS,true))", "t", 86_400_000_000_000))):
+        path = foreign(spark, tmp_path / str(i), f"message m {{ {message}; }}", lambda g, value=value: g.add("t", value))
+        reader = Reader(read(spark, path))
+        with pytest.raises(E.MetadataSchemaMismatchError, match=name):
+            reader.load_next()
+    own = spark.createDataFrame([], "b tinyint, s smallint, i int, l bigint, f float, d double, t string, y binary, da date, ts timestamp, tn timestamp_ntz, x decimal(20,3), a array<struct<p:int>>, m map<string,array<int>>, bo boolean")
+    write(own, str(tmp_path / "types"))
+    (file,) = (tmp_path / "types").glob("*.parquet")
+    assert spark_schema(read_footer(spark, f"file://{file}")).simpleString() == own.schema.simpleString()
