@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, bloom_build, bloom_test, byte_budget, byte_texts, whole
+from .common import Workspace, bloom_build, bloom_test, byte_budget, byte_texts, sized_join, whole
 from .graph import components
 
 #: Registers and their parameters: base, rate and limit of the exponential scale.
@@ -293,7 +293,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace, size: int = 2, percent: int
         outside, apart = F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")
         most = F.lit(FIRST_PIVOTS) if i == 1 else F.greatest(F.lit(1.0), outside * F.lit(float(PIVOT_BYTES)) / apart)
         parts = parts.select("group", F.col("main.label").alias("main"), F.least(F.lit(1.0), most / outside).alias("share"), F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
-        members = ws.save(members.join(parts, "group"), f"open_{i}")
+        members = ws.save(sized_join(members, ws.save(parts, f"parts_{i}"), "group"), f"open_{i}")
         if not members.limit(1).count():
             break
         lot = F.pmod(F.xxhash64("node", F.lit(i)), F.lit(1 << 20)) / F.lit(float(1 << 20))
@@ -305,7 +305,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace, size: int = 2, percent: int
         met = ws.save(compared.applyInArrow(_matcher(percent, least), "a long, b long").distinct(), f"met_{i}")
         labels = ws.save(_joined(labels, met, ws, f"components_{i}"), f"labels_{i}")
         groups = ws.save(members.select("group", "node").join(pivots.select("group", "node"), ["group", "node"], "left_anti"), f"groups_{i}")
-        ws.drop(f"groups_{i - 1}", f"labels_{i - 1}", f"members_{i}", f"open_{i}", f"pivots_{i}")
+        ws.drop(f"groups_{i - 1}", f"labels_{i - 1}", f"members_{i}", f"open_{i}", f"parts_{i}", f"pivots_{i}")
     known = sketches.select("doc_id", "n_shingles", "digest").join(first, "digest", "left").join(labels, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "node", "doc_id"))
     return known.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
