@@ -11,7 +11,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import byte_budget, byte_texts, column, whole
 
