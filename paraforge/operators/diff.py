@@ -55,7 +55,8 @@ def compare_values(expected: DataFrame, actual: DataFrame, key: str | None = Non
     """(dimension, path, key) of every column of every row that differs, missing rows too.
 
     Rows are aligned by a unique key, or without one by their number (see numbered), which is then the column `row`; of a key that is
-    repeated the occurrences are numbered and aligned one by one. One full outer join on what rows are aligned by, which both sides
+    repeated the occurrences are numbered by a hash of their values and aligned one by one, so that one that differs may tell of
+    two. One full outer join on what rows are aligned by, which both sides
     share as their partitioning."""
     if key is None:
         key, expected, actual = "row", numbered(expected), numbered(actual)
@@ -88,7 +89,8 @@ def _joined(x: DataFrame, y: DataFrame) -> DataFrame:
 def numbered(df: DataFrame) -> DataFrame:
     """df with its rows' numbers from 0 over all partitions, as the column `row`, in the order in which a scan gives them.
 
-    Only the partitions' sizes meet in one task: a row's number is its place in its partition after the rows of those before."""
+    A row's number is its place in its partition after the rows of those before. What meets in one task and is sent to all is a row for
+    each partition, never more than the scheduler itself holds for them."""
     marked = df.withColumn("__part", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = marked.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select(F.col("__part"), F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
