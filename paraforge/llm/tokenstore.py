@@ -20,6 +20,8 @@ from .common import Workspace, byte_budget, byte_texts, sized_join, whole
 END = 1
 #: Words that a worker keeps with their ids; beyond it all go. It saves work, it decides nothing.
 KEPT_WORDS = 800_000
+#: ASCII symbols but the apostrophe, which may begin a piece with the letters after it.
+SYMBOLS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: About how many bytes of text are encoded at a time.
 BATCH = 12 << 20
 #: The steps of the tokenizer whose words can be encoded one by one. Any other tokenizer gets whole texts.
@@ -42,8 +44,10 @@ class WordTokenizer:
     each new word once. Any other encodes whole texts.
 
     A text that has a character that begins the string of an added token is encoded as a whole. Other texts are put
-    in lower case (A-Z) first, as the tokenizer does. A word of plain lower-case letters, also before one comma or full stop,
-    goes to the tokenizer's model directly, because normalising and splitting leave it as it is."""
+    in lower case (A-Z) first, as the tokenizer does. Symbols at the end of a word, after a letter or number below U+0250, are a
+    piece of their own for the tokenizer, so they are split off; not after U+0130 or higher letters, which may end in a mark when
+    normalised, and a mark joins the symbols. Letters below U+0250 go to the tokenizer's model directly, in lower case,
+    because normalising and splitting do no more to them."""
 
     _made: dict[str, WordTokenizer] = {}
 
@@ -78,29 +82,38 @@ class WordTokenizer:
         return [np.array(x.ids, dtype=self.kind).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _new(self, words: list[str]) -> list[bytes]:
-        """The ids of words in lower case."""
-        tails = dict(zip((",", "."), self._ids([",", "."]), strict=True))
-        tokenize, code, known = self.tokenizer.model.tokenize, "H" if self.width == 2 else "I", self.known
-        out: list[bytes] = [b""] * len(words)
+        """The ids of words in lower case (A-Z). Each distinct part, a word without its symbols at the end or those symbols, is encoded once."""
+        known = self.known
+        cut: list[tuple[str, str]] = []
+        made: dict[str, bytes | None] = {}
+        for word in words:
+            core, tail = word.rstrip(SYMBOLS), ""
+            last = core[-1:]
+            if last.isalnum() and last < "\u0250" and last != "\u0130":
+                tail = word[len(core) :]
+            else:
+                core = word
+            cut.append((core, tail))
+            for part in (core, tail):
+                if part not in made:
+                    made[part] = known.get(part)
+        tokenize, code = self.tokenizer.model.tokenize, "H" if self.width == 2 else "I"
         rest = []
-        for i, word in enumerate(words):
-            core, tail = word, b""
-            if word[-1] in tails:
-                core, tail = word[:-1], tails[word[-1]]
-                if core[-1:].isalnum() and (before := known.get(core)):
-                    out[i] = before + tail
+        for part, ids in made.items():
+            if ids is not None:
+                continue
+            if part.isalpha():
+                if part.isascii():
+                    made[part] = array(code, [x.id for x in tokenize(part)]).tobytes()
                     continue
-            if core.isalpha():
-                if core.isascii():
-                    out[i] = array(code, [x.id for x in tokenize(core)]).tobytes() + tail
-                    continue
-                if max(core) < "\u0250" and core == core.lower():
-                    out[i] = array(code, [x.id for x in tokenize(core.encode().decode("latin-1").translate(self.byte_chars))]).tobytes() + tail
-                    continue
-            rest.append(i)
-        for i, ids in zip(rest, self._ids([words[i] for i in rest]), strict=True):
-            out[i] = ids
-        return out
+                if max(part) < "\u0250":
+                    lower = part.lower()
+                    if max(lower) < "\u0250" and lower.isalpha():
+                        made[part] = array(code, [x.id for x in tokenize(lower.encode().decode("latin-1").translate(self.byte_chars))]).tobytes()
+                        continue
+            rest.append(part)
+        made.update(zip(rest, self._ids(rest), strict=True))
+        return [made[core] + made[tail] if tail else made[core] for core, tail in cut]
 
     def encode(self, texts: list[bytes] | pa.Array) -> list[bytes]:
         """The ids of each text as little-endian integers of `width` bytes, with the end id after them.
@@ -123,7 +136,7 @@ class WordTokenizer:
         lists = pc.ascii_split_whitespace(pc.ascii_lower(column))  # exactly the ASCII separators and A-Z
         encoded = lists.flatten().dictionary_encode()
         codes = encoded.indices.to_numpy()
-        words = encoded.dictionary.to_pylist()
+        words = encoded.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist makes a scalar of each word first
         known[""] = b""
         ids = list(map(known.get, words))
         if None in ids:

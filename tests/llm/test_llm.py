@@ -234,6 +234,28 @@ def test_slices_of_batches_are_encoded(spark, ws, monkeypatch):
         assert (r["n_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
 
 
+def test_parts_of_words():
+    """Words of any letters and symbols are what the library gives, and letters with symbols after them do not need its steps."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    tokenizer, coder = Tokenizer.from_str(definition), tokenstore.WordTokenizer(definition)
+    r = random.Random(12)
+    odd = [*map(chr, range(33, 0x250)), *"²①一☃\u0301\u0338\u00a0ẞ\u212a\u017f\u037eⱥ٢½", "'s", "don't", "...", "$$$"]
+    coder.encode(["\u0130 \u0958 é".encode()])  # known from now on, but no part of the words with a comma
+    texts = ["\u0130, \u0958, é,", *(x + y for x in odd for y in ("", "$$$", "a.", "'s,")), *(" ".join("".join(r.choices([*odd, *"aeinst", *".,#"], k=r.randint(1, 7))) for _ in range(40)) for _ in range(300))]
+    for text, ids in zip(texts, coder.encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, coder.kind).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1], text
+    sent, steps = [], coder._ids
+    coder._ids = lambda parts: sent.extend(parts) or steps(parts)
+    words = ["snowmen$$$", "snowmen###,", "Straßen.!", "Éoliennes&&&", "éoliennes.", "éoliennes"]
+    [ids] = coder.encode([" ".join(words).encode()])
+    assert np.frombuffer(ids, coder.kind).tolist() == [*tokenizer.encode(" ".join(words), add_special_tokens=False).ids, 1]
+    assert not any(c.isalpha() for part in sent for c in part), sent
+
+
 def test_merkle_tree():
     for n in range(40):
         leaves, tree = [bytes([i]) for i in range(n)], chunkstore.MerkleTree()
