@@ -244,6 +244,8 @@ def decode(rows: DataFrame, ids: str = "ids", text: str = "decoded", path: str |
 
 #: Segments of the corpus's pieces: at least so many, or more so that one has about so many bytes of text.
 SEGMENTS, SEGMENT_BYTES, MOST_SEGMENTS = 256, 8 << 20, 1 << 20
+#: Ids that are handed on at a time, and go to Spark in a batch of their own, unless one text has more.
+IDS = 1 << 18
 #: Bytes of text that share a dictionary of pieces, and of those that are cut into pieces at a time.
 BATCH, CHUNK = 12 << 20, 2 << 20
 
@@ -296,17 +298,22 @@ def replayed_ids(docs: DataFrame, text: str, key: str, path: str | None, pattern
             counts, parts = [], []
             for part in byte_budget([batch], 1, CHUNK):
                 own = [split(t.decode()) for t in byte_texts(part.column(1))]
-                counts += map(len, own)
+                counts.append(list(map(len, own)))
                 parts.append(pa.array([p for x in own for p in x], pa.string()).dictionary_encode())
-            coded = pa.chunked_array(parts).unify_dictionaries()
-            pieces = [p.encode() for p in coded.chunk(0).dictionary.to_pylist()]
-            indices = np.concatenate([c.indices.to_numpy() for c in coded.chunks])
-            often = np.argsort(-np.bincount(indices, minlength=len(pieces)), kind="stable")
-            rank = np.empty(len(pieces), np.int64)
-            rank[often] = np.arange(len(pieces))
-            codes = rank[indices]
-            ends = np.cumsum(counts).tolist()
-            texts = [packed(codes[a:b]) for a, b in zip([0, *ends], ends)]
+                del own
+            coded = pa.chunked_array(parts).unify_dictionaries().chunks
+            parts.clear()
+            pieces = [p.encode() for p in coded[0].dictionary.to_pylist()]
+            often = np.zeros(len(pieces), np.int64)
+            for part in coded:
+                often += np.bincount(part.indices.to_numpy(), minlength=len(pieces))
+            rank = np.empty(len(pieces), np.int32)
+            rank[np.argsort(-often, kind="stable")] = np.arange(len(pieces), dtype=np.int32)
+            texts: list[bytes] = []
+            for part, own in zip(coded, counts, strict=True):
+                codes, ends = rank[part.indices.to_numpy()], np.cumsum(own).tolist()
+                texts += [packed(codes[a:b]) for a, b in zip([0, *ends], ends)]
+            del coded
             n = len(texts)
             none = pa.nulls(n, pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([at] * n, pa.int64()), pa.array([0] * n, pa.int32()), pa.nulls(n, pa.int32()), pa.array(texts, pa.binary()), none, none, batch.column(0)], names)
@@ -365,13 +372,17 @@ def replayed_ids(docs: DataFrame, text: str, key: str, path: str | None, pattern
         table = joined(found, "ids").astype("<u4")
         size_of, start_of = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
         size_of[codes], start_of[codes] = sizes, np.cumsum(sizes) - sizes
-        ids = []
-        for data in here.column("data").to_pylist():
-            own_codes = unpacked(data)
+        ids, made, total, begin = [], [], 0, 0
+        for n, data in enumerate(here.column("data")):
+            own_codes = unpacked(data.as_py())
             size = size_of[own_codes]
             ends = np.cumsum(size)
+            if ids and total + int(size.sum()) > IDS:
+                made.append(use(here.column("key").slice(begin, len(ids)), ids))
+                ids, total, begin = [], 0, n
             ids.append(table[np.arange(int(size.sum())) + np.repeat(start_of[own_codes] - (ends - size), size)])
-        return use(here.column("key"), ids)
+            total += len(ids[-1])
+        return pa.concat_tables([*made, use(here.column("key").slice(begin), ids)])
 
     from pyspark.sql.types import StructType
 

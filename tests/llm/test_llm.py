@@ -319,6 +319,24 @@ def test_bpe_query(docs, nothing, encoding):
     assert all(bytes(r["decoded"]).decode() == (r["text"] or "") for r in back)
 
 
+def test_ids_are_handed_on_in_bounded_parts(spark):
+    """However many texts share a batch, a call gets and a batch for Spark has at most IDS ids, or one text."""
+    import pyarrow as pa
+
+    r = random.Random(8)
+    texts = [" ".join(r.choice("abcdefgh") for _ in range(r.choice([0, 1, 9, 40_000]))) for _ in range(60)] + ["x y " * bpe.IDS]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1)
+
+    def use(keys, ids):
+        n = len(ids)
+        return pa.table([keys, pa.array([len(x) for x in ids], pa.int64()), pa.array([n] * n, pa.int64()), pa.array([sum(map(len, ids))] * n, pa.int64())], ["doc_id", "own", "texts", "ids"])
+
+    got = {x["doc_id"]: x for x in bpe.replayed_ids(df, "text", "doc_id", None, None, use, "doc_id long, own long, texts long, ids long").collect()}
+    whole = {x["doc_id"]: x["n_tokens"] for x in bpe.round_trip(df).collect()}
+    assert {i: x["own"] for i, x in got.items()} == whole and len(got) == len(texts) and sum(whole.values()) > 3 * bpe.IDS
+    assert all(x["ids"] <= bpe.IDS or x["texts"] == 1 for x in got.values()) and max(x["texts"] for x in got.values()) > 1
+
+
 # --- mixing ------------------------------------------------------------------------------------------------------
 
 
