@@ -238,15 +238,34 @@ def with_fetched(packs: DataFrame, chunks: DataFrame, key: str = "key") -> DataF
     return apart.join(got, key, "left").select(*packs.columns, "fetched").unionByName(alone.select(*packs.columns, "fetched"))
 
 
+#: Bytes of payloads, and payloads, that are rebuilt at a time; a longer payload is rebuilt alone.
+READ_BYTES, READ_ROWS = 4 << 20, 500
+
+
+def parts_of(lengths: pa.ListArray) -> list[tuple[int, int]]:
+    """Where the parts of a batch begin and end, from the lengths of the chunks of its payloads."""
+    ends = np.concatenate([[0], np.cumsum(lengths.flatten().to_numpy(), dtype=np.int64)])
+    sizes = np.diff(ends[np.concatenate([[0], np.cumsum(lengths.value_lengths().to_numpy())]).astype(np.int64)]).tolist()
+    out, begin, total = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > begin and (total + n > READ_BYTES or i - begin == READ_ROWS):
+            out.append((begin, i))
+            begin, total = i, 0
+        total += n
+    return [*out, (begin, len(sizes))] if sizes else out
+
+
 def read_back(packs: DataFrame, chunks: DataFrame, use: Callable, schema, columns: list[str], key: str = "key") -> DataFrame:
-    """Rebuilds every payload and maps batches of (columns..., payload) with `use(rows of a batch) -> Arrow arrays`."""
+    """Rebuilds every payload and maps batches of (columns..., payload) with `use(rows of a batch) -> Arrow arrays`.
+
+    A batch has READ_BYTES of payloads at most, or one payload, however long the payloads are."""
     names = [*columns, "recipe", "lengths", "shared", "own", "root", "fetched"]
     rows = with_fetched(packs, chunks, key).select(*names)
 
     def run(batches):
         for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                part = batch.slice(begin, 500)
+            for begin, end in parts_of(batch.column(names.index("lengths"))):
+                part = batch.slice(begin, end - begin)
                 stored = [part.column(names.index(c)).to_pylist() for c in names[len(columns) :]]
                 payloads = []
                 for recipe, lengths, shared, own, root, fetched in zip(*stored, strict=True):

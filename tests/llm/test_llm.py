@@ -185,6 +185,23 @@ def test_chunks():
         chunkstore.rebuild(b"".join(names), [len(c) for c in first], [], b"!" + a[1:], chunkstore.merkle(names), {})
 
 
+def test_payloads_are_rebuilt_in_bounded_parts(spark, ws):
+    """Long payloads, alike ones among them, are not held 500 at a time; short ones still share a part; none is lost."""
+    import pyarrow as pa
+
+    r = random.Random(9)
+    texts = [r.randbytes(n // 2).hex() for n in [10, 300_000, 0, 90_000] * 20] + ["same " * 20_000] * 20 + [r.randbytes(3 << 20).hex()] + ["x"] * 1200
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1)
+
+    def use(columns, payloads):
+        n = len(payloads)
+        return pa.RecordBatch.from_arrays([*columns, pa.array([len(p) for p in payloads], pa.int64()), pa.array([n] * n, pa.int64()), pa.array([sum(map(len, payloads))] * n, pa.int64())], ["doc_id", "own", "rows", "bytes"])
+
+    got = chunkstore.read_back(*media.write_media(df, ws), use, "doc_id long, own long, rows long, bytes long", ["doc_id"]).collect()
+    assert {x["doc_id"]: x["own"] for x in got} == {i: 44 + max(192, -(-len(t) // 192) * 192) for i, t in enumerate(texts)} and len(got) == len(texts)
+    assert all(x["bytes"] <= chunkstore.READ_BYTES or x["rows"] == 1 for x in got) and max(x["rows"] for x in got) > 100
+
+
 def test_token_store(docs, nothing, ws):
     import public_tokenizers
     from tokenizers import Tokenizer
