@@ -80,7 +80,7 @@ def required_elements_ok(array: Column) -> Column:
 
 
 def unique_keys(keys: Column) -> Column:
-    return keys.isNull() | (F.size(keys) == F.size(F.array_distinct(keys)))
+    return keys.isNull() | (F.size(keys) <= 1) | (F.size(keys) == F.size(F.array_distinct(keys)))
 
 
 def map_ok(value: Column) -> Column:
@@ -96,4 +96,5 @@ def decimal_physical(precision: Column) -> Column:
 
 def same_float(x: Column, y: Column) -> Column:
     """Any NaN equals any NaN; otherwise signs count, so -0.0 is not 0.0."""
-    return x.eqNullSafe(y) & x.cast("string").eqNullSafe(y.cast("string"))
+    signed = x.isNull() | (x != 0) | (x.cast("string") == y.cast("string"))  # only zeros have a sign that equality passes over
+    return x.eqNullSafe(y) & signed

@@ -27,10 +27,17 @@ def count_violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 
 def enforced(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """df that fails its job on the first row that breaks a rule, before anything is committed."""
+    """df that fails its job on the first row that breaks a rule, before anything is committed.
+
+    The rules are one column over the finished values: as plain filters the optimizer would put them below the projection that makes
+    the values, and make each value again for each of its rules."""
+    if not rules:
+        return df
+    kept = F.spark_partition_id() >= 0  # always true; not being deterministic, it holds the filter where it is
     for name, ok in rules.items():
-        df = df.where(F.when(F.coalesce(ok, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit(f"rule {name} is broken")).cast("boolean")))
-    return df
+        kept = kept & F.when(F.coalesce(ok, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit(f"rule {name} is broken")).cast("boolean"))
+    mark = "__kept" + "_" * max((len(c) for c in df.columns), default=0)  # longer than any name of df
+    return df.withColumn(mark, kept).where(mark).drop(mark)
 
 
 def check(df: DataFrame, key: str, rules: dict[str, Column]) -> None:
@@ -82,12 +89,39 @@ def contract_rules(schema: T.StructType) -> dict[str, Column]:
     return out
 
 
+class _Utf8:
+    """The rule that all strings in a value are UTF-8. They are judged once, joined, because each call inside of a lambda is slow: a comma
+    neither ends nor begins a character of several bytes."""
+
+    def __init__(self, joined: Rule = lambda c: c):
+        self.joined = joined
+
+    def __call__(self, c: Column) -> Column:
+        return C.utf8_ok(self.joined(c))
+
+    def of(self, part: Rule) -> _Utf8:
+        return _Utf8(lambda c: self.joined(part(c)))
+
+    def each(self, element: T.DataType) -> _Utf8:
+        return _Utf8(lambda c: F.array_join(c if isinstance(element, T.StringType) else F.transform(c, self.joined), ","))
+
+
+def _each(rule: Rule, element: T.DataType) -> Rule:
+    """A rule of elements as one of their array."""
+    return rule.each(element) if isinstance(rule, _Utf8) else lambda c: c.isNull() | F.forall(c, lambda x: F.coalesce(rule(x), F.lit(False)))
+
+
+def _of(rule: Rule, part: Rule) -> Rule:
+    """A rule of a part as one of the value that has it."""
+    return rule.of(part) if isinstance(rule, _Utf8) else lambda c: c.isNull() | F.coalesce(rule(part(c)), F.lit(False))
+
+
 def _value_rules(kind: T.DataType, nullable: bool, metadata: dict, path: str) -> list[tuple[str, Rule]]:
     out: list[tuple[str, Rule]] = []
     if not nullable:
         out.append((f"{path} is required", lambda c: c.isNotNull()))
     if isinstance(kind, T.StringType):
-        out.append((f"{path} is UTF-8", lambda c: C.utf8_ok(c)))
+        out.append((f"{path} is UTF-8", _Utf8()))
     if isinstance(kind, T.BinaryType) and WIDTH in metadata:
         out.append((f"{path} has {metadata[WIDTH]} bytes", lambda c: C.fixed_binary_ok(c, metadata[WIDTH])))
     if isinstance(kind, T.IntegerType | T.LongType) and TIME_UNIT in metadata:
@@ -98,16 +132,16 @@ def _value_rules(kind: T.DataType, nullable: bool, metadata: dict, path: str) ->
         if SIZE in metadata:
             out.append((f"{path} has {metadata[SIZE]} elements", lambda c: C.fixed_list_ok(c, metadata[SIZE])))
         for name, rule in _value_rules(kind.elementType, kind.containsNull, {}, f"{path}.element"):
-            out.append((name, lambda c, rule=rule: c.isNull() | F.forall(c, lambda x: F.coalesce(rule(x), F.lit(False)))))
+            out.append((name, _each(rule, kind.elementType)))
     if isinstance(kind, T.MapType):
         typed = isinstance(kind.keyType, MAP_KEYS)
         out.append((f"{path} has distinct keys", (lambda c: C.map_ok(c)) if typed else (lambda c: c.isNull() | (F.size(c) == 0))))
-        for part, own, may in (("key", kind.keyType, False), ("value", kind.valueType, kind.valueContainsNull)):
+        # null keys are told by the rule above
+        for part, own, may in (("key", kind.keyType, True), ("value", kind.valueType, kind.valueContainsNull)):
             for name, rule in _value_rules(own, may, {}, f"{path}.{part}"):
-                side = F.map_keys if part == "key" else F.map_values
-                out.append((name, lambda c, rule=rule, side=side: c.isNull() | F.forall(side(c), lambda x: F.coalesce(rule(x), F.lit(False)))))
+                out.append((name, _of(_each(rule, own), F.map_keys if part == "key" else F.map_values)))
     if isinstance(kind, T.StructType):
         for f in kind.fields:
             for name, rule in _value_rules(f.dataType, f.nullable, f.metadata or {}, f"{path}.{f.name}"):
-                out.append((name, lambda c, rule=rule, field=f.name: c.isNull() | F.coalesce(rule(c.getField(field)), F.lit(False))))
+                out.append((name, _of(rule, lambda c, field=f.name: c.getField(field))))
     return out

@@ -12,7 +12,7 @@ from paraforge.functions import conversions as C
 from paraforge.functions.levels import flat_levels, level_faults, list_levels
 from paraforge.operators import dictionary, diff
 from paraforge.operators.batches import bounded_batches
-from paraforge.operators.validate import check, enforced, violations
+from paraforge.operators.validate import check, contract_rules, enforced, violations
 from paraforge.plans.projection import field_path, project
 from paraforge.sources import Reader, ReadOptions, WriteOptions, file_facts, read, write
 from paraforge.sources.reader import refine, require
@@ -578,6 +578,80 @@ def test_nested_differences(spark):
     assert [x[:2] for x in diff.compare(a, c, "k")] == [("NULL_EMPTY_NESTED_SHAPE", "s")]
 
 
+def brute_shape(kind, x):
+    if x is None:
+        return None
+    if isinstance(kind, T.StructType):
+        return tuple(brute_shape(f.dataType, x[f.name]) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return [brute_shape(kind.elementType, v) for v in x]
+    return [(k, brute_shape(kind.valueType, v)) for k, v in x.items()] if isinstance(kind, T.MapType) else "+"
+
+
+def brute_values(x):
+    if isinstance(x, dict):
+        return [(k, brute_values(v)) for k, v in x.items()]
+    return [brute_values(v) for v in x] if isinstance(x, list | tuple) else repr(x)
+
+
+def test_nested_values_are_compared_without_texts_of_their_shape(spark):
+    import random
+
+    r = random.Random(11)
+    maybe = lambda make: None if r.random() < 0.25 else make()
+    number = lambda: maybe(lambda: r.choice([0.0, -0.0, float("nan"), 1.5]))
+    pairs = lambda make: dict(r.sample([(k, make()) for k in "abc"], r.randint(0, 3)))
+    value = lambda: (maybe(lambda: [number() for _ in range(r.randint(0, 2))]), maybe(lambda: [maybe(lambda: pairs(lambda: maybe(lambda: [number()]))) for _ in range(r.randint(0, 2))]), maybe(lambda: (number(), maybe(lambda: pairs(number)))))
+    xs, ys = [(i, *value()) for i in range(300)], []
+    for row in xs:
+        other = value()
+        ys.append((row[0], *[a if r.random() < 0.5 else b for a, b in zip(row[1:], other, strict=True)]))
+    kinds = "k int, xs array<double>, maps array<map<string,array<double>>>, s struct<x:double,m:map<string,double>>"
+    a, b = (spark.createDataFrame(rows, kinds) for rows in (xs, ys))
+    found = diff.compare_values(a, b, "k")
+    expected = []
+    for x, y in zip(a.orderBy("k").collect(), b.orderBy("k").collect(), strict=True):
+        for f in a.schema.fields[1:]:
+            if brute_shape(f.dataType, x[f.name]) != brute_shape(f.dataType, y[f.name]):
+                expected.append((x["k"], f.name, "NULL_EMPTY_NESTED_SHAPE"))
+            elif brute_values(x[f.name]) != brute_values(y[f.name]):
+                expected.append((x["k"], f.name, "LOGICAL_VALUES"))
+    assert len({e[2] for e in expected}) == 2
+    assert sorted((e["k"], e["path"], e["dimension"]) for e in found.collect()) == sorted(expected)
+    assert "array_join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shape_keeps_to_the_text_of_keys(spark):
+    """Keys whose JSON is equal have one shape, as timestamps of one millisecond, so that they differ by value; other types are compared as before."""
+    m = lambda key: spark.sql(f"SELECT 1 AS k, map({key}, 1) AS m")
+    told = lambda x, y: [e[0] for e in diff.compare_values(m(x), m(y), "k").collect()]
+    assert told("TIMESTAMP'2020-01-01 00:00:00.000001'", "TIMESTAMP'2020-01-01 00:00:00.000002'") == ["LOGICAL_VALUES"]
+    assert told("TIMESTAMP'2020-01-01 00:00:00'", "TIMESTAMP'2020-01-01 00:00:01'") == ["NULL_EMPTY_NESTED_SHAPE"]
+    assert told("'a' COLLATE UTF8_LCASE", "'A' COLLATE UTF8_LCASE") == ["NULL_EMPTY_NESTED_SHAPE"]
+    assert told("1.0BD", "1.00BD") == ["NULL_EMPTY_NESTED_SHAPE"]
+    single = [spark.sql(f"SELECT 1 AS k, CAST(0.1 AS {kind}) AS x") for kind in ("double", "float")]
+    assert [e[0] for e in diff.compare_values(single[0], single[1], "k").collect()] == ["LOGICAL_VALUES"]
+
+
+def test_values_are_made_once_for_all_their_rules(spark, tmp_path):
+    k = F.col("id")
+    df = spark.range(10).select("id", F.array(F.create_map(F.concat(F.lit("made"), k.cast("string")), k)).alias("maps"))
+    plan = enforced(df, contract_rules(df.schema))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat(made") == 1
+    write(df, str(tmp_path / "t"))
+    assert diff.compare(df, read(spark, str(tmp_path / "t")), "id") == []
+
+
+@pytest.mark.parametrize("value, path", [("array(h, t)", "v.element"), ("array(null, t)", "v.element"), ("array(map('a', 1), map(h, 2))", "v.element.key"), ("map(1, array(struct(t AS s)))", "v.value.element.s"), ("struct(array(array('a'), array(h)) AS x)", "v.x.element.element")])
+def test_nested_strings_are_utf8(spark, tmp_path, value, path):
+    """A character cut in two is no string, even where its halves lie side by side."""
+    parts = spark.range(1).select(F.lit(bytearray(b"\xe2\x98")).cast("string").alias("h"), F.lit(bytearray(b"\x83")).cast("string").alias("t"))
+    with pytest.raises(E.InvalidValueError, match=f"rule {path} is UTF-8 is broken"):
+        write(parts.selectExpr(f"{value} AS v"), str(tmp_path / "t"))
+    good = spark.range(1).select(F.lit("☃").alias("h"), F.lit("").alias("t")).selectExpr(f"{value} AS v")
+    write(good, str(tmp_path / "good"))
+
+
 def test_rows_are_aligned_by_number_and_repeated_keys(spark):
     a = spark.range(100).select((F.col("id") % 7).alias("v")).repartition(1).selectExpr("v")
     assert diff.compare(a, a.coalesce(1)) == []
